@@ -26,8 +26,8 @@ from .common import arrow_column, saved, session_of
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Soft rules: the strict and the lenient limit of a ratio of two measures.
 SOFT = {
-    "symbols": ("n_symbols", "n_words", 0.1, 0.3),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.2, 0.4),
+    "symbols": ("n_symbols", "n_words", 0.3, 1.0),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.3, 0.5),
     "long_words": ("word_chars", "n_words", 12.0, 20.0),
 }
 BAD_RATE = 0.3
