@@ -10,6 +10,7 @@ from helixframe.llm.common import shared_dir, table
 from helixframe.llm.decontaminate import decontaminate
 from helixframe.llm.line_dedup import line_dedup
 from helixframe.llm.quality import quality_filter
+from helixframe.llm.sentencepiece_codec import encode_texts
 from helixframe.llm.simhash import simhash_dedup
 
 #: SimHash fingerprints, XXH64 and piece ids have no counterpart in SQL.
@@ -36,7 +37,18 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near_duplicates), ("benchmark decontamination", benchmark)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its piece ids."""
+    return encode_texts(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("sentencepiece encoding", pieces),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

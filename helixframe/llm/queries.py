@@ -12,6 +12,7 @@ from .decontaminate import decontamination_report
 from .line_dedup import line_dedup_report
 from .lm_score import lm_scores
 from .quality import quality_report
+from .sentencepiece_codec import round_trip
 from .simhash import simhash_components
 from .warc import warc_round_trip
 
@@ -26,6 +27,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_and_read(turns.unionByName(spark.createDataFrame(hostile, "conv_id bigint, turn bigint, role string, text string")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
