@@ -14,6 +14,7 @@ from .lm_score import lm_scores
 from .quality import quality_report
 from .sentencepiece_codec import round_trip
 from .simhash import simhash_components
+from .substring_dedup import substring_dedup_report
 from .warc import warc_round_trip
 
 
@@ -47,6 +48,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup_report(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
