@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_and_read
 from .common import table
 from .decontaminate import decontamination_report
+from .html_extract import extract_pages
 from .line_dedup import line_dedup_report
 from .lm_score import lm_scores
 from .quality import quality_report
@@ -28,6 +29,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_and_read(turns.unionByName(spark.createDataFrame(hostile, "conv_id bigint, turn bigint, role string, text string")))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).drop("host")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
