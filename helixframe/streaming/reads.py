@@ -18,7 +18,7 @@ def stream_reads(spark: SparkSession, folder: str, form: str, max_bytes: int = C
     """
     if form not in (FASTA, FASTQ, RAW):
         raise ValueError(f"unknown format {form!r}")
-    files = spark.readStream.option("wholetext", True).option("maxBytesPerTrigger", max_bytes).text(folder)
+    files = spark.readStream.option("maxBytesPerTrigger", max_bytes).text(folder, wholetext=True)
     text = F.regexp_replace("value", "\r", "")
     files = files.select(F.col("_metadata.file_path").alias("file"), text.alias("text"))
     none = F.lit(None).cast("string")
