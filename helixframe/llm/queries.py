@@ -12,7 +12,8 @@ from .decontaminate import decontamination_report
 from .html_extract import extract_pages
 from .line_dedup import line_dedup_report
 from .lm_score import lm_scores
-from .quality import quality_report
+from .oracle import oracle_sql as oracle_sql
+from .quality import SOFT, quality_report
 from .sentencepiece_codec import round_trip
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup_report
@@ -20,7 +21,7 @@ from .warc import warc_round_trip
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"))
+    return quality_report(table(spark, sf_dir, "documents")).drop(*[f"host_rate_{r}" for r in SOFT])
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
