@@ -117,14 +117,19 @@ def hamming_pairs(seqs: DataFrame, k: int, tau: int, alphabet: Alphabet = DNA) -
     return hamming_join(found, found, k, tau, alphabet=alphabet, below=True)
 
 
-def search(queries: DataFrame, seqs: DataFrame, k: int, tau: int, alphabet: Alphabet = DNA, free_unknown: bool = True) -> DataFrame:
+def search(queries: DataFrame, seqs: DataFrame, k: int, tau: int, alphabet: Alphabet = DNA, free_unknown: bool = True, boundary: bool = False) -> DataFrame:
     """query, hit, dist, mism: k-mers of both strands within tau substitutions of each query.
 
+    With boundary only hits that do not sort after the query, so that each pair of k-mers is seen once.
+
     With free_unknown an unknown symbol in the query matches anything at no cost, though its place is marked.
     Queries and k-mers are compared piece by piece through fragments, and fragments with unknown symbols are left
     out; queries with so many that no fragment is clean are compared without unknown places, mask by mask.
     """
     check_parameters(k, tau)
+    if boundary:
+        every = search(queries, seqs, k, tau, alphabet, free_unknown)
+        return every.filter(alphabet.sort_key("hit") <= alphabet.sort_key("query"))
     found = saved(text_kmers(seqs, k, None, alphabet))
     wanted = queries.select(F.col("query")).distinct()
     if not free_unknown or alphabet.unknown is None:

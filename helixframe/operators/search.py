@@ -40,6 +40,17 @@ def fm_interval(patterns: DataFrame, seqs: DataFrame, alphabet: Alphabet = DNA,
     return empty
 
 
+def extensions(patterns: DataFrame, seqs: DataFrame, end: str = "suffix", alphabet: Alphabet = DNA, pattern_col: str = "pattern") -> DataFrame:
+    """pattern, symbol, fp, rp, sz, dp: the interval of each pattern with each symbol put in front ("prefix") or behind."""
+    if end not in ("prefix", "suffix"):
+        raise ValueError(f"the end is prefix or suffix, not {end!r}")
+    symbols = F.explode(F.array(*map(F.lit, alphabet.canonical))).alias("symbol")
+    grown = patterns.select(F.col(pattern_col).alias("__old")).distinct().select("__old", symbols)
+    grown = grown.withColumn("__new", F.concat("symbol", "__old") if end == "prefix" else F.concat("__old", "symbol"))
+    found = fm_interval(grown.select(F.col("__new").alias("pattern")), seqs, alphabet)
+    return grown.join(found, F.col("__new") == F.col("pattern")).select(F.col("__old").alias("pattern"), "symbol", "fp", "rp", "sz", "dp")
+
+
 def count_patterns(patterns: DataFrame, seqs: DataFrame, k: int, alphabet: Alphabet = DNA) -> DataFrame:
     """pattern, n: occurrences on both strands of patterns of one length k; 0 for those without."""
     found = kmers(both_strands(seqs.select("seq_id", "seq"), alphabet), k, []).join(patterns.select(F.col("pattern").alias("kmer")).distinct(), "kmer", "left_semi")

@@ -115,3 +115,10 @@ def occ_rank(points: DataFrame, transform: DataFrame, marks: DataFrame, mark: in
     inside = transform.select(F.floor(F.col("rank") / mark).alias("block"), "symbol", "rank")
     rest = rows.join(inside, ["block", "symbol"]).filter("rank <= ptr").groupBy("ptr", "symbol").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(marks, ["block", "symbol"]).join(rest, ["ptr", "symbol"], "left").select("ptr", "symbol", (F.col("cnt") + F.coalesce("n", F.lit(0))).alias("occ"))
+
+
+def occ_all(points: DataFrame, transform: DataFrame, marks: DataFrame, alphabet: Alphabet = DNA, mark: int = MARK) -> DataFrame:
+    """points (ptr) with a column occ_<symbol> for each symbol of the alphabet."""
+    each = points.select("ptr").distinct().select("ptr", F.explode(F.array(*map(F.lit, alphabet.canonical))).alias("symbol"))
+    found = occ_rank(each, transform, marks, mark)
+    return found.groupBy("ptr").agg(*[F.max(F.when(F.col("symbol") == c, F.col("occ"))).alias(f"occ_{c}") for c in alphabet.canonical])

@@ -224,6 +224,26 @@ def fm_interval(spark, sf_dir):
     return search.fm_interval(seqs.select(F.explode(parts).alias("pattern")), seqs)
 
 
+def _extensions_sql(grown: str) -> str:
+    return f"""WITH {_TEXT}, p AS (SELECT DISTINCT substr(seq, 1, 3) AS pattern FROM seqs WHERE length(seq) >= 3), {_SYMBOLS},
+g AS (SELECT pattern, symbol, {grown} AS grown FROM p, symbols), x AS (SELECT *, translate(grown, 'N', 'Z') AS s, translate({_RC.format('grown')}, 'N', 'Z') AS r FROM g),
+suffixes AS (SELECT translate(substr(t, pos + 1, 4), 'N', 'Z') AS suffix, count(*) AS c FROM sa GROUP BY 1)
+SELECT pattern, symbol, CAST(coalesce(sum(c) FILTER (suffix < s), 0) AS BIGINT) AS fp, CAST(coalesce(sum(c) FILTER (suffix < r), 0) AS BIGINT) AS rp,
+  CAST(coalesce(sum(c) FILTER (suffix = s), 0) AS BIGINT) AS sz, 4 AS dp FROM x, suffixes GROUP BY pattern, symbol"""
+
+
+@_query(_extensions_sql("pattern || symbol"))
+def fm_extend_suffix(spark, sf_dir):
+    seqs = _placed(spark, sf_dir)
+    return search.extensions(_patterns(seqs, 3), seqs, "suffix")
+
+
+@_query(_extensions_sql("symbol || pattern"))
+def fm_extend_prefix(spark, sf_dir):
+    seqs = _placed(spark, sf_dir)
+    return search.extensions(_patterns(seqs, 3), seqs, "prefix")
+
+
 def _suffixes(spark, sf_dir):
     return suffix.sa_of_text(_sequences(spark, sf_dir))
 
@@ -264,6 +284,17 @@ def occ_rank(spark, sf_dir):
     return suffix.occ_rank(points, transform, suffix.occ_marks(transform))
 
 
+@_query(
+    f"""WITH {_TEXT}, p AS (SELECT beg AS ptr FROM seqs) SELECT ptr, """
+    + ", ".join(f"(SELECT count(*) FROM bwt b WHERE b.symbol = '{c}' AND b.rank <= ptr) AS occ_{c}" for c in DNA.canonical)
+    + " FROM p"
+)
+def occ_all(spark, sf_dir):
+    transform = saved(suffix.bwt(*_suffixes(spark, sf_dir)))
+    points = _placed(spark, sf_dir).select(F.col("beg").alias("ptr"))
+    return suffix.occ_all(points, transform, suffix.occ_marks(transform))
+
+
 def _pairs_sql(k: int, tau: int) -> str:
     return f"""WITH {_STRANDS}, k AS (SELECT DISTINCT kmer FROM {_kmers(k)}),
 pairs AS (SELECT x.kmer AS a, y.kmer AS b, CAST(hamming(x.kmer, y.kmer) AS INTEGER) AS dist FROM k x JOIN k y ON x.kmer < y.kmer AND hamming(x.kmer, y.kmer) <= {tau})"""
@@ -299,6 +330,12 @@ def approximate_search(spark, sf_dir):
     return neighbors.search(_patterns(seqs, 12).withColumnRenamed("pattern", "query"), seqs, 12, 2).select("query", "hit", "dist")
 
 
+@_query(f"WITH {_STRANDS}, k AS (SELECT DISTINCT kmer FROM {_kmers(12)}), q AS (SELECT DISTINCT substr(seq, 1, 12) AS query FROM seqs WHERE length(seq) >= 12) SELECT query, kmer AS hit, CAST(hamming(query, kmer) AS INTEGER) AS dist FROM q JOIN k ON hamming(query, kmer) <= 2 AND kmer <= query")
+def approximate_search_bounded(spark, sf_dir):
+    seqs = _placed(spark, sf_dir)
+    return neighbors.search(_patterns(seqs, 12).withColumnRenamed("pattern", "query"), seqs, 12, 2, boundary=True).select("query", "hit", "dist")
+
+
 def _annotation_sql(k: int, tau: int) -> str:
     return f"""{_pairs_sql(k, tau)},
 both_ways AS (SELECT a, b, dist FROM pairs UNION ALL SELECT b, a, dist FROM pairs),
