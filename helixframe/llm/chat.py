@@ -27,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -155,29 +156,30 @@ class _Reader:
     """Takes the ids of a conversation in order and restores turns, loss text and formatted text."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.role, self.body, self.named = codec, None, [], False
+        self.codec, self.first_mark, self.role = codec, codec.first_mark, None
         self.turns, self.loss, self.n_turns, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
         self.started = False
 
-    def text(self, ids: list[int]) -> str:
-        formatted = self.codec.decode(ids).decode()
+    def text(self, ids: np.ndarray) -> str:
+        formatted = self.codec.decode(ids.tolist()).decode()
         if _CONTROL.search(formatted):
             raise ValueError("a mark stands inside a text")
         self.chars += len(formatted)
         return formatted
 
-    def feed(self, ids: list[int], masked: list[bool]) -> None:
-        plain, under = [], []
-        for i, m in zip(ids, masked):
-            if i < self.codec.first_mark:
-                plain.append(i)
-                if m:
-                    under.append(i)
-                continue
-            mark = CONTROLS[i - self.codec.first_mark]
+    def feed(self, ids: np.ndarray, loss_start: int, loss_end: int) -> None:
+        """One row's ids, and which of them are under the loss mask."""
+        begin, under = 0, []
+        for at in np.flatnonzero(ids >= self.first_mark).tolist():
+            plain = ids[begin:at]
+            a, b = max(begin, loss_start), min(at, loss_end)
+            if a < b:
+                under.append(ids[a:b])
+            begin = at + 1
+            mark = CONTROLS[ids[at] - self.first_mark]
             self.chars += len(mark)
             if mark == "<s>":
-                if self.started or plain:
+                if self.started or len(plain):
                     raise ValueError("<s> doesn't begin the conversation")
                 self.started = True
             elif mark in ("[INST]", "<<SYS>>"):
@@ -185,18 +187,18 @@ class _Reader:
             elif mark == "[ROLE]":
                 self.role = None
             elif mark == "[/ROLE]":
-                self.role, plain = unescape(self.text(plain)), []
+                self.role = unescape(self.text(plain))
             else:
                 role = "assistant" if self.role is None else self.role
                 text = unescape(self.text(plain))
                 self.turns.update(f"{role}\n{text}\n".encode())
                 self.n_turns += 1
                 if under:
-                    learnt = unescape(self.codec.decode(under).decode())
+                    learnt = unescape(self.codec.decode(np.concatenate(under).tolist()).decode())
                     self.loss.update(learnt.encode())
                     self.loss_chars += len(learnt)
-                self.role, plain, under = None, [], []
-        if plain:
+                self.role, under = None, []
+        if begin < len(ids):
             raise ValueError("a turn isn't closed")
 
 
@@ -217,16 +219,18 @@ def read_back(segments: DataFrame, vocabulary=DEFAULT_VOCABULARY) -> DataFrame:
             done.append((now, reader.n_turns, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.chars))
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if reader is None or r["conv_id"] != now:
+            lists = batch.column("ids")
+            ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+            rows = zip(*(batch.column(c).to_pylist() for c in ("conv_id", "token_start", "loss_start", "loss_end")), ends, ends[1:])
+            for conv, start, a, b, first, end in rows:
+                if reader is None or conv != now:
                     if reader is not None:
                         ended()
-                    reader, now, expected = _Reader(sent.value), r["conv_id"], 0
-                if r["token_start"] != expected:
-                    raise ValueError(f"conversation {now}: tokens {expected} to {r['token_start']} are missing")
-                expected += len(r["ids"])
-                a, b = r["loss_start"] - r["token_start"], r["loss_end"] - r["token_start"]
-                reader.feed(r["ids"], [a <= k < b for k in range(len(r["ids"]))])
+                    reader, now, expected = _Reader(sent.value), conv, 0
+                if start != expected:
+                    raise ValueError(f"conversation {now}: tokens {expected} to {start} are missing")
+                expected += end - first
+                reader.feed(ids[first:end], a - start, b - start)
             if len(done) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
                 done = []
