@@ -9,6 +9,8 @@ from ..functions.alphabet import DNA, Alphabet
 
 #: Sequences are cut into pieces of this size first: a substring of a long string costs its distance from the start.
 PIECE = 512
+#: From this length on a sequence's pieces are dealt out.
+LONG = 1_000_000
 
 
 def pieces(seq: Column, size: int, overlap: int) -> Column:
@@ -19,14 +21,26 @@ def pieces(seq: Column, size: int, overlap: int) -> Column:
     return F.transform(parts, lambda p, i: F.struct((i.cast("bigint") * size).alias("at"), F.concat(p, F.substring(F.coalesce(F.get(parts, i + 1), F.lit("")), 1, overlap)).alias("part")))
 
 
-def kmers(seqs: DataFrame, k: int, keep: list[str] | None = None, seq_col: str = "seq") -> DataFrame:
-    """The columns of `keep` (seq_id), off (from 0) and kmer."""
+def longest(seqs: DataFrame) -> int:
+    """The length of the longest sequence, from `len` where there is one."""
+    size = F.col("len") if "len" in seqs.columns else F.length("seq")
+    return seqs.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
+
+
+def kmers(seqs: DataFrame, k: int, keep: list[str] | None = None, seq_col: str = "seq", spread: bool = False) -> DataFrame:
+    """The columns of `keep` (seq_id), off (from 0) and kmer.
+
+    With spread the pieces of sequences are dealt out before they become k-mers: a long sequence is one row, and
+    its k-mers would all be made in its task.
+    """
     if k < 1:
         raise ValueError("k is at least 1")
     keep = ["seq_id"] if keep is None else keep
     size = max(PIECE, k)
     cut = seqs.filter(F.length(seq_col) >= k).select(*keep, pieces(F.col(seq_col), size, k - 1).alias("__parts")).select(*keep, F.explode("__parts").alias("__p"))
     cut = cut.select(*keep, F.col("__p.at").alias("__at"), F.col("__p.part").alias("__part")).filter(F.length("__part") >= k)
+    if spread:
+        cut = cut.repartition(F.xxhash64("__part", "__at"))
     each = cut.select(*keep, "__at", "__part", F.explode(F.sequence(F.lit(0), F.length("__part") - k)).alias("__i"))
     return each.select(*keep, (F.col("__at") + F.col("__i")).alias("off"), F.substring("__part", F.col("__i") + 1, F.lit(k)).alias("kmer"))
 
@@ -44,8 +58,8 @@ def count_kmers(seqs: DataFrame, k: int) -> DataFrame:
     return kmers(seqs, k, []).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_kmers(seqs: DataFrame, k: int) -> DataFrame:
-    return kmers(seqs, k, []).select("kmer").distinct()
+def distinct_kmers(seqs: DataFrame, k: int, spread: bool = False) -> DataFrame:
+    return kmers(seqs, k, [], spread=spread).select("kmer").distinct()
 
 
 def count_canonical(seqs: DataFrame, k: int, alphabet: Alphabet = DNA) -> DataFrame:

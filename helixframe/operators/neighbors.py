@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
 from ..functions.shared import saved
-from .kmers import distinct_kmers, kmers, unknown_count
+from .kmers import LONG, distinct_kmers, kmers, longest, unknown_count
 from .text import both_strands
 
 #: Symbols in a 64-bit word.
@@ -106,7 +106,7 @@ def hamming_join(left: DataFrame, right: DataFrame, k: int, tau: int, left_col:
 
 def text_kmers(seqs: DataFrame, k: int, tau: int | None = None, alphabet: Alphabet = DNA) -> DataFrame:
     """The distinct k-mers of both strands, without those of more than tau unknown symbols."""
-    found = distinct_kmers(both_strands(seqs.select("seq_id", "seq"), alphabet), k)
+    found = distinct_kmers(both_strands(seqs.select("seq_id", "seq"), alphabet), k, longest(seqs) > LONG)
     return found if tau is None else found.filter(unknown_count("kmer", alphabet) <= tau)
 
 

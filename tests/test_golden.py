@@ -204,3 +204,27 @@ def test_annotation_against_brute_force(spark, k, tau, seed):
 def test_hamming_plan_has_no_cartesian_product(spark, repeats):
     plan = neighbors.hamming_pairs(repeats, 25, 2)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_spread_kmers_are_the_same(spark, repeats):
+    from helixframe.operators import kmers as km
+
+    long = repeats.withColumn("seq", F.repeat("seq", 100))
+    rows = lambda spread: sorted(km.kmers(long, 40, spread=spread).collect())
+    assert rows(True) == rows(False) and km.longest(repeats) == 26
+    text_of = {r.seq_id: r.seq for r in long.collect()}
+    assert all(text_of[r.seq_id][r.off : r.off + 40] == r.kmer for r in rows(True)) and len(rows(True)) == 8 * (2500 - 39)
+
+
+def test_annotation_does_not_depend_on_partitions(spark, repeats):
+    one = neighbors.annotate(repeats.repartition(1), 12, 2).collect()
+    many = neighbors.annotate(repeats.repartition(7), 12, 2).collect()
+    key = lambda r: r.kmer
+    assert sorted(one, key=key) == sorted(many, key=key)
+
+
+def test_annotation_of_the_reverse_strand_is_a_mirror(spark, repeats):
+    ann = {r.kmer: r for r in neighbors.annotate(repeats, 12, 2).collect()}
+    for kmer, r in ann.items():
+        other = ann[kmer[::-1].translate(str.maketrans("ACGT", "TGCA"))]
+        assert (r.dist, r.neigh_cnt, sorted(11 - p for p in r.align_pos)) == (other.dist, other.neigh_cnt, other.align_pos)
