@@ -202,7 +202,8 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", size=WINDO
     session_of(docs)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).filter("id is not null")
     runs = stored(_runs(texts, size, gram))
-    shared = runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor")
+    # written, so that the join has a plain exchange on either side and hot anchors can be split
+    shared = stored(runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"))
     runs = stored(runs.join(shared, "anchor"))
     kinds = stored(runs.groupBy("anchor", "content", "windows").agg(F.min(F.struct("id", "hash", "begin")).alias("one"), F.max("id").alias("last")))
     wide = kinds.groupBy("anchor").count().filter(F.col("count") > variants).select("anchor", F.lit(True).alias("wide"))
