@@ -141,6 +141,30 @@ def _runs(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return docs.mapInArrow(find, "id bigint, hash bigint, anchor bigint, content bigint, begin int, windows int")
 
 
+def _fetcher(size: int):
+    """For documents with the runs that are wanted of them: the word hashes of each run."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["wide", "shard", "anchor", "content", "windows"]
+        seen: set[tuple[int, int]] = set()  # rows that repeat an id and a text meet in one task, and one is enough
+        for batch in batches:
+            columns: dict[str, list] = {n: [] for n in [*names, "owner", "words"]}
+            for i, k, text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3)):
+                if (i, k) in seen:
+                    continue
+                seen.add((i, k))
+                h = word_hashes(text.split())
+                for s in want.as_py():
+                    for n in names:
+                        columns[n].append(s[n])
+                    columns["owner"].append(i)
+                    columns["words"].append(h[s["begin"] : s["begin"] + s["windows"] + size - 1].tobytes())
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns.values(), kinds)], list(columns))
+
+    return fetch
+
+
 def _spans(least: np.ndarray) -> list[dict]:
     """The windows of a run as stretches with one least owner."""
     cut = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
@@ -214,16 +238,7 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", size=WINDO
     )
     wanted = wanted.groupBy("id", "hash").agg(F.collect_list("want").alias("want"))
 
-    def fetch(text: pa.Array, want: pa.Array) -> pa.Array:
-        out = []
-        for t, spans in zip(as_bytes(text), want.to_pylist()):
-            h = word_hashes(t.split())
-            out.append([h[s["begin"] : s["begin"] + s["windows"] + size - 1].tobytes() for s in spans])
-        return pa.array(out, pa.list_(pa.binary()))
-
-    found = texts.join(wanted, ["id", "hash"])
-    found = found.select("id", F.explode(F.arrays_zip("want", arrow_column(fetch, "array<binary>", F.col("text"), F.col("want")).alias("words"))).alias("x"))
-    found = stored(found.select("x.want.wide", "x.want.shard", "x.want.anchor", "x.want.content", "x.want.windows", F.col("id").alias("owner"), "x.words"))
+    found = stored(texts.join(wanted, ["id", "hash"]).select("id", "hash", "text", "want").mapInArrow(_fetcher(size), "wide boolean, shard bigint, anchor bigint, content bigint, windows int, owner bigint, words binary"))
     dealt = found.filter("not wide").select("shard", "anchor", "content", "windows", "owner", "words").repartition("shard").sortWithinPartitions("shard")
     judged = dealt.mapInArrow(_indexer(size), f"anchor bigint, content bigint, windows int, spans {_SPANS}")
     each = found.filter("wide").select("anchor", "content", "windows", "owner", F.posexplode(arrow_column(_windows_of(size), "array<bigint>", F.col("words"))).alias("a", "window"))
@@ -234,7 +249,7 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", size=WINDO
     judged = judged.dropDuplicates(["anchor", "content", "windows"]).join(kinds.select("anchor", "content", "windows", "last"), ["anchor", "content", "windows"]).filter(F.exists("spans", lambda s: s["owner"] < F.col("last"))).drop("last")
     hit = runs.join(judged, ["anchor", "content", "windows"]).withColumn("spans", F.filter("spans", lambda s: s["owner"] < F.col("id"))).filter(F.size("spans") > 0)
     pairs = F.transform("spans", lambda s: F.struct((F.col("begin") + s["a"]).alias("first"), (F.col("begin") + s["b"] + (size - 1)).alias("end")))
-    return hit.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), pairs.alias("spans")).groupBy("__id", "__hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return hit.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), pairs.alias("spans")).groupBy("__id", "__hash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 _KEPT = "struct<n_words:bigint,n_removed:bigint,text:string,sha256:string>"
