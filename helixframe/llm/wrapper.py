@@ -24,6 +24,9 @@ APART = set("head nav header footer aside form menu dialog fieldset search".spli
 APART_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar|side-bar|footer|header|masthead|cookie\w*|consent|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up|login|comments?|disqus|replies|respond|related|recommend\w*|share|sharing|social|widget|toolbar|pagination|pager|skip-link|complementary|contentinfo|navigation)(?:$|[^a-z])"
 )
+#: An article may be a reader's comment or a teaser. A class like with-sidebar says what stands beside a box.
+ARTICLE_APART = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies|ad|ads|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser)(?:$|[^a-z])")
+_ABOUT = re.compile(r"(?:^|[^a-z])(?:has|with|no|without|hide|show)[-_][a-z_-]+")
 CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|articlebody|article-body|post|post-body|post-content|entry|entry-content|content|main|main-content|story|story-body|body-text)(?:$|[^a-z])")
 
 _TOKEN = re.compile(
@@ -196,7 +199,10 @@ def _prune(node: Node, least: int) -> None:
 def apart(sign: str) -> bool:
     """Whether a box is a menu, header, footer, sidebar, notice, advert, form or the readers' comments."""
     name, *marks = sign.split("|")
-    return name in APART or any(APART_WORDS.search(m.split("=", 1)[1]) for m in marks) and name not in ("html", "body", "article", "main")
+    if name in APART:
+        return True
+    words = ARTICLE_APART if name in ("article", "main") else APART_WORDS
+    return name not in ("html", "body") and any(words.search(_ABOUT.sub(" ", m.split("=", 1)[1])) for m in marks)
 
 
 def main_box(wrapper: Node) -> tuple[str, ...]:

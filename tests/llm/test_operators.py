@@ -450,6 +450,16 @@ def test_wrappers_have_optional_and_repeated_groups_and_slots():
     assert main_box(both) == ("body", "div")
 
 
+@pytest.mark.parametrize(
+    "sign, out",
+    [("nav", True), ("div|class=ad", True), ("div|class=content with-sidebar", False), ("div|class=article-sidebar", True), ("article|class=comment", True), ("article|class=post sidebar-left", False), ("div|class=shadow header_no-ads", True), ("div|class=download", False), ("body|class=has-header footer", False), ("section|id=comments", True), ("div|role=navigation", True), ("div|class=content-no-ads", False)],
+)
+def test_boxes_that_stand_apart(sign, out):
+    from helixframe.llm.wrapper import apart
+
+    assert apart(sign) is out
+
+
 # all
 
 
