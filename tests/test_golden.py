@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.alphabet import DNA, Alphabet
 from helixframe.operators import neighbors, search, suffix, text
-from helixframe.operators.suffix import sa_of_text, text_positions
+from helixframe.operators.suffix import text_positions
 
 REPEATS = {
     "one": "ATCGATATCAGCCACTACGAGACAA",
