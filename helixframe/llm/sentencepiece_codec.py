@@ -31,30 +31,35 @@ from pyspark.sql import functions as F
 from .common import arrow_column, session_of
 from .pieces import BPE, DEFAULT_MODEL, SPACE, UNUSED, Pieces, load_pieces
 
-#: Words whose ids a worker keeps, and characters that it indexes at once.
-KEPT_WORDS, INDEXED_CHARS = 300_000, 1_500_000
+#: Words whose ids a worker keeps before it sets about forgetting the older ones, and characters that it indexes at once.
+KEPT_WORDS, INDEXED_CHARS = 250_000, 400_000
 #: Longer words are merged one at a time, with a heap.
 LOCKSTEP = 48
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 
 
-def suffix_array(code: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of code in the order of their first `depth` symbols (0 <= symbol < 2**21), by prefix doubling."""
-    padded = np.concatenate((code + 1, np.zeros(3, np.int64)))
-    key = (padded[:-3] << 42) | (padded[1:-2] << 21) | padded[2:-1]
-    reach = 3
+def suffix_array(code: np.ndarray, symbols: int, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The suffixes of code (0 < symbol < symbols) in the order of their first `depth` symbols, by prefix doubling.
+
+    Also the packed symbols behind each position that the first step sorts by, and how many one number holds.
+    """
+    bits = int(symbols - 1).bit_length()
+    reach = 63 // bits
+    padded = np.concatenate((code, np.zeros(reach * (depth // reach + 2), np.int64)))
+    packed = np.zeros(len(padded) - reach + 1, np.int64)
+    for k in range(reach):
+        packed = (packed << bits) | padded[k : k + len(packed)]
+    key, per = packed[: len(code)], reach
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if reach >= depth:
-            return order
+            return order, packed, per
         step = key[order]
         rank = np.empty(len(code), np.int64)
         rank[order] = np.cumsum(np.append(False, step[1:] != step[:-1]))
-        if rank[order[-1]] == len(code) - 1:
-            return order
         after = np.zeros(len(code), np.int64)
-        after[: len(code) - reach] = rank[reach:] + 1
+        after[: max(0, len(code) - reach)] = rank[reach:] + 1
         key = rank * (len(code) + 1) + after
         reach *= 2
 
@@ -69,51 +74,71 @@ class Matcher:
         self.depth = int(self.length.max())
         self.ids, self.scores = pieces.ids[usable].astype(np.int32), pieces.scores[usable]
         self.rank = np.unique(-self.scores, return_inverse=True)[1]  # 0 is merged first
-        width = -(-self.depth // 3) * 3
-        low = np.zeros((len(usable), width), np.int64)
+        self.code = np.zeros((len(usable), self.depth), np.int64)
         for row, i in enumerate(usable):
-            low[row, : self.length[row]] = [ord(c) + 1 for c in pieces.texts[i]]
-        high = np.where(np.arange(width) < self.length[:, None], low, 2**21 - 1)
-        #: Three symbols in each number: the least and the largest text that begins with a piece.
-        self.low, self.high = ((x[:, ::3] << 42) | (x[:, 1::3] << 21) | x[:, 2::3] for x in (low, high))
+            self.code[row, : self.length[row]] = [ord(c) for c in pieces.texts[i]]
         self.whole_texts = pieces.inner_space
+        self.surface: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        #: Words and their ids: those met lately, and those met before them.
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"kept": {}}
+        return self.__dict__ | {"kept": {}, "older": {}}
 
     def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position * (depth + 1) + length, piece) of every occurrence of a piece, sorted."""
-        order = suffix_array(code, self.depth)
-        padded = np.concatenate((code + 1, np.zeros(self.depth + 5, np.int64)))
-        three = (padded[:-2] << 42) | (padded[1:-1] << 21) | padded[2:]
-
-        def first_not(bound: np.ndarray, after_equal: bool) -> np.ndarray:
-            """The first suffix that isn't below (or at) each bound."""
-            low, high = np.zeros(len(bound), np.int64), np.full(len(bound), len(order))
-            rows = np.arange(len(bound))
-            while len(rows):
-                middle = (low[rows] + high[rows]) >> 1
-                at, below, equal = order[middle], np.zeros(len(rows), bool), np.ones(len(rows), bool)
-                for k in range(bound.shape[1]):
-                    have, want = three[at + 3 * k], bound[rows, k]
+        """(position * (depth + 1) + length, piece) of every occurrence of a piece."""
+        present = np.zeros(0x110001, bool)
+        present[code] = True
+        dense = np.cumsum(present)  # symbols 1, 2, ... of what occurs, the separator last
+        symbols = int(dense[-1]) + 1
+        order, packed, per = suffix_array(dense[code], symbols, self.depth)
+        possible = np.flatnonzero((present[self.code] | (np.arange(self.depth) >= self.length[:, None])).all(axis=1))
+        width = -(-self.depth // per)
+        bits = int(symbols - 1).bit_length()
+        inside = np.arange(width * per) < self.length[possible, None]
+        low = np.zeros(inside.shape, np.int64)
+        low[:, : self.depth] = dense[self.code[possible]] * inside[:, : self.depth]
+        high = np.where(inside, low, (1 << bits) - 1)
+
+        def pack(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(x), width), np.int64)
+            for k in range(per):
+                out = (out << bits) | x[:, k::per]
+            return out
+
+        # the first symbols decide for most pieces, by numpy's own binary search
+        ranked = packed[order]
+        low, high = pack(low), pack(high)
+        first, last = np.searchsorted(ranked, low[:, 0]), np.searchsorted(ranked, high[:, 0], side="right")
+
+        def first_not(rows: np.ndarray, bound: np.ndarray, after_equal: bool) -> np.ndarray:
+            """Inside the ranges found so far, the first suffix that isn't below (or at) each bound."""
+            low, high = first[rows], last[rows]
+            left = np.flatnonzero(low < high)
+            while len(left):
+                middle = (low[left] + high[left]) >> 1
+                at, below, equal = order[middle], np.zeros(len(left), bool), np.ones(len(left), bool)
+                for k in range(1, width):
+                    have, want = packed[at + per * k], bound[rows[left], k]
                     below |= equal & (have < want)
                     equal &= have == want
-                    if not equal.any():
-                        break
                 below |= equal & after_equal
-                low[rows[below]] = middle[below] + 1
-                high[rows[~below]] = middle[~below]
-                rows = rows[low[rows] < high[rows]]
+                low[left[below]] = middle[below] + 1
+                high[left[~below]] = middle[~below]
+                left = left[low[left] < high[left]]
             return low
 
-        first, last = first_not(self.low, False), first_not(self.high, True)
+        long = np.flatnonzero((self.length[possible] > per) & (first < last))
+        first[long], last[long] = first_not(long, low, False), first_not(long, high, True)
         times = last - first
-        piece = np.repeat(np.arange(len(times)), times)
-        at = order[np.repeat(first - (np.cumsum(times) - times), times) + np.arange(len(piece))]
-        key = at * (self.depth + 1) + self.length[piece]
-        by = np.argsort(key)
-        return key[by], piece[by]
+        piece = np.repeat(possible.astype(np.int32), times)
+        within = np.repeat(first - (np.cumsum(times) - times), times)
+        within += np.arange(len(piece))
+        key = order[within]
+        key *= self.depth + 1
+        key += np.repeat(self.length[possible], times)
+        return key, piece
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit numbers."""
@@ -130,7 +155,7 @@ class Matcher:
         length = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("\0".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         first = np.cumsum(length + 1) - length - 1
-        code[(first + length)[:-1]] = 0x110000  # between words; no piece has it
+        code[(first + length)[:-1]] = 0x110000  # between words; no character
         key, piece = self.edges(code)
         relax = self._merge if self.pieces.kind == BPE else self._forward
         start, found = relax(first, length, code, key, piece)
@@ -151,77 +176,70 @@ class Matcher:
         ends = (4 * ends).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _look_up(self, key, piece, start, length):
-        """The piece that fits exactly, -1 if none."""
-        want = start * (self.depth + 1) + length
-        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        return np.where((length <= self.depth) & (key[at] == want), piece[at], -1) if len(key) else np.full(len(start), -1)
-
     def _merge(self, first, length, code, key, piece):
         """(start, piece) of the symbols that are left when no edge spans two neighbours."""
-        starts, founds = [], []
+        wide = self.depth + 1
+        #: The edges sorted by position, and by length for each: a place for every (position, length), -1 without an edge.
+        edges = np.full((len(code) + 1) * wide, -1, np.int32)
+        edges[key] = piece
+        ranks = np.append(self.rank, _NONE).astype(np.int32)  # -1 finds the last
         short = length <= LOCKSTEP
-        word = np.repeat(np.flatnonzero(short), length[short])
-        inside = np.arange(len(word)) - np.repeat(np.cumsum(length[short]) - length[short], length[short])
-        start = first[word] + inside
-        size = np.ones(len(start), np.int64)
-        found = self._look_up(key, piece, start, size)
-
-        def pairs(k):
-            """The edge over symbols k and k + 1 and its rank, _NONE if there is none."""
-            inner = k[k + 1 < len(word)]
-            inner = inner[word[inner] == word[inner + 1]]
-            got = self._look_up(key, piece, start[inner], size[inner] + size[inner + 1])
-            rank = np.where(got >= 0, self.rank[got], _NONE)
-            return inner, got, rank
-
-        edge, rank = np.full(len(word), -1), np.full(len(word), _NONE)
-        inner, got, ranks = pairs(np.arange(len(word)))
-        edge[inner], rank[inner] = got, ranks
+        word = np.repeat(np.flatnonzero(short), length[short]).astype(np.int32)
+        start = (first[word] + np.arange(len(word)) - np.repeat(np.cumsum(length[short]) - length[short], length[short])).astype(np.int32)
+        starts, founds = [], []
+        # what is known of each symbol: where it begins, how long it is, its piece, and the edge over it and the next
+        size = np.ones(len(start), np.int32)
+        found = edges[start.astype(np.int64) * wide + 1]
+
+        def over(k):
+            """The edges over symbols k and k + 1, -1 where there is none or they are not of one word."""
+            both = size[k] + size[k + 1]
+            fits = (word[k] == word[k + 1]) & (both <= self.depth)
+            return np.where(fits, edges[start[k].astype(np.int64) * wide + np.where(fits, both, 0)], -1)
+
+        edge = np.append(over(np.arange(len(word) - 1)), -1) if len(word) else np.zeros(0, np.int32)
+        rank = ranks[edge]
         while len(word):
             new = np.append(True, word[1:] != word[:-1])
             heads = np.flatnonzero(new)
-            best = np.minimum.reduceat(rank, heads)
-            group = np.cumsum(new) - 1
-            done = best[group] == _NONE
+            best = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(word))))
+            open_ = best != _NONE
+            hit = np.flatnonzero(open_ & (rank == best))
+            hit = hit[np.append(True, word[hit][1:] != word[hit][:-1])] if len(hit) else hit  # the leftmost in each word
+            size[hit] += size[hit + 1]
+            found[hit] = edge[hit]
+            done = ~open_
             if done.any():
                 starts.append(start[done])
                 founds.append(found[done])
-                keep = ~done
-                word, start, size, found, edge, rank, group = (x[keep] for x in (word, start, size, found, edge, rank, group))
-                if not len(word):
-                    break
-            hit = np.flatnonzero(rank == best[group])
-            hit = hit[np.append(True, group[hit][1:] != group[hit][:-1])]  # the leftmost in each word
-            size[hit] += size[hit + 1]
-            found[hit] = edge[hit]
-            keep = np.ones(len(word), bool)
-            keep[hit + 1] = False
-            at = hit - np.arange(len(hit))  # where the merged symbols stand without those they took in
-            word, start, size, found, edge, rank = (x[keep] for x in (word, start, size, found, edge, rank))
-            touched = np.concatenate((at, at[at > 0] - 1))
-            edge[touched], rank[touched] = -1, _NONE
-            inner, got, ranks = pairs(touched)
-            edge[inner], rank[inner] = got, ranks
+            keep = open_
+            keep[hit + 1] = False  # taken in
+            left = np.flatnonzero(keep)
+            at = np.searchsorted(left, hit)
+            word, start, size, found, edge, rank = (x.take(left) for x in (word, start, size, found, edge, rank))
+            for k in (at, at[at > 0] - 1):
+                inner = k[k + 1 < len(word)]
+                edge[k] = -1
+                edge[inner] = over(inner)
+                rank[k] = ranks[edge[k]]
         for w in np.flatnonzero(~short):
-            s, f = self._merge_one(int(first[w]), int(length[w]), key, piece)
+            s, f = self._merge_one(int(first[w]), int(length[w]), edges)
             starts.append(s)
             founds.append(f)
         none = np.zeros(0, np.int64)
-        return np.concatenate(starts or [none]), np.concatenate(founds or [none])
+        return np.concatenate(starts or [none]).astype(np.int64), np.concatenate(founds or [none])
 
-    def _merge_one(self, first: int, n: int, key, piece):
+    def _merge_one(self, first: int, n: int, edges: np.ndarray):
         """The same for one long word, with a heap of candidate edges."""
         wide = self.depth + 1
-        a, b = np.searchsorted(key, (first * wide, (first + n) * wide))
-        edge = dict(zip(key[a:b].tolist(), piece[a:b].tolist()))
+        edge = edges[first * wide : (first + n) * wide].tolist()
         size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
-        found = [edge.get((first + i) * wide + 1, -1) for i in range(n)]
+        found = [edge[i * wide + 1] for i in range(n)]
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (both := size[i] + size[j]) <= self.depth and (p := edge.get((first + i) * wide + both)) is not None:
+            if j < n and (both := size[i] + size[j]) <= self.depth and (p := edge[i * wide + both]) >= 0:
                 heapq.heappush(heap, (int(self.rank[p]), i, both, p))
 
         for i in range(n):
@@ -282,26 +300,52 @@ class Matcher:
         none = np.zeros(0, np.int64)
         return np.concatenate(starts or [none]), np.concatenate(founds or [none])
 
+    def _words(self, text: str) -> list[str]:
+        """The words of a text, without the mark of a single space in front."""
+        if not text:
+            return []
+        if self.whole_texts:
+            return [SPACE + text.replace(" ", SPACE)]
+        if "  " not in text and text[0] != " " and SPACE not in text:
+            return text.split(" ")
+        return [w[1:] if w[1:2] != SPACE else w for w in _WORDS.findall(SPACE + text.replace(" ", SPACE))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; words met before are not encoded again."""
-        split = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if self.whole_texts:
-            split = [["".join(words)] if words else [] for words in split]
-        new = list({w for words in split for w in words if w not in self.kept})
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept = {}
-            new = list({w for words in split for w in words})
-        kept = self.kept
-        kept.update(zip(new, self.encode_words(new)))
-        return [b"".join([kept[w] for w in words]) for words in split]
+        split = [self._words(t) for t in texts]
+        met = set().union(*split)
+        if len(self.kept) > KEPT_WORDS:
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
+        missing = met.difference(kept)
+        for w in missing.intersection(older):
+            kept[w] = older[w]
+        new = list(missing.difference(older))
+        kept.update(zip(new, self.encode_words([w if w[:1] == SPACE else SPACE + w for w in new])))
+        return [b"".join(map(kept.__getitem__, words)) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         """What the ids stand for; ids outside the vocabulary are an error."""
-        surface = self.pieces.surface
-        if ids and min(ids) < 0:
-            raise IndexError(f"no piece has the id {min(ids)}")
-        text = b"".join([surface[i] for i in ids])
-        return (text[1:] if text.startswith(b" ") else text).decode("utf-8", "replace")
+        return self.decode_lists(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode("utf-8", "replace")
+
+    def decode_lists(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of several lists, ids[ends[0]:ends[1]] and so on, without the space put in front of each."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < self.pieces.size:
+            raise IndexError("an id stands for no piece")
+        if self.surface is None:
+            sizes = np.array([len(x) for x in self.pieces.surface])
+            self.surface = np.frombuffer(b"".join(self.pieces.surface), np.uint8), np.cumsum(sizes) - sizes, sizes
+        data, begin, sizes = self.surface
+        out: list[bytes] = []
+        for k in range(0, len(ends) - 1, 64):  # some lists at a time
+            some = ends[k : k + 65]
+            part = ids[some[0] : some[-1]]
+            size = sizes[part]
+            after = np.cumsum(size)
+            text = data[np.repeat(begin[part] - after + size, size) + np.arange(after[-1] if len(after) else 0)].tobytes()
+            cut = np.append(0, after)[some - some[0]].tolist()
+            out += [text[a + (text[a : a + 1] == b" ") : b] if b > a else b"" for a, b in zip(cut, cut[1:])]
+        return out
 
 
 def _matcher(df: DataFrame, model_file: str):
@@ -325,7 +369,12 @@ def decode_ids(rows: DataFrame, ids_col="piece_ids", text_col="decoded", model_f
     sent = _matcher(rows, model_file)
 
     def decode(ids: pa.Array) -> pa.Array:
-        return pa.array([None if i is None else sent.value.decode(i) for i in ids.to_pylist()], pa.string())
+        texts = sent.value.decode_lists(ids.values.to_numpy(), ids.offsets.to_numpy())
+        valid = pa.array([t if known else None for t, known in zip(texts, ids.is_valid().to_pylist())], pa.binary())
+        try:
+            return valid.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no text
+            return pa.array([None if t is None else t.decode("utf-8", "replace") for t in valid.to_pylist()], pa.string())
 
     return rows.withColumn(text_col, arrow_column(decode, "string", F.col(ids_col)))
 
