@@ -10,6 +10,8 @@ Conventions of every operator in this package
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +61,13 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case and nothing else, which lower() doesn't promise."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def give_back() -> None:
+    """Hands memory that is free again to the system; an idle Python worker would keep it from the others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with this C library
+        pass
 
 
 def with_text(docs: DataFrame, text: Column, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

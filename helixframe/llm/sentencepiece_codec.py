@@ -2,7 +2,7 @@
 
 The texts of an Arrow batch are cut into words (a run of spaces and what follows up to the next space; pieces
 never cross that unless the vocabulary says so, and then a text is one word).  The distinct words that
-the worker has not met yet are put one after another, their suffixes are sorted as far as the longest piece
+the task has not met yet are put one after another, their suffixes are sorted as far as the longest piece
 reaches, and every piece of the vocabulary is looked up by binary search, which gives the range of its
 occurrences.  The occurrences are the edges of a lattice; sorted by position they are relaxed:
 
@@ -20,19 +20,21 @@ list of ids decode to U+FFFD; null lists decode to null.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, session_of
+from .common import arrow_column, give_back, session_of
 from .pieces import BPE, DEFAULT_MODEL, SPACE, UNUSED, Pieces, load_pieces
 
-#: Words whose ids a worker keeps before it sets about forgetting the older ones, and characters that it indexes at once.
-KEPT_WORDS, INDEXED_CHARS = 250_000, 400_000
+#: Words whose ids a task keeps before it sets about forgetting the older ones, and characters that it indexes at once.
+KEPT_WORDS, INDEXED_CHARS = 150_000, 200_000
 #: Longer words are merged one at a time, with a heap.
 LOCKSTEP = 48
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -83,8 +85,12 @@ class Matcher:
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def __getstate__(self):
-        return self.__dict__ | {"kept": {}, "older": {}}
+    def fresh(self) -> Matcher:
+        """The same tables with no words yet, for a task of its own: idle Python workers outnumber the busy ones, and
+        would each hold on to the words that they met."""
+        one = copy.copy(self)
+        one.kept, one.older = {}, {}
+        return one
 
     def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position * (depth + 1) + length, piece) of every occurrence of a piece."""
@@ -356,10 +362,14 @@ def encode_texts(docs: DataFrame, text_col="text", ids_col="piece_ids", model_fi
     """docs with the ids of each text (replacing a column of that name)."""
     sent = _matcher(docs, model_file)
 
-    def encode(text: pa.Array) -> pa.Array:
-        coded = sent.value.encode([t or "" for t in text.to_pylist()])
-        ends = np.cumsum([0] + [len(c) // 4 for c in coded])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = sent.value.fresh()
+        for text in texts:
+            coded = matcher.encode([t or "" for t in text.to_pylist()])
+            ends = np.cumsum([0] + [len(c) // 4 for c in coded])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+        del matcher
+        give_back()
 
     return docs.withColumn(ids_col, arrow_column(encode, "array<int>", F.col(text_col)))
 
