@@ -14,7 +14,6 @@ are all reported.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np

@@ -230,7 +230,7 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", size=WINDO
     shared = stored(runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"))
     runs = stored(runs.join(shared, "anchor"))
     kinds = stored(runs.groupBy("anchor", "content", "windows").agg(F.min(F.struct("id", "hash", "begin")).alias("one"), F.max("id").alias("last")))
-    wide = kinds.groupBy("anchor").count().filter(F.col("count") > variants).select("anchor", F.lit(True).alias("wide"))
+    wide = stored(kinds.groupBy("anchor").count().filter(F.col("count") > variants).select("anchor", F.lit(True).alias("wide")))
     words = kinds.agg(F.coalesce(F.sum(F.col("windows") + (size - 1)), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("anchor"), F.lit(-(-words // shard_words) or 1))
     wanted = kinds.join(wide, "anchor", "left").select(
