@@ -73,20 +73,28 @@ class Alphabet:
     # columns
 
     def encode(self, text: Column | str) -> Column:
-        """The text in canonical characters. translate() keeps lengths, which upper() doesn't."""
+        """The text in canonical characters. translate() keeps lengths, which upper() doesn't.
+
+        One pass settles the characters of ASCII and Latin-1; the expression after it finds the rest, mostly nothing.
+        """
         text = F.col(text) if isinstance(text, str) else text
-        variants = [(c, g[0]) for g in self.groups for c in g[1:]]
-        if variants:
-            text = F.translate(text, *("".join(x) for x in zip(*variants)))
+        default = self.canonical[self.default]
+        pairs = [(c, g[0]) for g in self.groups for c in g[1:]]
+        pairs += [(chr(i), default) for i in range(1, 256) if chr(i) not in self._map]
+        text = F.translate(text, *("".join(x) for x in zip(*pairs)))
         allowed = "".join(re.escape(c) for c in self.canonical)
-        return F.regexp_replace(text, f"(?s)[^{allowed}]", re.sub(r"([\\$])", r"\\\1", self.canonical[self.default]))
+        return F.regexp_replace(text, f"(?s)[^{allowed}]", re.sub(r"([\\$])", r"\\\1", default))
 
     def only_known(self, text: Column | str) -> Column:
         """The text without characters of no group or of the unknown symbol."""
         text = F.col(text) if isinstance(text, str) else text
         kept = [g for g in self.groups if g[0] != self.unknown]
-        letters = "".join(re.escape(c) for g in kept for c in g)
-        return self.encode(F.regexp_replace(text, f"(?s)[^{letters}]", ""))
+        letters = "".join(c for g in kept for c in g)
+        variants = [(c, g[0]) for g in kept for c in g[1:]]
+        gone = "".join(chr(i) for i in range(1, 256) if chr(i) not in letters)
+        before, after = ("".join(x) for x in zip(*variants)) if variants else ("", "")
+        text = F.translate(text, before + gone, after)  # what has no counterpart goes
+        return F.regexp_replace(text, "(?s)[^" + "".join(re.escape(g[0]) for g in kept) + "]+", "")
 
     def codes(self, text: Column | str) -> Column:
         """The codes of an encoded text, an array."""

@@ -43,3 +43,12 @@ def running_total(df: DataFrame, order: list[str | Column], value: str | Column,
 def row_numbers(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
     """df with 0, 1, 2, ... in the given order."""
     return running_total(df, order, F.lit(1), out)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for work that makes far more of each row than moving it costs.
+
+    A table of a few large row groups is dealt out; one of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

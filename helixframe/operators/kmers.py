@@ -48,9 +48,12 @@ def kmers(seqs: DataFrame, k: int, keep: list[str] | None = None, seq_col: str =
 def unknown_count(kmer: Column | str, alphabet: Alphabet = DNA) -> Column:
     """How many symbols are the unknown one."""
     kmer = F.col(kmer) if isinstance(kmer, str) else kmer
-    if alphabet.unknown is None:
-        return F.lit(0)
-    return F.length(kmer) - F.length(F.translate(kmer, alphabet.unknown, ""))
+    return F.lit(0) if alphabet.unknown is None else symbol_count(kmer, alphabet.unknown)
+
+
+def symbol_count(text: Column, symbol: str) -> Column:
+    """How often a symbol stands in a text."""
+    return F.length(text) - F.length(F.replace(text, F.lit(symbol), F.lit("")))
 
 
 def count_kmers(seqs: DataFrame, k: int) -> DataFrame:
@@ -62,9 +65,15 @@ def distinct_kmers(seqs: DataFrame, k: int, spread: bool = False) -> DataFrame:
     return kmers(seqs, k, [], spread=spread).select("kmer").distinct()
 
 
-def count_canonical(seqs: DataFrame, k: int, alphabet: Alphabet = DNA) -> DataFrame:
-    """kmer, n: of a k-mer and its reverse complement the one that sorts first, with the occurrences of either."""
-    found = kmers(seqs, k, [])
-    one, other = alphabet.sort_key("kmer"), alphabet.sort_key(alphabet.reverse_complement("kmer"))
-    least = found.select(alphabet.from_sort_key(F.least(one, other)).alias("kmer"))
-    return least.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+def count_canonical(seqs: DataFrame, k: int, alphabet: Alphabet = DNA, seq_col: str = "seq") -> DataFrame:
+    """kmer, n: of a k-mer and its reverse complement the one that sorts first, with the occurrences of either.
+
+    Pieces are turned and put into sort order's letters whole; k-mers are only cut from them and compared.
+    """
+    cut = seqs.filter(F.length(seq_col) >= k).select(F.explode(pieces(F.col(seq_col), max(PIECE, k), k - 1)).alias("__p"))
+    part = F.col("__p.part")
+    both = cut.filter(F.length(part) >= k).select(alphabet.sort_key(part).alias("__one"), alphabet.sort_key(alphabet.reverse_complement(part)).alias("__other"))
+    each = both.select("__one", "__other", F.explode(F.sequence(F.lit(0), F.length("__one") - k)).alias("__i"))
+    turned = F.substring("__other", F.length("__other") - k - F.col("__i") + 1, F.lit(k))
+    counts = each.select(F.least(F.substring("__one", F.col("__i") + 1, F.lit(k)), turned).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(alphabet.from_sort_key("key").alias("kmer"), "n")

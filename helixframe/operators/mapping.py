@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
+from ..functions.shared import saved
 from .kmers import kmers, unknown_count
 from .text import both_strands
 
 
+#: Up to so many k-mers of items are broadcast (about 60 bytes each).
+BROADCAST_KMERS = 500_000
+
+
 def seeds(reads: DataFrame, seqs: DataFrame, k: int, read_id: str = "ord", read_seq: str = "seq", alphabet: Alphabet = DNA) -> DataFrame:
     """read, seq_id, strand, diagonal (begin of the read on that strand), n: exact k-mers in common, by where they put the read."""
     mine = kmers(reads.select(F.col(read_id).alias("read"), alphabet.encode(read_seq).alias("seq")), k, ["read"]).filter(unknown_count("kmer", alphabet) == 0)
@@ -41,7 +46,13 @@ def map_reads(reads: DataFrame, seqs: DataFrame, k: int, tau: int, read_id: str
 
 
 def contamination_seeds(docs: DataFrame, items: DataFrame, k: int, doc_id: str, item_id: str, doc_seq: str, item_seq: str) -> DataFrame:
-    """doc, item, n: pairs with k-mers in common and how many different ones."""
-    mine = kmers(docs.select(F.col(doc_id).alias("doc"), F.col(doc_seq).alias("seq")), k, ["doc"]).select("doc", "kmer").distinct()
-    theirs = kmers(items.select(F.col(item_id).alias("item"), F.col(item_seq).alias("seq")), k, ["item"]).select("item", "kmer").distinct()
-    return mine.join(theirs, "kmer").groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n"))
+    """doc, item, n: pairs with k-mers in common and how many different ones.
+
+    The documents' k-mers meet those of the items before they are made distinct, so that few are moved; the items'
+    are broadcast if there are not too many.
+    """
+    theirs = saved(kmers(items.select(F.col(item_id).alias("item"), F.col(item_seq).alias("seq")), k, ["item"]).select("item", "kmer").distinct())
+    if theirs.count() <= BROADCAST_KMERS:
+        theirs = F.broadcast(theirs)
+    mine = kmers(docs.select(F.col(doc_id).alias("doc"), F.col(doc_seq).alias("seq")), k, ["doc"]).select("doc", "kmer")
+    return mine.join(theirs, "kmer").select("doc", "item", "kmer").distinct().groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n"))

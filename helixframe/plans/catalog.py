@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA
-from ..functions.shared import saved
+from ..functions.shared import saved, spread
 from ..operators import kmers as km
 from ..operators import mapping, neighbors, search, suffix, text
 from ..sources.readers import new_reads, raw_reads
@@ -82,8 +82,8 @@ def sym_codes(spark, sf_dir):
 SELECT code, symbol, CAST(sum(length(seq) - length(replace(seq, symbol, ''))) AS BIGINT) AS n FROM e, symbols GROUP BY code, symbol"""
 )
 def sym_counts(spark, sf_dir):
-    seq = _table(spark, sf_dir, "documents").select(DNA.encode("text").alias("seq"))
-    counts = seq.agg(*[F.sum((F.length("seq") - F.length(F.translate("seq", c, ""))).cast("bigint")).alias(c) for c in DNA.canonical])
+    seq = spread(_table(spark, sf_dir, "documents").select("text")).select(DNA.encode("text").alias("seq"))
+    counts = seq.agg(*[F.sum(km.symbol_count(F.col("seq"), c).cast("bigint")).alias(c) for c in DNA.canonical])
     rows = F.array(*[F.struct(F.lit(i).alias("code"), F.lit(c).alias("symbol"), F.col(c).alias("n")) for i, c in enumerate(DNA.canonical)])
     return counts.select(F.explode(rows).alias("x")).select("x.*")
 
@@ -179,7 +179,7 @@ def kmer_distinct(spark, sf_dir):
 
 @_query(f"WITH d AS (SELECT {_LETTERS} AS seq FROM documents) SELECT least(kmer, {_RC.format('kmer')}) AS kmer, count(*) AS n FROM {_kmers(K_COUNT, 'd')} GROUP BY 1")
 def canonical_kmer_count(spark, sf_dir):
-    return km.count_canonical(_table(spark, sf_dir, "documents").select(DNA.only_known("text").alias("seq")), K_COUNT)
+    return km.count_canonical(spread(_table(spark, sf_dir, "documents").select("text")).select(DNA.only_known("text").alias("seq")), K_COUNT)
 
 
 _PATTERNS = f"patterns AS (SELECT DISTINCT substr(seq, 1, {K_COUNT}) AS pattern FROM seqs WHERE length(seq) >= {K_COUNT})"
@@ -398,7 +398,7 @@ seeds AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT DISTINCT doc_id, km
 
 
 def _seeds(spark, sf_dir):
-    letters = lambda name, key: _table(spark, sf_dir, name).select(key, DNA.only_known("text").alias("seq"))
+    letters = lambda name, key: spread(_table(spark, sf_dir, name).select(key, "text")).select(key, DNA.only_known("text").alias("seq"))
     return mapping.contamination_seeds(letters("documents", "doc_id"), letters("benchmark", "item_id"), K_SEED, "doc_id", "item_id", "seq", "seq")
 
 
