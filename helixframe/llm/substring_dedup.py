@@ -246,7 +246,9 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", size=WINDO
     back = each.join(least, ["anchor", "window"]).groupBy("anchor", "content", "windows").agg(F.array_sort(F.collect_list(F.struct("a", "least"))).alias("s"))
     judged = judged.unionByName(back.select("anchor", "content", "windows", F.transform("s", lambda x: F.struct(x["a"].alias("a"), (x["a"] + 1).alias("b"), x["least"].alias("owner"))).alias("spans")))
     # rows that repeat an id and a text bring the same runs twice; and a kind matters if some document that has it follows an owner
-    judged = judged.dropDuplicates(["anchor", "content", "windows"]).join(kinds.select("anchor", "content", "windows", "last"), ["anchor", "content", "windows"]).filter(F.exists("spans", lambda s: s["owner"] < F.col("last"))).drop("last")
+    judged = judged.dropDuplicates(["anchor", "content", "windows"]).join(kinds.select("anchor", "content", "windows", "last"), ["anchor", "content", "windows"])
+    # written: the runs of a large group of copies meet one verdict, and that join can be split if nothing else shares its stage
+    judged = stored(judged.filter(F.exists("spans", lambda s: s["owner"] < F.col("last"))).drop("last"))
     hit = runs.join(judged, ["anchor", "content", "windows"]).withColumn("spans", F.filter("spans", lambda s: s["owner"] < F.col("id"))).filter(F.size("spans") > 0)
     pairs = F.transform("spans", lambda s: F.struct((F.col("begin") + s["a"]).alias("first"), (F.col("begin") + s["b"] + (size - 1)).alias("end")))
     return hit.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), pairs.alias("spans")).groupBy("__id", "__hash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
