@@ -2,15 +2,17 @@
 
 Two symbols mismatch if they differ or the first is the unknown one (N), so N costs one even against N.
 
-Pigeonhole: of tau + 1 fragments of a k-mer, one is free of tau mismatches, and so equal in both and without N.
-Pairs come from an equi-join on (fragment, place), and only from the first fragment that
-they share, so no pair is made twice.  K-mers are packed two bits a symbol once each, and pairs are verified
-with a few bit operations.
+Pigeonhole: of tau + s fragments of a k-mer, s at least are free of tau mismatches, and so equal in both and without N.
+Pairs come from an equi-join on s fragments at a time, and only from the first s that they share, so no pair is
+made twice.  With s = 1 there are tau + 1 short keys for each k-mer; a larger s gives more and longer
+keys, and is taken where short ones would bring too many k-mers together.  K-mers are packed two bits a symbol once
+each, and pairs are verified with a few bit operations.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from .text import both_strands
 PACK = 31
 ODD_BITS = 0x5555555555555555
 MOST_TAU, LEAST_K, MOST_K = 3, 2, 254
+#: K-mers that share a key, on average, and the most fragments in a key.
+BUCKET, MOST_SHARED = 16, 3
 
 
 def check_parameters(k: int, tau: int, any_tau: bool = False) -> None:
@@ -70,35 +74,53 @@ def positions_of(words: Column, k: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda p: F.getbit(F.get(words, seg(p)), bit(p)) == 1)
 
 
-def _fragments(k: int, tau: int) -> list[tuple[int, int]]:
-    cuts = [k * i // (tau + 1) for i in range(tau + 2)]
+def _fragments(k: int, count: int) -> list[tuple[int, int]]:
+    cuts = [k * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _placed(rows: DataFrame, kmer_col: str, k: int, tau: int, side: str, alphabet: Alphabet) -> DataFrame:
-    """A row for each fragment without unknown symbols: kmer, bits, unknown, the fragment's place and text."""
+def shared_fragments(k: int, tau: int, rows: int, symbols: int = 4) -> int:
+    """How many fragments to join on: the fewest whose keys bring BUCKET k-mers together on average at most."""
+    for s in range(1, MOST_SHARED):
+        if tau + s >= k or symbols ** (s * k // (tau + s)) * BUCKET >= rows:
+            return s
+    return min(MOST_SHARED, k - tau)
+
+
+def _placed(rows: DataFrame, kmer_col: str, k: int, tau: int, shared: int, side: str, alphabet: Alphabet) -> DataFrame:
+    """A row for each choice of fragments without unknown symbols: kmer, bits, unknown, the choice (as bits) and its text."""
     bits, unknown = packed(F.col(kmer_col), k, alphabet)
-    fragments = F.array(*[F.struct(F.lit(i).alias("place"), F.substring(kmer_col, a + 1, n).alias("text")) for i, (a, n) in enumerate(_fragments(k, tau))])
+    parts = _fragments(k, tau + shared)
+    keys = [
+        F.struct(F.lit(sum(1 << i for i in choice)).alias("choice"), F.concat(*[F.substring(kmer_col, parts[i][0] + 1, parts[i][1]) for i in choice]).alias("text"))
+        for choice in combinations(range(tau + shared), shared)
+    ]
+    found = F.array(*keys)
     if alphabet.unknown is not None:
-        fragments = F.filter(fragments, lambda f: F.instr(f["text"], alphabet.unknown) == 0)
-    return rows.select(F.col(kmer_col).alias(side), bits.alias(f"{side}_bits"), unknown.alias(f"{side}_unknown"), F.explode(fragments).alias("f")).select(side, f"{side}_bits", f"{side}_unknown", "f.place", "f.text")
+        found = F.filter(found, lambda f: F.instr(f["text"], alphabet.unknown) == 0)
+    return rows.select(F.col(kmer_col).alias(side), bits.alias(f"{side}_bits"), unknown.alias(f"{side}_unknown"), F.explode(found).alias("f")).select(side, f"{side}_bits", f"{side}_unknown", "f.choice", "f.text")
 
 
-def hamming_join(left: DataFrame, right: DataFrame, k: int, tau: int, left_col: str = "kmer", right_col: str = "kmer", alphabet: Alphabet = DNA, below: bool = False) -> DataFrame:
+def hamming_join(left: DataFrame, right: DataFrame, k: int, tau: int, left_col: str = "kmer", right_col: str = "kmer", alphabet: Alphabet = DNA, below: bool = False, shared: int = 1) -> DataFrame:
     """a, b, dist, mism (words): pairs of distinct k-mers of left and right within tau mismatches.
 
-    Equal ones count too, unless `below`, which takes pairs with a < b only (for a join with itself).
+    Equal ones count too, unless `below`, which takes pairs with a < b only (for a join with itself). `shared` is
+    the number of fragments to join on; the result doesn't depend on it.
     """
-    one, two = _placed(left, left_col, k, tau, "a", alphabet), _placed(right, right_col, k, tau, "b", alphabet)
-    pairs = one.join(two, ["place", "text"])
+    if not 1 <= shared <= k - tau:
+        raise ValueError("there are not so many fragments")
+    one, two = (_placed(x, c, k, tau, shared, side, alphabet) for x, c, side in ((left, left_col, "a"), (right, right_col, "b")))
+    pairs = one.join(two, ["choice", "text"])
     if below:
         pairs = pairs.filter("a < b")
-    earlier = []
-    for i, (a, n) in enumerate(_fragments(k, tau)[:-1]):
+    equal = F.lit(0)  # the fragments that are equal in both and clean, as bits
+    for i, (a, n) in enumerate(_fragments(k, tau + shared)):
         x, y = F.substring("a", a + 1, n), F.substring("b", a + 1, n)
         clean = (x == y) & (F.instr(x, alphabet.unknown) == 0) if alphabet.unknown is not None else x == y
-        earlier.append((F.col("place") > i) & clean)
-    pairs = pairs.filter(~reduce(lambda p, q: p | q, earlier)) if earlier else pairs
+        equal = equal + F.when(clean, 1 << i).otherwise(0)
+    # a pair counts where its choice is all that it shares up to the choice's last fragment
+    up_to = reduce(lambda p, i: F.when(F.col("choice") >= 1 << i, (2 << i) - 1).otherwise(p), range(tau + shared), F.lit(0))
+    pairs = pairs.filter(equal.bitwiseAND(up_to) == F.col("choice"))
     pairs = pairs.select("a", "b", _differences(k).alias("mism"))
     dist = reduce(lambda p, q: p + q, [F.bit_count(F.col("mism")[i]) for i in range(len(_segments(k)))])
     return pairs.select("a", "b", dist.cast("int").alias("dist"), "mism").filter(F.col("dist") <= tau)
@@ -114,7 +136,7 @@ def hamming_pairs(seqs: DataFrame, k: int, tau: int, alphabet: Alphabet = DNA) -
     """a, b, dist, mism: unordered pairs (a < b) of distinct k-mers of both strands within tau mismatches."""
     check_parameters(k, tau)
     found = saved(text_kmers(seqs, k, tau, alphabet))
-    return hamming_join(found, found, k, tau, alphabet=alphabet, below=True)
+    return hamming_join(found, found, k, tau, alphabet=alphabet, below=True, shared=shared_fragments(k, tau, found.count()))
 
 
 def search(queries: DataFrame, seqs: DataFrame, k: int, tau: int, alphabet: Alphabet = DNA, free_unknown: bool = True, boundary: bool = False) -> DataFrame:
@@ -132,8 +154,9 @@ def search(queries: DataFrame, seqs: DataFrame, k: int, tau: int, alphabet: Alph
         return every.filter(alphabet.sort_key("hit") <= alphabet.sort_key("query"))
     found = saved(text_kmers(seqs, k, None, alphabet))
     wanted = queries.select(F.col("query")).distinct()
+    rows = found.count()
     if not free_unknown or alphabet.unknown is None:
-        return hamming_join(wanted, found, k, tau, "query", "kmer", alphabet).select(F.col("a").alias("query"), F.col("b").alias("hit"), "dist", "mism")
+        return hamming_join(wanted, found, k, tau, "query", "kmer", alphabet, shared=shared_fragments(k, tau, rows)).select(F.col("a").alias("query"), F.col("b").alias("hit"), "dist", "mism")
     at = F.filter(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("query"), i, F.lit(1)) == alphabet.unknown)
     masks = [tuple(r[0]) for r in wanted.select(at.alias("at")).distinct().collect()]  # the places of N in queries, a few kinds
     parts = []
@@ -145,14 +168,14 @@ def search(queries: DataFrame, seqs: DataFrame, k: int, tau: int, alphabet: Alph
             raise ValueError("a query of unknown symbols matches everything")
         left = mine.select("query", short("query").alias("__s"))
         right = found.select("kmer", short("kmer").alias("__s"))
-        pairs = hamming_join(left.select("__s").distinct(), right.select("__s").distinct(), len(keep), tau, "__s", "__s", alphabet)
+        pairs = hamming_join(left.select("__s").distinct(), right.select("__s").distinct(), len(keep), tau, "__s", "__s", alphabet, shared=shared_fragments(len(keep), tau, rows))
         full = left.join(pairs, F.col("__s") == F.col("a")).select("query", "b", "dist").join(right, F.col("b") == F.col("__s")).select("query", F.col("kmer").alias("hit"), "dist")
         q, qn = packed(F.col("query"), k, alphabet)
         h, hn = packed(F.col("hit"), k, alphabet)
         full = full.select("query", "hit", "dist", q.alias("a_bits"), qn.alias("a_unknown"), h.alias("b_bits"), hn.alias("b_unknown"))
         parts.append(full.select("query", "hit", "dist", _differences(k).alias("mism")))
     if not parts:
-        return hamming_join(wanted, found, k, tau, "query", "kmer", alphabet).select(F.col("a").alias("query"), F.col("b").alias("hit"), "dist", "mism")
+        return hamming_join(wanted, found, k, tau, "query", "kmer", alphabet, shared=shared_fragments(k, tau, rows)).select(F.col("a").alias("query"), F.col("b").alias("hit"), "dist", "mism")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -175,7 +198,7 @@ def annotate(seqs: DataFrame, k: int, tau: int, alphabet: Alphabet = DNA) -> Dat
     """
     check_parameters(k, tau)
     found = saved(text_kmers(seqs, k, tau, alphabet))
-    half = hamming_join(found, found, k, tau, alphabet=alphabet, below=True)
+    half = hamming_join(found, found, k, tau, alphabet=alphabet, below=True, shared=shared_fragments(k, tau, found.count()))
     pairs = half.select(F.explode(F.array("a", "b")).alias("kmer"), "dist", "mism")  # each pair once, seen from either side
     words = len(_segments(k))
     by = pairs.groupBy("kmer", "dist").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.col("mism")[i]).alias(f"m{i}") for i in range(words)])

@@ -228,3 +228,18 @@ def test_annotation_of_the_reverse_strand_is_a_mirror(spark, repeats):
     for kmer, r in ann.items():
         other = ann[kmer[::-1].translate(str.maketrans("ACGT", "TGCA"))]
         assert (r.dist, r.neigh_cnt, sorted(11 - p for p in r.align_pos)) == (other.dist, other.neigh_cnt, other.align_pos)
+
+
+def test_pairs_do_not_depend_on_the_fragments_joined_on(spark):
+    import random
+
+    rnd = random.Random(9)
+    rows = {"".join(rnd.choice("ACGTN" if rnd.random() < 0.1 else "AC") for _ in range(11)) for _ in range(150)}
+    df = spark.createDataFrame([(x,) for x in rows], "kmer string")
+    for tau in (1, 2, 3):
+        want = sorted((a, b, d) for a in rows for b in rows if a < b and (d := sum(x != y or x == "N" for x, y in zip(a, b))) <= tau)
+        for shared in (1, 2, 3):
+            got = neighbors.hamming_join(df, df, 11, tau, below=True, shared=shared).select("a", "b", "dist").collect()
+            assert sorted(map(tuple, got)) == want and len(want) > 20
+    assert neighbors.shared_fragments(25, 1, 10**6) == 1 and neighbors.shared_fragments(14, 3, 10_000) == 2 and neighbors.shared_fragments(25, 1, 10**10) == 2
+    assert neighbors.shared_fragments(3, 2, 10**6) == 1 and neighbors.shared_fragments(10, 3, 10**9) == 3
