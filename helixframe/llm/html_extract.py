@@ -84,10 +84,10 @@ def _hosts(url: pa.Array) -> pa.Array:
 
 
 def extract(html: str, box: tuple[str, ...] | None = None) -> str:
-    """The article of a page, its blocks joined by \\n."""
+    """The article of a page, its blocks joined by \\n; empty if the box is there and has no text."""
     page = parse(html)
     texts = texts_at(page, box) if box is not None else None
-    if not texts:
+    if texts is None:
         texts = texts_at(page, main_box(wrap(page)))
     return "\n".join(texts or ())
 

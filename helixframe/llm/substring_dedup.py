@@ -9,7 +9,7 @@ dealt out first, without losing a match:
    document has are done with; these are most of them.
 2. Runs with equal words are one row, with the smallest document that has it.  That takes in copies of
    any number before their words are ever moved.  The words of one run of each kind are fetched.
-3. An anchor decides on a shard; shards hold about ``SHARD_WORDS`` words, and each gets a compressed FM-index (suffix
+3. An anchor decides on a shard; shards hold at most about ``SHARD_WORDS`` words, and each gets a compressed FM-index (suffix
    array, BWT in a wavelet matrix).  The shard's runs are streamed through it by backward search, which keeps the
    longest match up to a window and reports where a window's interval holds an earlier document.
    Anchors with over ``VARIANTS`` different runs do not go into one shard: their windows are
@@ -232,7 +232,9 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", size=WINDO
     kinds = stored(runs.groupBy("anchor", "content", "windows").agg(F.min(F.struct("id", "hash", "begin")).alias("one"), F.max("id").alias("last")))
     wide = stored(kinds.groupBy("anchor").count().filter(F.col("count") > variants).select("anchor", F.lit(True).alias("wide")))
     words = kinds.agg(F.coalesce(F.sum(F.col("windows") + (size - 1)), F.lit(0))).first()[0]
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(-(-words // shard_words) or 1))
+    # enough shards for all tasks too, where a few of full size would hold everything
+    shards = max(-(-words // shard_words), 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
     wanted = kinds.join(wide, "anchor", "left").select(
         F.col("one.id").alias("id"), F.col("one.hash").alias("hash"), F.struct(F.coalesce("wide", F.lit(False)).alias("wide"), shard.alias("shard"), "anchor", "content", "windows", F.col("one.begin").alias("begin")).alias("want")
     )

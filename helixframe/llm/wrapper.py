@@ -33,6 +33,8 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.I | re.S,
 )
+#: A tag that the page's end cuts off is no text.
+_CUT_OFF = re.compile(r"<[a-z/!?][^<>]*\Z", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: A wrapper of more nodes loses the rarest; pages that need those are wrapped alone.
 MOST_NODES = 3000
@@ -110,7 +112,7 @@ def parse(html: str) -> Node:
                     if stack[k].sign.split("|")[0] == name:
                         del stack[k:]
                         break
-    words.append(html[at:])
+    words.append(_CUT_OFF.sub("", html[at:]))
     close_text()
     return root
 

@@ -450,6 +450,13 @@ def test_wrappers_have_optional_and_repeated_groups_and_slots():
     assert main_box(both) == ("body", "div")
 
 
+def test_cut_off_and_empty_pages():
+    assert html_extract.extract("<article><p>one<p>two</p><div cla") == "one\ntwo"
+    assert html_extract.extract("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
+    assert html_extract.extract("<body><div><p>x</p></div><article></article></body>", ("body", "article")) == ""
+    assert html_extract.extract("<body><div><p>x</p></div></body>", ("body", "article")) == "x"
+
+
 @pytest.mark.parametrize(
     "sign, out",
     [("nav", True), ("div|class=ad", True), ("div|class=content with-sidebar", False), ("div|class=article-sidebar", True), ("article|class=comment", True), ("article|class=post sidebar-left", False), ("div|class=shadow header_no-ads", True), ("div|class=download", False), ("body|class=has-header footer", False), ("section|id=comments", True), ("div|role=navigation", True), ("div|class=content-no-ads", False)],
