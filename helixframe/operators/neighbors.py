@@ -113,17 +113,20 @@ def hamming_join(left: DataFrame, right: DataFrame, k: int, tau: int, left_col:
     pairs = one.join(two, ["choice", "text"])
     if below:
         pairs = pairs.filter("a < b")
-    equal = F.lit(0)  # the fragments that are equal in both and clean, as bits
-    for i, (a, n) in enumerate(_fragments(k, tau + shared)):
-        x, y = F.substring("a", a + 1, n), F.substring("b", a + 1, n)
-        clean = (x == y) & (F.instr(x, alphabet.unknown) == 0) if alphabet.unknown is not None else x == y
+    pairs = pairs.select("choice", "a", "b", _differences(k).alias("mism"))
+    dist = reduce(lambda p, q: p + q, [F.bit_count(F.col("mism")[i]) for i in range(len(_segments(k)))])
+    near = pairs.select("choice", "a", "b", dist.cast("int").alias("dist"), "mism").filter(F.col("dist") <= tau)
+    equal = F.lit(0)  # the fragments without a mismatch, as bits
+    for i, (first, n) in enumerate(_fragments(k, tau + shared)):
+        clean = F.lit(True)
+        for w, (begin, size) in enumerate(_segments(k)):
+            mask = sum(1 << 2 * (size - 1 - (p - begin)) for p in range(max(first, begin), min(first + n, begin + size)))
+            if mask:
+                clean = clean & (F.col("mism")[w].bitwiseAND(F.lit(mask)) == 0)
         equal = equal + F.when(clean, 1 << i).otherwise(0)
     # a pair counts where its choice is all that it shares up to the choice's last fragment
     up_to = reduce(lambda p, i: F.when(F.col("choice") >= 1 << i, (2 << i) - 1).otherwise(p), range(tau + shared), F.lit(0))
-    pairs = pairs.filter(equal.bitwiseAND(up_to) == F.col("choice"))
-    pairs = pairs.select("a", "b", _differences(k).alias("mism"))
-    dist = reduce(lambda p, q: p + q, [F.bit_count(F.col("mism")[i]) for i in range(len(_segments(k)))])
-    return pairs.select("a", "b", dist.cast("int").alias("dist"), "mism").filter(F.col("dist") <= tau)
+    return near.filter(equal.bitwiseAND(up_to) == F.col("choice")).select("a", "b", "dist", "mism")
 
 
 def text_kmers(seqs: DataFrame, k: int, tau: int | None = None, alphabet: Alphabet = DNA) -> DataFrame:
