@@ -4,6 +4,8 @@ All pages take part: each task aligns the pages of a host that it meets into a p
 wrappers of a host are aligned in two more steps, salted, so a host with a third of all pages costs a task no more
 than a share of its partial wrappers (a few kilobytes each).  A host's wrapper says which box holds
 the article.  Pages then give the blocks of that box, whole; a page without it is wrapped by itself.
+A host with more boxes than a wrapper holds (such as a class of its own on every page) has no such box: each of its
+pages is wrapped by itself, and what its wrapper still knows, the texts that most of its pages share, counts a tenth.
 
 Defined cases: a null or empty html has no text; a null url, or one without a host, is a host of its own (empty);
 pages of one host may differ in any way; markup that is cut off or not closed is read as far as it goes.
@@ -14,18 +16,19 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_column, saved, session_of
-from .wrapper import Node, combine, main_box, parse, texts_at, wrap
+from .wrapper import Node, combine, fixed_texts, main_box, parse, texts_at, wrap
 
 #: Partial wrappers that a task holds before it passes them on, and the salts of a host's.
 HELD_HOSTS, SALTS = 500, 32
-#: Up to so many hosts' boxes are broadcast (about 200 bytes each), more are joined by shuffle.
-BROADCAST_HOSTS = 100_000
+#: Up to so many hosts' boxes are broadcast (about 200 bytes each, and no more in all), more are joined by shuffle.
+BROADCAST_HOSTS, BOX_CHARS = 100_000, 200
 
 
 def host_of(url: str | None) -> str:
@@ -75,25 +78,35 @@ def host_wrappers(pages: DataFrame, url_col="url", html_col="html") -> DataFrame
     return fewer.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(again, columns)
 
 
+def _box(wrapper: Node) -> list:
+    """[path of the article's box], or [null, marks of fixed texts] of a wrapper that lost some of its boxes."""
+    return [None, fixed_texts(wrapper)] if wrapper.pruned else [main_box(wrapper)]
+
+
 def _boxes(wrapper: pa.Array) -> pa.Array:
-    return pa.array([json.dumps(main_box(Node.of(json.loads(w)))) for w in wrapper.to_pylist()], pa.string())
+    return pa.array([json.dumps(_box(Node.of(json.loads(w)))) for w in wrapper.to_pylist()], pa.string())
 
 
 def _hosts(url: pa.Array) -> pa.Array:
     return pa.array([host_of(u) for u in url.to_pylist()], pa.string())
 
 
-def extract(html: str, box: tuple[str, ...] | None = None) -> str:
+def extract(html: str, box: tuple[str, ...] | None = None, fixed: frozenset[int] = frozenset()) -> str:
     """The article of a page, its blocks joined by \\n; empty if the box is there and has no text."""
     page = parse(html)
     texts = texts_at(page, box) if box is not None else None
     if texts is None:
-        texts = texts_at(page, main_box(wrap(page)))
+        texts = texts_at(page, main_box(wrap(page), fixed))
     return "\n".join(texts or ())
 
 
 def _texts(html: pa.Array, box: pa.Array) -> pa.Array:
-    return pa.array([extract(h or "", None if b is None else tuple(json.loads(b))) for h, b in zip(html.to_pylist(), box.to_pylist())], pa.string())
+    @lru_cache(4)
+    def known(b: str | None) -> tuple[tuple[str, ...] | None, frozenset[int]]:
+        path, *fixed = json.loads(b) if b else [None]
+        return None if path is None else tuple(path), frozenset(*fixed)
+
+    return pa.array([extract(h or "", *known(b)) for h, b in zip(html.to_pylist(), box.to_pylist())], pa.string())
 
 
 def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", broadcast_hosts=BROADCAST_HOSTS) -> DataFrame:
@@ -101,7 +114,8 @@ def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="h
     session_of(pages)
     wrappers = host_wrappers(pages, url_col, html_col)
     boxes = saved(wrappers.select(F.col("host").alias("__host"), arrow_column(_boxes, "string", F.col("wrapper")).alias("__box")))
-    if boxes.count() <= broadcast_hosts:
+    hosts, chars = boxes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("__box")), F.lit(0))).first()
+    if hosts <= broadcast_hosts and chars <= BOX_CHARS * broadcast_hosts:
         boxes = F.broadcast(boxes)
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"), arrow_column(_hosts, "string", F.col(url_col)).alias("host"))
     joined = rows.join(boxes, F.col("host") == F.col("__host"), "left")

@@ -36,13 +36,15 @@ _TOKEN = re.compile(
 #: A tag that the page's end cuts off is no text.
 _CUT_OFF = re.compile(r"<[a-z/!?][^<>]*\Z", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-#: A wrapper of more nodes loses the rarest; pages that need those are wrapped alone.
+#: A wrapper of more nodes loses the rarest and is marked as pruned; it says no more which box holds the article, and
+#: every page of its host is wrapped alone, told only which texts stand on most of the host's pages.
 MOST_NODES = 3000
 
 
 @dataclass
 class Node:
-    """A group of the expression. sign: tag and marks; pages: how many have it; chars: of text in it, on all pages."""
+    """A group of the expression. sign: tag and marks; pages: how many have it; chars: of text in it, on all pages; pruned:
+    whether groups were taken out of it (roots only)."""
 
     sign: str
     slot: bool = False
@@ -54,14 +56,15 @@ class Node:
     pages: int = 1
     chars: int = 0
     texts: list[str] = field(default_factory=list, repr=False)
+    pruned: bool = False
 
     def plain(self) -> list:
-        flags = self.slot + 2 * self.optional + 4 * self.repeated + 8 * self.variable
+        flags = self.slot + 2 * self.optional + 4 * self.repeated + 8 * self.variable + 16 * self.pruned
         return [self.sign, flags, self.mark, self.pages, self.chars, [c.plain() for c in self.children]]
 
     @staticmethod
     def of(x: list) -> Node:
-        return Node(x[0], bool(x[1] & 1), [Node.of(c) for c in x[5]], bool(x[1] & 2), bool(x[1] & 4), bool(x[1] & 8), x[2], x[3], x[4])
+        return Node(x[0], bool(x[1] & 1), [Node.of(c) for c in x[5]], bool(x[1] & 2), bool(x[1] & 4), bool(x[1] & 8), x[2], x[3], x[4], pruned=bool(x[1] & 16))
 
     def expression(self) -> str:
         """The wrapper as text, for people: boxes as <sign>(...), slots as #sign, groups with ? and +."""
@@ -184,10 +187,12 @@ def wrap(page: Node) -> Node:
 def combine(a: Node, b: Node) -> Node:
     """Two wrappers (or a wrapper and a wrapped page) as one."""
     out = _merge_node(a, b)
+    out.pruned = a.pruned or b.pruned
     size = lambda n: 1 + sum(map(size, n.children))
     least = 1
     while size(out) > MOST_NODES:
         least *= 2
+        out.pruned = True
         _prune(out, least)
     return out
 
@@ -207,15 +212,30 @@ def apart(sign: str) -> bool:
     return name not in ("html", "body") and any(words.search(_ABOUT.sub(" ", m.split("=", 1)[1])) for m in marks)
 
 
-def main_box(wrapper: Node) -> tuple[str, ...]:
+def fixed_texts(wrapper: Node) -> list[int]:
+    """The marks of texts that are the same on more than half of a wrapper's pages."""
+    found = set()
+
+    def walk(node: Node) -> None:
+        if node.slot and not node.variable and 2 * node.pages > wrapper.pages:
+            found.add(node.mark)
+        for c in node.children:
+            walk(c)
+
+    if wrapper.pages > 1:
+        walk(wrapper)
+    return sorted(found)
+
+
+def main_box(wrapper: Node, fixed: frozenset[int] = frozenset()) -> tuple[str, ...]:
     """The signs on the way to the box with the article: of article and main elements, then of boxes marked as content, then
-    of all, the one with the most text; texts that are the same on every page count a tenth."""
+    of all, the one with the most text; texts that are the same on every page, or whose marks are fixed, count a tenth."""
     pages = max(1, wrapper.pages)
     found: list[tuple[int, float, tuple[str, ...]]] = []
 
     def weight(node: Node) -> float:
         if node.slot:
-            return node.chars * (1.0 if node.variable or pages == 1 else 0.1)
+            return node.chars * (1.0 if node.variable or (pages == 1 and node.mark not in fixed) else 0.1)
         return 0.0 if apart(node.sign) else sum(map(weight, node.children))
 
     def walk(node: Node, path: tuple[str, ...]) -> None:

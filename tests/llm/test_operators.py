@@ -450,6 +450,25 @@ def test_wrappers_have_optional_and_repeated_groups_and_slots():
     assert main_box(both) == ("body", "div")
 
 
+def test_pages_of_a_host_with_more_boxes_than_a_wrapper_holds(spark):
+    from helixframe.llm import wrapper
+
+    slug = lambda *k: "-".join("x" + "".join(chr(97 + int(d)) for d in str(x)) for x in k)
+    about = "<div class='about'><p>%s</p></div>" % ("What this site is about, on every page. " * 3)
+    rows, want = [], {}
+    for i in range(400):
+        parts = [f"Part {k} of page {i}" for k in range(6)]
+        inner = "".join(f"<section class='{slug(i, k)}'><p>{t}</p></section>" for k, t in enumerate(parts))
+        # pages whose article is marked as such, and pages where only the texts of other pages tell it apart
+        body, want[i] = (f"<article class='{slug(i)}'>{inner}</article>", "\n".join(parts)) if i % 2 else (f"<div class='{slug(i)}'><p>Words of {i} alone</p></div>", f"Words of {i} alone")
+        rows.append((i, "http://large.example/", f"<body><div class='slogan'><p>Slogan</p></div>{about}{body}</body>"))
+    nodes = sum(html.count("<section") * 2 + 2 for _, _, html in rows)
+    assert nodes > wrapper.MOST_NODES
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)
+        assert {r.page_id: r.text for r in html_extract.extract_pages(df).collect()} == want
+
+
 def test_cut_off_and_empty_pages():
     assert html_extract.extract("<article><p>one<p>two</p><div cla") == "one\ntwo"
     assert html_extract.extract("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
