@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents with a share of benchmark passages go; from the others the passages go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), mode="both")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_ch
 _HITS = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
 
 
+def _spans(hit: np.ndarray) -> list[int]:
+    return np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist() if hit.any() else []
+
+
 def _scanner(sent):
     """Adds what one block hits to what earlier blocks hit."""
     hits = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
@@ -112,22 +116,23 @@ def _scanner(sent):
                 for a, b in zip(old["spans"][::2], old["spans"][1::2]):
                     hit[a:b] = True
                 items |= set(old["items"])
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist() if hit.any() else []
-            done.append({"n_words": len(words), "spans": edges, "items": sorted(items)})
+            done.append({"n_words": len(words), "spans": _spans(hit), "items": sorted(items)})
         return pa.array(done, hits)
 
     return scan
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int, block_chars: int) -> DataFrame:
-    """docs with __hits: n_words, spans (first, end, first, end, ... of hit words) and items."""
+def _hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int, block_chars: int, blocks: list | None = None) -> DataFrame:
+    """docs with __hits: n_words, spans (first, end, first, end, ... of hit words) and items. blocks takes the sent sets."""
     spark = session_of(docs)
     out = docs.withColumn("__hits", F.lit(None).cast(_HITS))
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, n, block_chars)):
         if k:  # a block at a time in the workers' memory
             out = saved(out)
-        scan = _scanner(spark.sparkContext.broadcast(block))
-        out = out.withColumn("__hits", arrow_column(scan, _HITS, F.col(text_col), F.col("__hits")))
+        sent = spark.sparkContext.broadcast(block)
+        if blocks is not None:
+            blocks.append(sent)
+        out = out.withColumn("__hits", arrow_column(_scanner(sent), _HITS, F.col(text_col), F.col("__hits")))
     return out
 
 
@@ -153,23 +158,40 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col="doc_id
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", n=WINDOW, block_chars=BLOCK_CHARS, share=20, mode="documents") -> DataFrame:
     """docs, all columns. mode "documents": without contaminated documents; "spans": all documents, without
-    the hit words and what stands between neighbouring ones."""
-    done = _hits(docs, benchmark, text_col, item_col, item_text_col, n, block_chars).withColumn("__n_hit", _n_hit())
+    the hit words and what stands between neighbouring ones; "both": without contaminated documents, and the others
+    without such spans, cut again where what is left makes a window anew, so that no window remains."""
+    if mode not in ("documents", "spans", "both"):
+        raise ValueError(f"mode must be documents, spans or both, not {mode!r}")
+    blocks: list = []
+    hits = lambda rows, sent=None: _hits(rows, benchmark, text_col, item_col, item_text_col, n, block_chars, sent).withColumn("__n_hit", _n_hit())
+    done = hits(docs, blocks)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if mode == "documents":
-        return done.filter(~((F.col("__n_hit") > 0) & (F.col("__n_hit") * share >= F.col("__hits.n_words")))).select(*columns)
     if mode != "spans":
-        raise ValueError(f"mode must be documents or spans, not {mode!r}")
+        done = done.filter(~((F.col("__n_hit") > 0) & (F.col("__n_hit") * share >= F.col("__hits.n_words"))))
+    if mode == "documents":
+        return done.select(*columns)
+    again = blocks[0] if mode == "both" and len(blocks) == 1 else None
 
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for t, s in zip(as_bytes(text), spans.to_pylist()):
-            if s:
+            while s:
                 at = [m.span() for m in WORD.finditer(t.lower())]
                 for a, b in reversed(list(zip(s[::2], s[1::2]))):
                     t = t[: at[a][0]] + t[at[b - 1][1] :]
+                words = words_of(t) if again is not None else []
+                s = _spans(again.value.scan(words)[0]) if words else []
             out.append(t)
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    cleaned = F.when(F.col("__n_hit") > 0, arrow_column(cut, "string", F.col(text_col), F.col("__hits.spans"))).otherwise(F.col(text_col))
-    return with_text(done, cleaned, text_col).select(*columns)
+    def cleaned(rows: DataFrame) -> DataFrame:
+        return with_text(rows, F.when(F.col("__n_hit") > 0, arrow_column(cut, "string", F.col(text_col), F.col("__hits.spans"))).otherwise(F.col(text_col)), text_col)
+
+    if mode == "spans" or len(blocks) == 1:
+        return cleaned(done).select(*columns)
+    rows = saved(cleaned(done))
+    out, rest = rows.filter("__n_hit = 0").select(*columns), rows.filter("__n_hit > 0").select(*columns)
+    while not rest.isEmpty():  # several blocks: what one cut has joined may be a window of another
+        rows = saved(cleaned(hits(rest)))
+        out, rest = out.unionByName(rows.filter("__n_hit = 0").select(*columns)), rows.filter("__n_hit > 0").select(*columns)
+    return out

@@ -142,6 +142,23 @@ def test_decontamination(spark, block):
     assert cut[1001] == "before  after" and cut[1003] == "it has , é" and cut[1002] == dict(rows)[1002] and cut[1005] is None
 
 
+@pytest.mark.parametrize("block", [1_000_000, 60])
+def test_no_passage_leaves_the_pipelines_stage(spark, block, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    words, filler = ITEMS[0][1].split(" "), " filler" * 900
+    nested = words[:12] + ["short", "one", "here"] + words[12:20]  # a cut joins what stands around it
+    rows = [(1, " ".join(words[:20]) + filler), (2, " ".join(nested) + filler), (3, " ".join(words)), (4, "clean" + filler)]
+    spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    plain = decontaminate.decontaminate
+    monkeypatch.setattr(corpus_pipeline, "decontaminate", lambda *x, **y: plain(*x, block_chars=block, **y))
+    left = corpus_pipeline.benchmark(spark, df, str(tmp_path)).collect()
+    assert {r.doc_id: r.text.split() for r in left} == {1: filler.split(), 2: filler.split(), 4: ("clean" + filler).split()}
+    assert all(r.n_chars == len(r.text) for r in left)
+    assert not any(r[2] for r in brute.decontaminate([(r.doc_id, r.text) for r in left], ITEMS))
+
+
 # substring dedup
 
 
