@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm.common import shared_dir, table
 from helixframe.llm.decontaminate import decontaminate
+from helixframe.llm.jaccard import jaccard_dedup
 from helixframe.llm.line_dedup import line_dedup
 from helixframe.llm.quality import quality_filter
 from helixframe.llm.sentencepiece_codec import encode_texts
@@ -28,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash_dedup(docs)
+    """One document of each group of near copies stays: by SimHash first, then of those left by their five-word shingles."""
+    return jaccard_dedup(simhash_dedup(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,6 +248,39 @@ def test_simhash_dedup_keeps_one_of_each_group(spark, docs):
     assert got(simhash.simhash_dedup(odd), "doc_id", "text") == sorted([(5, "a b c d"), (None, "q r s t u"), (6, None)], key=repr)
 
 
+@pytest.mark.parametrize("sample", [10_000, 20])
+def test_pipelines_near_copies_by_five_words(spark, sample, monkeypatch):
+    import corpus_pipeline
+    from helixframe.llm import jaccard
+
+    rnd = random.Random(3)
+    rows = [(i, t) for i, t in DOCS]
+    for group in range(12):  # copies with up to 5 of 150 words replaced, of texts that share a long passage
+        words = [f"g{group}w{rnd.randrange(90)}" for _ in range(110)] + [f"passage{k}" for k in range(40)]
+        for copy in range(6):
+            other = list(words)
+            for _ in range(copy):
+                other[rnd.randrange(110)] = f"new{rnd.randrange(10**6)}"
+            rows.append((1000 + group * 10 + copy, " ".join(other)))
+
+    def alike(a, b):
+        x, y = (set(zip(*(t.lower().split()[i:] for i in range(min(5, len(t.split())))))) for t in (a, b))
+        return 5 * len(x & y) >= 4 * len(x | y) > 0
+
+    heads = {c for _, _, c in brute.simhash_components(rows)}
+    left = sorted((r for r in rows if r[0] in heads), key=lambda r: r[0])
+    group = {i: i for i, _ in left}
+    for k, (i, t) in enumerate(left):
+        for j, u in left[:k]:
+            if group[i] != group[j] and alike(t, u):
+                old, new = sorted((group[i], group[j]), reverse=True)
+                group = {x: new if g == old else g for x, g in group.items()}
+    assert len(set(group.values())) < len(left)  # SimHash alone leaves some
+    monkeypatch.setattr(corpus_pipeline, "jaccard_dedup", lambda d: jaccard.jaccard_dedup(d, sample=sample))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5, 5), (7, 6)]
     got_ = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
