@@ -389,6 +389,19 @@ def test_round_trip_of_a_table(spark, docs):
 PAGES = [(i, f"http://h/{i}?q=a b%\n" if i % 2 else None, "p" * (50 + 60 * (i % 3)) + "é" * (i % 2)) for i in range(20)] + [(50, "u", None), (51, "u", ""), (52, "u", "x" * 99), (53, "u", "x" * 99), (54, "u", "x" * 100), (55, "u", "x" * 100)]
 
 
+def test_pipeline_decodes_its_pieces(spark, monkeypatch):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "Some  text\n\u2581 \u65e5\u672c"), (2, ""), (3, None)], "doc_id bigint, text string")
+    done = corpus_pipeline.pieces(spark, df, "")
+    assert done.columns == ["doc_id", "text", "piece_ids"] and [len(r.piece_ids) > 0 for r in done.orderBy("doc_id").collect()] == [True, False, False]
+    encode = sentencepiece_codec.encode_texts
+    monkeypatch.setattr(corpus_pipeline, "encode_texts", lambda d: encode(d.withColumn("__t", F.substring("text", 1, 5)), "__t").drop("__t"))
+    with pytest.raises(Exception, match="do not give back document 1"):
+        corpus_pipeline.pieces(spark, df, "").collect()
+
+
+
 @pytest.mark.parametrize("archive, broadcast", [(10**7, 1000), (900, 0)])
 def test_warc_round_trip(spark, tmp_path, archive, broadcast):
     df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
