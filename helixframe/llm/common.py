@@ -3,7 +3,7 @@
 Conventions of every operator in this package
 ---------------------------------------------
 * Operators take DataFrames and column names; other columns are never looked at, so extra columns
-  and clashing names are harmless.  Columns that an operator needs for itself start with ``__``.
+  and clashing names are harmless.  Columns that an operator adds for itself beside others get names that are free.
 * A null text is an empty text unless the operator says otherwise.
 * Two rows that repeat a document id are two documents that happen to carry the same id.
 """
@@ -11,6 +11,7 @@ Conventions of every operator in this package
 from __future__ import annotations
 
 import ctypes
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,25 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a table in the shared folder, which later steps read by column."""
+    spark = session_of(df)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many _ behind it as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def arrow_column(function, returns: str, *columns: Column | str) -> Column:
     """function(*pa.Array) -> pa.Array as a column. The function sees one Arrow batch at a time."""
     return F.arrow_udf(function, returns)(*columns)

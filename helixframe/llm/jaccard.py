@@ -1,32 +1,39 @@
-"""Near-dedup by words: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them.
+"""Near-dedup by SimHash and by words: of each group of near copies one document stays.
+
+Documents are near copies if their fingerprints link (``simhash``), and so are those left whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more, all of them.  One pass over the texts makes a sketch of each: fingerprint, size of
+its set, a parity bitmap of it and its prefix.  All that follows moves sketches; texts move once, in the end.
 
 Shingles are XXH64 values in one order for all documents: those that many of a sample of documents hold come last, else by value.
 Two sets as similar as that share one of the first n - ceil(0.8 n) + 1 of their n shingles, whatever the order is, so documents
-are compared only where these prefixes meet, and each such pair by its whole sets.  The sample has a say in the cost only.
+are compared only where these prefixes meet.  The sample has a say in the cost only.  A pair's bitmaps differ in no more bits than
+its sets differ in shingles, so bitmaps rule out nearly all other pairs; the rest are compared by their whole sets.
 
-A group of near copies yields stars first: every document of a bucket is compared with the bucket's smallest set.
-Then only documents that are not connected yet are compared with each other.  Nothing is capped or dropped.
+Pairs of a bucket (documents that meet in a shingle) come in rounds: the first takes its smallest key against all, each later one
+the next ``CENTERS`` keys, which then leave the bucket, until its documents are connected or done.  So a round makes at most
+``CENTERS`` pairs for a row, and nothing is capped or dropped.
 
-Defined cases: a text of fewer words than a shingle is one shingle; a text without words (or null) is like no other.
+Defined cases: a text of fewer words than a shingle is one shingle; a text without words (or null) is like no other by words.
+Rows without an id stay only where their group has no id.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, saved, session_of, shared_dir
+from .common import arrow_column, as_bytes, saved, session_of, stored
 from .components import connected_components
-from .simhash import SEED
+from .simhash import SEED, fingerprint, heads, keep_rows, owners
 
 SHINGLE = 5
 #: Documents of the sample (about), and how many of them hold a shingle that comes last.
 SAMPLE, COMMON = 10_000, 10
+#: Keys of a bucket that are compared with all of it in a round.
+CENTERS = 64
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -37,6 +44,22 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(size)))], np.uint64).view(np.int64))
 
 
+def parity(values: np.ndarray) -> bytes:
+    """A bit for each residue of the values: whether an odd number of them has it. As many bits as values, up to twice."""
+    size = max(64, 1 << max(0, len(values) - 1).bit_length())
+    return np.packbits(np.bincount(values & (size - 1), minlength=size) & 1 == 1, bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """In how many values two sets differ, at least. A larger bitmap is folded to the size of the smaller."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a, "little")
+    for bits in (8 * len(a) >> k for k in range(1, (len(a) // len(b)).bit_length())):
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(s) for s in sets])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
@@ -46,60 +69,95 @@ def _sets(text: pa.Array) -> pa.Array:
     return _lists([shingles(t) for t in as_bytes(text)])
 
 
-def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of keys those whose sets are alike. rows: __key, __text."""
-    pairs = saved(pairs)
-    keys = pairs.select(F.col("a").alias("__key")).unionByName(pairs.select(F.col("b").alias("__key"))).distinct()
-    sets = saved(rows.join(keys, "__key", "left_semi").select("__key", arrow_column(_sets, "array<bigint>", F.col("__text")).alias("set")))
-    both = pairs.join(sets.select(F.col("__key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("__key").alias("b"), F.col("set").alias("y")), "b")
-    shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    return shared.filter("5 * shared >= 4 * (n - shared)").select("a", "b")
+_SKETCH = "struct<print:bigint,n:bigint,bits:binary,prefix:array<bigint>>"
 
 
-def similar(rows: DataFrame, count: int, sample: int = SAMPLE) -> DataFrame:
-    """a, b: edges that connect exactly what pairs of similarity 0.8 or more connect. rows: __key (distinct), __text; count of them, about."""
-    spark = session_of(rows)
-    some = rows.filter(F.pmod("__key", F.lit(max(1, count // sample))) == 0)
-    often = some.select(F.explode(arrow_column(_sets, "array<bigint>", F.col("__text"))).alias("x")).groupBy("x").count().filter(F.col("count") >= COMMON)
+def sketches(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, prints: bool = True) -> DataFrame:
+    """id, hash (of the text), print, n, bits, prefix of every document, written once."""
+    spark = session_of(docs)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    some = rows.filter(F.pmod("hash", F.lit(max(1, rows.count() // sample))) == 0)
+    often = some.select("hash", arrow_column(_sets, "array<bigint>", F.col("text")).alias("s")).dropDuplicates(["hash"])
+    often = often.select(F.explode("s").alias("x")).groupBy("x").count().filter(F.col("count") >= COMMON)
     last = spark.sparkContext.broadcast(np.sort(np.array([r.x for r in often.select("x").collect()], np.int64)))
 
-    def prefixes(text: pa.Array) -> pa.Array:
-        out, common = [], last.value
+    def sketch(text: pa.Array) -> pa.Array:
+        out, firsts, common = [[], [], []], [], last.value
         for t in as_bytes(text):
             s = shingles(t)
             at = np.searchsorted(common, s)
             late = common[np.minimum(at, len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
             n = len(s)
-            out.append(np.append(np.int64(n), np.concatenate([s[~late], s[late]])[: n - (4 * n + 4) // 5 + 1 if n else 0]))
-        return _lists(out)
+            firsts.append(np.concatenate([s[~late], s[late]])[: n - (4 * n + 4) // 5 + 1 if n else 0])
+            for c, x in zip(out, (np.array(fingerprint(t) if prints else 0, np.uint64).view(np.int64), n, parity(s))):
+                c.append(x)
+        return pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), _lists(firsts)], ["print", "n", "bits", "prefix"])
 
-    # the first value is the size of the set
-    firsts = rows.select("__key", arrow_column(prefixes, "array<bigint>", F.col("__text")).alias("p"))
-    met = firsts.select("__key", F.col("p")[0].alias("n"), F.explode(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))).alias("x"))
+    return stored(rows.select("id", "hash", arrow_column(sketch, _SKETCH, F.col("text")).alias("s")).select("id", "hash", "s.*"), "sketches")
+
+
+def _near(left_bits: pa.Array, right_bits: pa.Array, n: pa.Array) -> pa.Array:
+    """Whether bitmaps let sets of n elements together be alike: then these differ in at most a ninth of n."""
+    return pa.array([9 * differ(a, b) <= k for a, b, k in zip(left_bits.to_pylist(), right_bits.to_pylist(), n.to_pylist())], pa.bool_())
+
+
+def _alike(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of keys those whose sets are alike. kept: key, n, bits; texts: key, text."""
+    side = lambda k: kept.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    both = pairs.join(side("a"), "a").filter("na > 0").join(side("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    near = stored(both.filter(arrow_column(_near, "boolean", F.col("bitsa"), F.col("bitsb"), F.col("na") + F.col("nb"))).select("a", "b"), "near")
+    keys = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
+    # of rows that share a text one is enough
+    sets = stored(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", arrow_column(_sets, "array<bigint>", F.col("text")).alias("set")), "sets")
+    both = near.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    return stored(shared.filter("5 * shared >= 4 * (n - shared)").select("a", "b"), "edges")
+
+
+def similar(kept: DataFrame, texts: DataFrame, centers: int = CENTERS) -> DataFrame:
+    """node, root: the components that pairs of similarity 0.8 or more make. kept: key (distinct), n, bits, prefix; texts: key, text."""
     bucket = Window.partitionBy("x")
-    met = met.select("*", F.count(F.lit(1)).over(bucket).alias("c"), F.min(F.struct("n", "__key")).over(bucket).alias("first")).filter("c > 1")
-    met = saved(met.select("x", "n", F.col("__key").alias("k"), F.col("first.n").alias("m"), F.col("first.__key").alias("center")))
-    stars = met.filter("k <> center and 5 * m >= 4 * n").select(F.least("k", "center").alias("a"), F.greatest("k", "center").alias("b")).distinct()
-    edges = saved(_alike(stars, rows))
-    roots = connected_components(edges)
-    left = met.join(roots.withColumnRenamed("node", "k"), "k", "left").select("x", "k", "n", F.coalesce("root", "k").alias("root"))
-    left = left.select("*", (F.min("root").over(bucket) != F.max("root").over(bucket)).alias("apart")).filter("apart")
-    left = saved(left.select("x", "k", "n", "root"))
-    other = left.select("x", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    pairs = left.join(other, "x").filter("k < k2 and root <> root2 and 5 * least(n, n2) >= 4 * greatest(n, n2)")
-    return edges.unionByName(_alike(pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct(), rows))
-
-
-def jaccard_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE) -> DataFrame:
-    """docs, which hold no text twice, all columns, with one document of each component: the smallest id, nulls last."""
-    spark = session_of(docs)
-    path = f"{shared_dir(spark)}/near-{uuid.uuid4().hex}"
-    docs.withColumn("__key", F.xxhash64(text_col)).write.parquet(path)  # read several times, so what docs shuffles is shuffled once
-    keyed = spark.read.parquet(path)
-    rows = keyed.select("__key", F.col(text_col).alias("__text"), F.col(id_col).alias("__id"))
-    roots = saved(connected_components(similar(rows.select("__key", "__text"), rows.count(), sample)))
-    rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))
-    ranked = saved(rows.select("__key", "__id").join(roots, F.col("__key") == F.col("node")).select("root", rank.alias("rank")))
-    best = ranked.groupBy("root").agg(F.min("rank").alias("best"))
-    gone = saved(ranked.join(best, "root").filter("rank.key <> best.key").select(F.col("rank.key").alias("__key")))
-    return keyed.join(gone, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = kept.select("key", F.explode("prefix").alias("x"))
+    met = met.select("x", "key", F.count(F.lit(1)).over(bucket).alias("c"), F.min("key").over(bucket).alias("center")).filter("c > 1")
+    met = stored(met.select("x", "key", "center"), "met")
+    edges = _alike(met.filter("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), kept, texts)
+    met = met.filter("key <> center").select("x", "key")
+    roots = saved(connected_components(edges))
+    while True:
+        left = met.join(roots.withColumnRenamed("node", "key"), "key", "left").select("x", "key", F.coalesce("root", "key").alias("root"))
+        left = left.select("*", (F.min("root").over(bucket) != F.max("root").over(bucket)).alias("apart"), F.row_number().over(bucket.orderBy("key")).alias("place"))
+        left = stored(left.filter("apart").select("x", "key", "root", "place"), "left")
+        if left.isEmpty():
+            return roots
+        first = left.filter(F.col("place") <= centers).select("x", F.col("key").alias("a"), F.col("root").alias("r"))
+        pairs = left.join(first, "x").filter("a < key and r <> root").select("a", F.col("key").alias("b")).distinct()
+        edges = edges.unionByName(_alike(pairs, kept, texts))
+        roots = saved(connected_components(edges))
+        met = left.filter(F.col("place") > centers).select("x", "key")
+
+
+def _kept_of_groups(best: DataFrame, marked: DataFrame, texts: DataFrame, centers: int) -> DataFrame:
+    """id, hash: of best (id, hash, no hash twice) what stays when groups of similar sets keep their smallest id."""
+    kept = marked.join(best.select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
+    kept = stored(kept.select(F.col("hash").alias("key"), "n", "bits", "prefix"), "kept")
+    roots = similar(kept, texts, centers)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    ranked = best.join(roots, F.col("hash") == F.col("node"), "left").select(F.coalesce("root", "hash").alias("root"), rank.alias("rank"))
+    return saved(ranked.groupBy("root").agg(F.min("rank").alias("r")).select("r.id", "r.hash"))
+
+
+def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE, centers: int = CENTERS) -> DataFrame:
+    """docs, all columns, with one document of each group: first by SimHash links, then of those left by five-word shingles."""
+    marked = sketches(docs, id_col, text_col, sample)
+    best = heads(marked, owners(marked))
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return keep_rows(docs, _kept_of_groups(best, marked, texts, centers), marked, id_col, text_col)
+
+
+def jaccard_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE, centers: int = CENTERS) -> DataFrame:
+    """docs, all columns, with one document of each group by five-word shingles alone; of equal texts one stays too."""
+    marked = sketches(docs, id_col, text_col, sample, prints=False)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id")
+    best = saved(marked.groupBy("hash").agg(F.min(rank).alias("r")).select("r.id", "hash"))
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return keep_rows(docs, _kept_of_groups(best, marked, texts, centers), marked, id_col, text_col)

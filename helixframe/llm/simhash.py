@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, saved, session_of
+from .common import arrow_column, as_bytes, free_names, saved, session_of
 from .components import connected_components
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
@@ -176,39 +176,55 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
     return edges.unionByName(_bucketed(finer, distance, 1 << 62).select("a", "b"))
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(__id, __hash of the text, print) of every document; print, first (the smallest id), root of every print."""
-    session_of(docs)
+def mark(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    """id, hash (of the text), print of every document, written once."""
 
     def prints_of(text: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t, shingle) for t in as_bytes(text)], np.uint64).view(np.int64))
 
-    marked = saved(docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), arrow_column(prints_of, "bigint", F.col(text_col)).alias("print")))
-    distinct = saved(marked.groupBy("print").agg(F.min("__id").alias("first")))
+    return saved(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), arrow_column(prints_of, "bigint", F.col(text_col)).alias("print")))
+
+
+def owners(marked: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """print, first (the smallest id), root of every print."""
+    distinct = saved(marked.groupBy("print").agg(F.min("id").alias("first")))
     roots = connected_components(links(distinct.select("print"), distance, bucket))
-    owner = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    return marked, owner
+    return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
 
 
 def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", distance=DISTANCE, shingle=SHINGLE, bucket=BUCKET) -> DataFrame:
     """One row per document: the id, fingerprint (16 hex digits), component_id (the smallest id that links lead to)."""
-    marked, owner = _marked(docs, id_col, text_col, distance, shingle, bucket)
+    session_of(docs)
+    marked = mark(docs, id_col, text_col, shingle)
+    owner = owners(marked, distance, bucket)
     named = owner.groupBy("root").agg(F.min("first").alias("component_id"))
     label = owner.select("print", "root").join(named, "root").select("print", "component_id")
-    return marked.join(label, "print").select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(label, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def heads(marked: DataFrame, owner: DataFrame) -> DataFrame:
+    """id, hash of the document that stays of each component: the smallest id (nulls last), of its texts the smallest hash."""
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    best = marked.groupBy("print").agg(F.min(rank).alias("best"))
+    best = best.join(owner.select("print", "root"), "print").groupBy("root").agg(F.min("best").alias("best"))
+    return saved(best.select("best.id", "best.hash").distinct())
+
+
+def keep_rows(docs: DataFrame, best: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, all columns, whose (id, hash) is in best, of equal ones one row. marked: (id, hash) of all docs."""
+    own_id, own_hash = free_names(docs, "__id", "__hash")
+    best = best.select(F.col("id").alias(own_id), F.col("hash").alias(own_hash))
+    on = lambda rows, i, h: [rows[i].eqNullSafe(best[own_id]), rows[h] == best[own_hash]]
+    rows = docs.withColumn(own_id, F.col(f"`{id_col}`")).withColumn(own_hash, F.xxhash64(F.col(f"`{text_col}`")))
+    kept = rows.join(best, on(rows, own_id, own_hash), "left_semi")
+    if marked.join(best, on(marked, "id", "hash"), "left_semi").count() > best.count():
+        kept = kept.dropDuplicates([own_id, own_hash])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def simhash_dedup(docs: DataFrame, id_col="doc_id", text_col="text", distance=DISTANCE, shingle=SHINGLE, bucket=BUCKET) -> DataFrame:
     """docs, all columns, with one document of each component: the smallest id, among its texts the one with
     the smallest hash, of equal rows one. Rows without an id stay only where the component has no id."""
-    marked, owner = _marked(docs, id_col, text_col, distance, shingle, bucket)
-    rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))
-    best = marked.groupBy("print").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"))
-    best = best.join(owner.select("print", "root"), "print").groupBy("root").agg(F.min("best").alias("best"))
-    best = saved(best.select(F.col("best.id").alias("__id"), F.col("best.hash").alias("__hash")).distinct())
-    on = lambda rows: [rows["__id"].eqNullSafe(best["__id"]), rows["__hash"] == best["__hash"]]
-    rows = docs.withColumn("__id", F.col(id_col)).withColumn("__hash", F.xxhash64(text_col))
-    kept = rows.join(best, on(rows), "left_semi")
-    if marked.join(best, on(marked), "left_semi").count() > best.count():
-        kept = kept.dropDuplicates(["__id", "__hash"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    session_of(docs)
+    marked = mark(docs, id_col, text_col, shingle)
+    return keep_rows(docs, heads(marked, owners(marked, distance, bucket)), marked, id_col, text_col)

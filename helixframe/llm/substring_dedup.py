@@ -27,7 +27,6 @@ repeat inside one document are no reason to remove anything.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, session_of, shared_dir, with_text
+from .common import arrow_column, as_bytes, session_of, stored, with_text
 from .fm_index import FmIndex
 
 WINDOW, GRAM, RUN = 50, 10, 64
@@ -49,13 +48,6 @@ _STEP = 0x9E3779B97F4A7C15
 _kept: dict[bytes, int] = {}
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, which later steps read by column."""
-    path = f"{shared_dir(df.sparkSession)}/substrings-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of each word."""
     if len(_kept) > KEPT_HASHES:

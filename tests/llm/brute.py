@@ -58,6 +58,24 @@ def decontaminate(docs, items):
     return out
 
 
+def without_passages(text, items):
+    """A text without its words inside benchmark windows and what stands between neighbouring ones, until no window is left."""
+    windows = set()
+    for _, t in items:
+        w = TEST_WORD.findall(lower(t or ""))
+        windows |= {tuple(w[i : i + 13]) for i in range(max(len(w) - 12, 1) if w else 0)}
+    while True:
+        at = [m.span() for m in TEST_WORD.finditer(lower(text))]
+        w = [lower(text)[a:b] for a, b in at]
+        hit = {i + k for size in {len(x) for x in windows} for i in range(len(w) - size + 1) if tuple(w[i : i + size]) in windows for k in range(size)}
+        if not hit:
+            return text
+        gone = set()
+        for i in hit:
+            gone.update(range(at[i][0], at[i + 1][0] if i + 1 in hit else at[i][1]))
+        text = "".join(c for k, c in enumerate(text) if k not in gone)
+
+
 def line_dedup(docs, min_chars=40, min_docs=5):
     key = lambda line: lower(line.strip("\x20\x09\x0a\x0b\x0c\x0d"))
     holders = defaultdict(set)

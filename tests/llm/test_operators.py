@@ -248,9 +248,8 @@ def test_simhash_dedup_keeps_one_of_each_group(spark, docs):
     assert got(simhash.simhash_dedup(odd), "doc_id", "text") == sorted([(5, "a b c d"), (None, "q r s t u"), (6, None)], key=repr)
 
 
-@pytest.mark.parametrize("sample", [10_000, 20])
-def test_pipelines_near_copies_by_five_words(spark, sample, monkeypatch):
-    import corpus_pipeline
+@pytest.mark.parametrize("sample, centers", [(10_000, 64), (20, 1)])
+def test_near_copies_by_five_words(spark, sample, centers):
     from helixframe.llm import jaccard
 
     rnd = random.Random(3)
@@ -276,9 +275,33 @@ def test_pipelines_near_copies_by_five_words(spark, sample, monkeypatch):
                 old, new = sorted((group[i], group[j]), reverse=True)
                 group = {x: new if g == old else g for x, g in group.items()}
     assert len(set(group.values())) < len(left)  # SimHash alone leaves some
-    monkeypatch.setattr(corpus_pipeline, "jaccard_dedup", lambda d: jaccard.jaccard_dedup(d, sample=sample))
-    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "")
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, __id int, __hash int").repartition(3)
+    kept = jaccard.near_dedup(df, sample=sample, centers=centers)
+    assert kept.columns == df.columns
+    assert got(kept, "doc_id", "__id", "__hash") == sorted([(i, 1, 2) for i in set(group.values())], key=repr)
+
+
+def test_bitmaps_never_rule_out_what_is_alike():
+    import numpy as np
+
+    from helixframe.llm.jaccard import differ, parity
+
+    rnd = np.random.default_rng(4)
+    for _ in range(300):
+        a = np.unique(rnd.integers(-(2**63), 2**63, rnd.integers(0, 700)))
+        b = np.unique(np.concatenate([a[rnd.random(len(a)) < rnd.random()], rnd.integers(-(2**63), 2**63, rnd.integers(0, 300))]))
+        assert differ(parity(a), parity(b)) == differ(parity(b), parity(a)) <= len(np.setxor1d(a, b))
+    assert differ(parity(a), parity(a)) == 0
+
+
+def test_near_dedup_of_odd_rows(spark):
+    from helixframe.llm import jaccard
+
+    odd = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (None, "q r s t u"), (6, None), (7, "")], "doc_id bigint, text string")
+    want = sorted([(5, "a b c d"), (None, "q r s t u"), (6, None)], key=repr)
+    assert got(jaccard.near_dedup(odd), "doc_id", "text") == want
+    assert got(jaccard.jaccard_dedup(odd), "doc_id", "text") == sorted([*want, (7, "")], key=repr)
+    assert jaccard.near_dedup(odd.limit(0)).count() == 0
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

@@ -101,11 +101,21 @@ def plain_pipeline(con):
     keeper = {k: max(h) for k, h in held.items() if len(h) >= 5}
     docs = [(i, "\n".join(x for x in t.split("\n") if keeper.get(key(x), i) == i)) for i, t in docs]
     heads = {c for _, _, c in brute.simhash_components(docs)}
-    docs = [d for d in docs if d[0] in heads]
+    docs = sorted(d for d in docs if d[0] in heads)
+    grams = {i: set(zip(*(brute.lower(t).split()[k:] for k in range(5)))) for i, t in docs}
+    root = {i: i for i, _ in docs}
+    for i in grams:
+        for j in grams:
+            if j < i and root[i] != root[j] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]) > 0:
+                new, old = sorted((root[i], root[j]))
+                root = {k: new if r == old else r for k, r in root.items()}
+    docs = [d for d in docs if root[d[0]] == d[0]]
     items = con.execute("SELECT item_id, text FROM benchmark").fetchall()
-    bad = {r[0] for r in brute.decontaminate(docs, items) if r[5]}
+    hits = {r[0]: r for r in brute.decontaminate(docs, items)}
     sp = sentencepiece.SentencePieceProcessor(model_file=DEFAULT_MODEL)
-    return sorted((i, t, len(t), sp.encode(t)) for i, t in docs if i not in bad)
+    kept = [(i, brute.without_passages(t, items) if hits[i][2] else t) for i, t in docs if not hits[i][5]]
+    assert not any(r[2] for r in brute.decontaminate(kept, items))
+    return sorted((i, t, len(t), sp.encode(t)) for i, t in kept)
 
 
 def test_pipeline(spark, con):
