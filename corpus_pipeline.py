@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import shared_dir, table
 from helixframe.llm.decontaminate import decontaminate
-from helixframe.llm.jaccard import jaccard_dedup
+from helixframe.llm.jaccard import near_dedup
 from helixframe.llm.line_dedup import line_dedup
 from helixframe.llm.quality import quality_filter
 from helixframe.llm.sentencepiece_codec import decode_ids, encode_texts
-from helixframe.llm.simhash import simhash_dedup
 
 #: SimHash fingerprints, XXH64 and piece ids have no counterpart in SQL.
 ORACLE_SQL = None
@@ -31,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: by SimHash first, then of those left by their five-word shingles."""
-    return jaccard_dedup(simhash_dedup(docs))
+    return near_dedup(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
