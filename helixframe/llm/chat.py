@@ -16,8 +16,9 @@ Template: ``<s>`` before the first turn; system ``<<SYS>>`` text ``<</SYS>>``; u
 The loss mask covers the ids of assistant texts, and with ``learn_close`` the mark after them.
 
 Defined cases: a null text or role is empty; rows go by turn (nulls first), then role, then a hash of the text, so ties and
-repeated rows have an order; rows with a null conversation id are one conversation; roles are told
-apart exactly (``User`` is another role than ``user``).
+repeated rows have an order; rows with a null conversation id are one conversation; ids may be of any type that can be
+ordered; roles are told apart exactly (``User`` is another role than ``user``); a text of any length is one segment.
+A conversation's rows pass through one task, in order and one at a time, as its digests are taken over the whole of it.
 """
 
 from __future__ import annotations
@@ -77,11 +78,8 @@ class Codec:
         return self.first_mark + CONTROLS.index(control)
 
     def encode(self, text: str) -> list[int]:
-        """One segment; very long stretches are cut, which changes ids but not what they decode to."""
-        enc = _encoding(self.vocabulary)[0]
-        if len(text) <= 100_000:
-            return enc.encode_ordinary(text)
-        return [i for k in range(0, len(text), 100_000) for i in enc.encode_ordinary(text[k : k + 100_000])]
+        """One segment, whole whatever its length."""
+        return _encoding(self.vocabulary)[0].encode_ordinary(text)
 
     def decode(self, ids: list[int]) -> bytes:
         return _encoding(self.vocabulary)[0].decode_bytes(ids)
@@ -210,15 +208,16 @@ def read_back(segments: DataFrame, vocabulary=DEFAULT_VOCABULARY) -> DataFrame:
     formatted_chars. Turns pass in order, one at a time, so a conversation of any length is read in little memory."""
     spark = session_of(segments)
     sent = spark.sparkContext.broadcast(load_codec(spark, vocabulary))
-    schema = pa.schema([("conv_id", pa.int64()), *_READ])
+    kind = segments.schema["conv_id"].dataType
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, now, done = None, None, []
+        reader, now, done, schema = None, None, [], pa.schema(_READ)
 
         def ended():
             done.append((now, reader.n_turns, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.chars))
 
         for batch in batches:
+            schema = pa.schema([("conv_id", batch.schema.field("conv_id").type), *_READ])
             lists = batch.column("ids")
             ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
             rows = zip(*(batch.column(c).to_pylist() for c in ("conv_id", "token_start", "loss_start", "loss_end")), ends, ends[1:])
@@ -239,9 +238,9 @@ def read_back(segments: DataFrame, vocabulary=DEFAULT_VOCABULARY) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
-    rows = segments.select(F.col("conv_id").cast("bigint"), "position", "ids", "token_start", "loss_start", "loss_end")
+    rows = segments.select("conv_id", "position", "ids", "token_start", "loss_start", "loss_end")
     placed = rows.repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    return placed.mapInArrow(read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return placed.mapInArrow(read, f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def format_and_read(turns: DataFrame, vocabulary=DEFAULT_VOCABULARY) -> DataFrame:

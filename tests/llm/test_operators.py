@@ -487,6 +487,25 @@ def test_chat_round_trip(spark):
     assert closing == segments.agg(F.sum(F.col("loss_end") - F.col("loss_start"))).first()[0] + sum(r == "assistant" for _, _, r, _ in TURNS)
 
 
+def test_long_texts_are_one_segment(spark):
+    """The ids of a text don't depend on its length, and ids of conversations may be strings."""
+    text = "".join(f"word{k} der  Löwe\n" for k in range(9000))  # 180,000 characters
+    codec = chat.load_codec(spark)
+    ids = codec.encode(text)
+    cut = text.index("word5000")
+    assert ids == codec.encode(text[: cut - 1]) + codec.encode(text[cut - 1 :]) and len(text) > 150_000
+    df = spark.createDataFrame([("c", 1, "assistant", text), ("c", 0, "user", None), ("b", 0, "assistant", "x")], "conv_id string, turn bigint, role string, text string")
+    segments = chat.chat_segments(df)
+    assert [r.ids for r in segments.filter("conv_id = 'c' and position = 1").collect()] == [[*ids, codec.mark("</s>")]]
+    same(chat.read_back(segments), "conv_id n_turns turns_sha256 loss_chars loss_sha256", brute.chat([tuple(r) for r in df.collect()]))
+
+
+def test_a_conversation_with_most_of_all_turns(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(3000)] + [(k, 0, "user", "x") for k in range(2, 40)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    same(chat.format_and_read(df), "conv_id n_turns turns_sha256 loss_chars loss_sha256", brute.chat(rows))
+
+
 def test_escaping_is_reversible_and_hides_marks():
     rnd = random.Random(4)
     bits = [*chat.CONTROLS, "\\", "<", "s", ">", "[", "/", "INST", "]", "<<", "SYS", "é", " "]
