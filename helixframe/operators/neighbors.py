@@ -182,6 +182,16 @@ def search(queries: DataFrame, seqs: DataFrame, k: int, tau: int, alphabet: Alph
     return reduce(DataFrame.unionByName, parts)
 
 
+def within(hits: DataFrame, k: int, begin: int, end: int, tau: int, score_ref: int = 0, score_diff: int = 0) -> DataFrame:
+    """Of hits (dist, mism) those whose mismatches all stand in the places begin to end - 1, at most tau of them, and at
+    least score_diff more than score_ref: what an extension to the right (end = k) or to the left (begin = 0) finds of a
+    match that has score_ref mismatches already. tau counts all of a hit's mismatches."""
+    if not 0 <= begin < end <= k:
+        raise ValueError("the places are inside the query")
+    outside = F.exists(positions_of(F.col("mism"), k), lambda p: (p < begin) | (p >= end))
+    return hits.filter((F.col("dist") <= tau) & (F.col("dist") - score_ref >= score_diff) & ~outside)
+
+
 def _stretches(places: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for p in places:
@@ -228,6 +238,40 @@ def annotation_binned(annotation: DataFrame) -> DataFrame:
     return annotation.select("kmer", "dist", binned_count(F.col("neigh_cnt")).cast("bigint").alias("neigh_cnt"))
 
 
+#: Fixed values of the compact annotation, a byte for each place of the forward strand: bits 0 to 3 the count's code, 4 and 5
+#: the distance less one, 6 whether places are known, 7 whether a neighbour of some k-mer over this place differs here.
+COUNT_CODES = ((10, None), (20, 11), (50, 12), (100, 13), (500, 14), (None, 15))
+BIN_MIDDLES = {11: 15, 12: 40, 13: 75, 14: 300, 15: 1000}
+DIST_SHIFT, KNOWN_BIT, MISMATCH_BIT = 4, 6, 7
+
+
+def annotation_bytes(seqs: DataFrame, annotation: DataFrame, k: int) -> DataFrame:
+    """pos, info (0 to 255): the compact annotation of every forward place of placed sequences that isn't 0."""
+    loci = kmers(seqs.select("seq_id", "beg", "seq"), k, ["beg"], spread=longest(seqs) > LONG).select((F.col("beg") + F.col("off")).alias("pos"), "kmer")
+    found = saved(loci.join(annotation.filter("dist > 0").select("kmer", "dist", "neigh_cnt", "align_pos"), "kmer").drop("kmer"))
+    code = F.lit(COUNT_CODES[-1][1])
+    for most, value in reversed(COUNT_CODES[:-1]):
+        code = F.when(F.col("neigh_cnt") <= most, F.col("neigh_cnt") if value is None else F.lit(value)).otherwise(code)
+    known = F.when(F.size("align_pos") > 0, 1 << KNOWN_BIT).otherwise(0)
+    own = found.select("pos", code.bitwiseOR(F.shiftleft(F.col("dist") - 1, DIST_SHIFT)).bitwiseOR(known).cast("int").alias("info"))
+    marks = found.select("pos", F.explode("align_pos").alias("i")).select((F.col("pos") + F.col("i")).alias("pos"), F.lit(1 << MISMATCH_BIT).alias("info"))
+    return own.unionByName(marks).groupBy("pos").agg(F.bit_or("info").alias("info"))
+
+
+def annotation_of_bytes(places: DataFrame, k: int) -> DataFrame:
+    """pos, dist, neigh_cnt, align_pos as the compact annotation gives them: counts in bins, and the marks of every k-mer
+    over a place, not only of the one that begins there."""
+    code = F.col("info").bitwiseAND(15)
+    count = code
+    for value, middle in BIN_MIDDLES.items():
+        count = F.when(code == value, middle).otherwise(count)
+    here = places.filter(code > 0).select("pos", (F.shiftright("info", DIST_SHIFT).bitwiseAND(3) + 1).alias("dist"), count.cast("bigint").alias("neigh_cnt"), (F.shiftright("info", KNOWN_BIT).bitwiseAND(1) == 1).alias("known"))
+    marks = places.filter(F.shiftright("info", MISMATCH_BIT).bitwiseAND(1) == 1).select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"), "pos").select((F.col("pos") - F.col("i")).alias("pos"), "i")
+    listed = marks.groupBy("pos").agg(F.array_sort(F.collect_list("i")).alias("marks"))  # k places at most
+    none = F.array().cast("array<int>")
+    return here.join(listed, "pos", "left").select("pos", "dist", "neigh_cnt", F.when(F.col("known"), F.coalesce("marks", none)).otherwise(none).alias("align_pos"))
+
+
 def annotation_query(labels: DataFrame, seqs: DataFrame, annotation: DataFrame, k: int, label_col: str = "label") -> DataFrame:
     """labels with dist, neigh_cnt, align_cnt, align_pos of the k-mer that begins there on the forward strand.
 

@@ -330,7 +330,26 @@ def approximate_search(spark, sf_dir):
     return neighbors.search(_patterns(seqs, 12).withColumnRenamed("pattern", "query"), seqs, 12, 2).select("query", "hit", "dist")
 
 
-@_query(f"WITH {_STRANDS}, k AS (SELECT DISTINCT kmer FROM {_kmers(12)}), q AS (SELECT DISTINCT substr(seq, 1, 12) AS query FROM seqs WHERE length(seq) >= 12) SELECT query, kmer AS hit, CAST(hamming(query, kmer) AS INTEGER) AS dist FROM q JOIN k ON hamming(query, kmer) <= 2 AND kmer <= query")
+_SEARCH = f"WITH {_STRANDS}, k AS (SELECT DISTINCT kmer FROM {_kmers(12)}), q AS (SELECT DISTINCT substr(seq, 1, 12) AS query FROM seqs WHERE length(seq) >= 12) SELECT query, kmer AS hit, CAST(hamming(query, kmer) AS INTEGER) AS dist FROM q JOIN k ON hamming(query, kmer) <= 2"
+
+
+@_query(f"{_SEARCH} AND left(query, 5) = left(kmer, 5) AND hamming(query, kmer) >= 1")
+def approximate_search_right(spark, sf_dir):
+    """The first five symbols are matched already; the rest is searched to the right, with a mismatch at least."""
+    seqs = _placed(spark, sf_dir)
+    hits = neighbors.search(_patterns(seqs, 12).withColumnRenamed("pattern", "query"), seqs, 12, 2)
+    return neighbors.within(hits, 12, 5, 12, 2, score_diff=1).select("query", "hit", "dist")
+
+
+@_query(f"{_SEARCH} AND right(query, 5) = right(kmer, 5) AND hamming(query, kmer) >= 2")
+def approximate_search_left(spark, sf_dir):
+    """To the left of the last five symbols, with a mismatch more than a score of one."""
+    seqs = _placed(spark, sf_dir)
+    hits = neighbors.search(_patterns(seqs, 12).withColumnRenamed("pattern", "query"), seqs, 12, 2)
+    return neighbors.within(hits, 12, 0, 7, 2, score_ref=1, score_diff=1).select("query", "hit", "dist")
+
+
+@_query(f"{_SEARCH} AND kmer <= query")
 def approximate_search_bounded(spark, sf_dir):
     seqs = _placed(spark, sf_dir)
     return neighbors.search(_patterns(seqs, 12).withColumnRenamed("pattern", "query"), seqs, 12, 2, boundary=True).select("query", "hit", "dist")
@@ -369,6 +388,28 @@ def annotation_binned(spark, sf_dir):
     return neighbors.annotation_binned(neighbors.annotate(_sequences(spark, sf_dir), 6, 1))
 
 
+_BYTES = f"""{_annotation_sql(10, 1)}, loci AS (SELECT beg + off AS pos, dist, neigh_cnt, CASE WHEN positions = '' THEN [] ELSE list_transform(string_split(positions, ','), lambda x: CAST(x AS INTEGER)) END AS l FROM {_kmers(10, "seqs")} x JOIN ann USING (kmer) WHERE dist > 0),
+bytes AS (SELECT pos, CAST(bit_or(info) AS INTEGER) AS info FROM (
+  SELECT pos, CASE WHEN neigh_cnt <= 10 THEN neigh_cnt WHEN neigh_cnt <= 20 THEN 11 WHEN neigh_cnt <= 50 THEN 12 WHEN neigh_cnt <= 100 THEN 13 WHEN neigh_cnt <= 500 THEN 14 ELSE 15 END + 16 * (dist - 1) + CASE WHEN len(l) > 0 THEN 64 ELSE 0 END AS info FROM loci
+  UNION ALL SELECT pos + unnest(l), 128 FROM loci) GROUP BY pos)"""
+
+
+@_query(f"{_BYTES} SELECT pos, info FROM bytes")
+def annotation_bytes(spark, sf_dir):
+    seqs = _placed(spark, sf_dir)
+    return neighbors.annotation_bytes(seqs, neighbors.annotate(seqs, 10, 1), 10)
+
+
+@_query(
+    f"""{_BYTES}, marked AS (SELECT pos - i AS pos, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS positions FROM bytes, (SELECT unnest(range(0, 10)) AS i) WHERE info >= 128 GROUP BY 1)
+SELECT pos, CAST(((info >> 4) & 3) + 1 AS INTEGER) AS dist, CAST(CASE info & 15 WHEN 11 THEN 15 WHEN 12 THEN 40 WHEN 13 THEN 75 WHEN 14 THEN 300 WHEN 15 THEN 1000 ELSE info & 15 END AS BIGINT) AS neigh_cnt,
+  CASE WHEN info & 64 > 0 THEN coalesce(positions, '') ELSE '' END AS positions FROM bytes LEFT JOIN marked USING (pos) WHERE info & 15 > 0"""
+)
+def annotation_decoded(spark, sf_dir):
+    seqs = _placed(spark, sf_dir)
+    return _csv(neighbors.annotation_of_bytes(neighbors.annotation_bytes(seqs, neighbors.annotate(seqs, 10, 1), 10), 10))
+
+
 @_query(
     f"""{_annotation_sql(10, 1)}, loci AS (SELECT seq_id, name, substr(seq, 1, 10) AS kmer FROM seqs)
 SELECT name || ':1:+' AS label, coalesce(dist, 0) AS dist, coalesce(neigh_cnt, 0) AS neigh_cnt, coalesce(positions, '') AS positions FROM loci LEFT JOIN ann USING (kmer)
@@ -431,8 +472,11 @@ def map_reads(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_files  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,6 +39,46 @@ def stream_reads(spark: SparkSession, folder: str, form: str, max_bytes: int = C
     return rows.withColumn("ord", F.col("ord").cast("bigint"))
 
 
+def record_bytes(form: str):
+    """The bytes of a record's lines without their ends: header and sequence, and of FASTQ the plus and the quality too."""
+    octets = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    if form == RAW:
+        return octets("seq")
+    header = octets("tag") + 1 + octets("seq")
+    return header if form == FASTA else header + 1 + octets("qscore")
+
+
+def chunked(reads: DataFrame, form: str, max_bytes: int = CHUNK_BYTES, stream: list[str] | None = None) -> DataFrame:
+    """reads with chunk (0, 1, ...): a chunk takes records in order until their bytes reach the budget, so it ends with the
+    record that does. `stream` are the columns that tell inputs apart (default: `file`, if there is one), each with chunks of its own.
+
+    Where a chunk begins depends on all before it, so an input's record sizes (a number each, no texts) pass through one
+    task as a stream that holds nothing but a sum.
+    """
+    if max_bytes < 1:
+        raise ValueError("the budget is a byte at least")
+    keys = [c for c in ("file",) if c in reads.columns] if stream is None else stream
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunk, held = None, 0, 0
+        for batch in batches:
+            out = []
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys))))) or [()] * len(batch)
+            for key, size in zip(own, batch.column("size").to_pylist()):
+                if key != now:
+                    now, chunk, held = key, 0, 0
+                elif held >= max_bytes:
+                    chunk, held = chunk + 1, 0
+                held += size
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.array(out, pa.int64())], [*keys, "ord", "chunk"])
+
+    sizes = reads.select(*keys, F.col("ord").cast("bigint").alias("ord"), record_bytes(form).cast("bigint").alias("size"))
+    placed = (sizes.repartition(*keys) if keys else sizes.coalesce(1)).sortWithinPartitions(*keys, "ord")
+    schema = ", ".join([f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in keys] + ["ord bigint", "chunk bigint"])
+    return reads.join(placed.mapInArrow(number, schema), [*keys, "ord"])
+
+
 def process_stream(reads: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Calls work(batch, number) for each chunk of a stream of reads until the files there are have been read."""
     return reads.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

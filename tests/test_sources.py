@@ -7,7 +7,7 @@ from helixframe.operators import mapping, text
 from helixframe.plans.cli import main
 from helixframe.plans.index import Index, index_base
 from helixframe.sources import readers
-from helixframe.streaming.reads import process_stream, stream_reads
+from helixframe.streaming.reads import chunked, process_stream, stream_reads
 
 SEQS = ["ATGCGTACGTCGTATCA", "GTATCGACTACGAGCTA", "AGTCGANTATACNTACG", "ACGTACATGTATGACAC", "NNNNNNNNACGTACGCC", "NNNNNNLLYYYYJDFLS"]
 QUALS = ["12391284194819241", "BACBABCA0ACBB00AC", "@2391284194819241", "12391284194819241", "+2391284194819241", "12391284194819241"]
@@ -152,3 +152,15 @@ def test_numbers_without_a_single_task(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     assert all(r.k == r.n for r in row_numbers(rows, ["k"], "n").collect())
     assert {r.k: r.s for r in running_total(rows, ["k"], "k", "s").collect()}[10] == sum(range(10))
+
+
+@pytest.mark.parametrize("form, budget, sizes", [("raw", readers.CHUNK_BYTES, [6]), ("fasta", 80, [4, 2]), ("fastq", 50, [2, 2, 2])])
+def test_chunks_end_at_the_record_that_fills_them(spark, form, budget, sizes):
+    rows = [(i, f"seq{i + 1}", s, q if form == "fastq" else None) for i, (s, q) in enumerate(zip(SEQS, QUALS))]
+    reads = spark.createDataFrame(rows, "ord bigint, tag string, seq string, qscore string").repartition(3)
+    done = chunked(reads, form, budget)
+    assert [r["count"] for r in done.groupBy("chunk").count().orderBy("chunk").collect()] == sizes
+    assert [r.chunk for r in done.orderBy("ord").collect()] == [k for k, n in enumerate(sizes) for _ in range(n)]
+    two = reads.withColumn("file", F.lit("a")).unionByName(reads.withColumn("file", F.lit("b")))
+    assert [r["count"] for r in chunked(two, form, budget).groupBy("file", "chunk").count().orderBy("file", "chunk").collect()] == sizes * 2
+    assert chunked(reads.limit(0), form, budget).count() == 0
