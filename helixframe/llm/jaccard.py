@@ -19,19 +19,23 @@ Rows without an id stay only where their group has no id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, saved, session_of, stored
+from .common import arrow_column, as_bytes, give_back, saved, session_of, stored
 from .components import connected_components
 from .simhash import SEED, fingerprint, heads, keep_rows, owners
 
 SHINGLE = 5
 #: Documents of the sample (about), and how many of them hold a shingle that comes last.
 SAMPLE, COMMON = 10_000, 10
+#: Texts that are sketched before their words are let go of.
+SLICE = 50
 #: Keys of a bucket that are compared with all of it in a round.
 CENTERS = 64
 
@@ -65,8 +69,10 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
 
 
-def _sets(text: pa.Array) -> pa.Array:
-    return _lists([shingles(t) for t in as_bytes(text)])
+def _sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for text in texts:
+        yield _lists([shingles(t) for t in as_bytes(text)])
+    give_back()
 
 
 _SKETCH = "struct<print:bigint,n:bigint,bits:binary,prefix:array<bigint>>"
@@ -81,7 +87,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE,
     often = often.select(F.explode("s").alias("x")).groupBy("x").count().filter(F.col("count") >= COMMON)
     last = spark.sparkContext.broadcast(np.sort(np.array([r.x for r in often.select("x").collect()], np.int64)))
 
-    def sketch(text: pa.Array) -> pa.Array:
+    def sketch_some(text: pa.Array) -> pa.Array:
         out, firsts, common = [[], [], []], [], last.value
         for t in as_bytes(text):
             s = shingles(t)
@@ -93,6 +99,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE,
                 c.append(x)
         return pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), _lists(firsts)], ["print", "n", "bits", "prefix"])
 
+    def sketch(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.concat_arrays([sketch_some(text.slice(k, SLICE)) for k in range(0, max(1, len(text)), SLICE)])
+        give_back()
+
     return stored(rows.select("id", "hash", arrow_column(sketch, _SKETCH, F.col("text")).alias("s")).select("id", "hash", "s.*"), "sketches")
 
 
