@@ -148,6 +148,69 @@ def base_lm(docs):
     ]
 
 
+def unigram_lm(docs, pieces, offset, end, rounds):
+    """(doc, log10 probability): weights from merge ranks, fitted by forward-backward sums over each training word."""
+    weight = {t: 1 / (offset - s) for t, s in zip(pieces.texts, pieces.scores) if s > -1e8}
+    byte = min(weight.values())
+    scale = (1 - end) / (sum(weight.values()) + 256 * byte)
+    weight = {t: w * scale for t, w in weight.items()}
+    byte *= scale
+    longest = max(map(len, weight))
+
+    def edges(word):
+        for i in range(len(word)):
+            for j in range(i + 1, min(len(word), i + longest) + 1):
+                if (w := weight.get(word[i:j])) is not None:
+                    yield i, j, word[i:j], 1, w
+            if word[i] not in weight:
+                yield i, i + 1, None, len(word[i].encode()), byte ** len(word[i].encode())
+
+    def forward(word):
+        total = [1.0] + [0.0] * len(word)
+        for i, j, _, _, w in edges(word):
+            total[j] += total[i] * w
+        return total
+
+    def backward(word):
+        total = [0.0] * len(word) + [1.0]
+        for i, j, _, _, w in reversed(list(edges(word))):
+            total[i] += total[j] * w
+        return total
+
+    split = [(doc, ["\u2581" + w for w in WORD.findall(lower(text or ""))]) for doc, text in docs]
+    split = [(doc, [w for w in words if len(w) < 300], [w for w in words if len(w) >= 300]) for doc, words in split]
+    held = lambda doc: zlib.crc32(str("" if doc is None else doc).encode()) % 10 == 0
+    from decimal import Decimal
+
+    def real(word):  # long words underflow
+        total = [Decimal(1)] + [Decimal(0)] * len(word)
+        for i, j, _, _, w in edges(word):
+            total[j] += total[i] * Decimal(w)
+        return total
+
+    for _ in range(rounds):
+        sums, ends = Counter(), 0
+        for doc, words, long in split:
+            if held(doc):
+                continue
+            ends += 1
+            for w in words:
+                a, b = forward(w), backward(w)
+                for i, j, piece, n, p in edges(w):
+                    sums[piece] += n * a[i] * p * b[j] / a[-1]
+            for w in long:
+                a = real(w)
+                b = [Decimal(0)] * len(w) + [Decimal(1)]
+                for i, j, _, _, p in reversed(list(edges(w))):
+                    b[i] += b[j] * Decimal(p)
+                for i, j, piece, n, p in edges(w):
+                    sums[piece] += float(n * a[i] * Decimal(p) * b[j] / a[-1])
+        whole = sum(sums.values()) + ends + 0.1 * (len(weight) + 2)
+        weight = {t: (sums[t] + 0.1) / whole for t in weight}
+        byte, end = (sums[None] + 0.1) / 256 / whole, (ends + 0.1) / whole
+    return [(doc, math.log10(end) + sum(math.log10(forward(w)[-1]) for w in words) + sum(float(real(w)[-1].log10()) for w in long)) for doc, words, long in split]
+
+
 def warc(pages):
     digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
     first = {}
