@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that go to a Python worker at once; texts may be long, so this is far below Spark's default.
-BATCH_ROWS = 1000
+#: Rows, and bytes of them, that go to a Python worker at once; texts may be long, so this is far below Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -26,6 +26,7 @@ def session_of(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_dir(spark)
     return spark
 
