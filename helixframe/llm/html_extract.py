@@ -3,18 +3,19 @@
 All pages take part: each task aligns the pages of a host that it meets into a partial wrapper, and the partial
 wrappers of a host are aligned in two more steps, salted, so a host with a third of all pages costs a task no more
 than a share of its partial wrappers (a few kilobytes each).  A host's wrapper says which box holds
-the article.  Pages then give the blocks of that box, whole; a page without it is wrapped by itself.
-A host with more boxes than a wrapper holds (such as a class of its own on every page) has no such box: each of its
-pages is wrapped by itself, and what its wrapper still knows, the texts that most of its pages share, counts a tenth.
+the article, and which texts in it stand on all of its pages.  Each page is then read by its host's wrapper and gives the blocks
+of that box, whole.  A page is wrapped by itself, told only which texts most of its host's pages share, where it lacks
+the box, has one of a more telling name, or has most of its text in another.
 
 Defined cases: a null or empty html has no text; a null url, or one without a host, is a host of its own (empty);
-pages of one host may differ in any way; markup that is cut off or not closed is read as far as it goes.
+pages of one host may differ in any way; markup that is cut off or not closed is read as far as it goes, and nested as deep as it is.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, saved, session_of
+from .common import arrow_column, session_of, stored
 from .wrapper import Node, combine, fixed_texts, main_box, parse, texts_at, wrap
 
 #: Partial wrappers that a task holds before it passes them on, and the salts of a host's.
 HELD_HOSTS, SALTS = 500, 32
-#: Up to so many hosts' boxes are broadcast (about 200 bytes each, and no more in all), more are joined by shuffle.
-BROADCAST_HOSTS, BOX_CHARS = 100_000, 200
+#: Wrappers of up to so many characters in all are sent to the tasks, more are joined by host.
+BROADCAST_CHARS = 8_000_000
 
 
 def host_of(url: str | None) -> str:
@@ -78,46 +79,56 @@ def host_wrappers(pages: DataFrame, url_col="url", html_col="html") -> DataFrame
     return fewer.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(again, columns)
 
 
-def _box(wrapper: Node) -> list:
-    """[path of the article's box], or [null, marks of fixed texts] of a wrapper that lost some of its boxes."""
-    return [None, fixed_texts(wrapper)] if wrapper.pruned else [main_box(wrapper)]
-
+def _hosts(url: pa.Array) -> pa.Array:
+    return pa.array([host_of(u) for u in url.to_pylist()], pa.string())
 
-def _boxes(wrapper: pa.Array) -> pa.Array:
-    return pa.array([json.dumps(_box(Node.of(json.loads(w)))) for w in wrapper.to_pylist()], pa.string())
 
+class Host:
+    """What the pages of a host are read with."""
 
-def _hosts(url: pa.Array) -> pa.Array:
-    return pa.array([host_of(u) for u in url.to_pylist()], pa.string())
+    def __init__(self, wrapper: Node):
+        self.wrapper, self.box, self.known = wrapper, main_box(wrapper), frozenset(fixed_texts(wrapper))
 
 
-def extract(html: str, box: tuple[str, ...] | None = None, fixed: frozenset[int] = frozenset()) -> str:
+def extract(html: str, host: Host | None = None) -> str:
     """The article of a page, its blocks joined by \\n; empty if the box is there and has no text."""
     page = parse(html)
-    texts = texts_at(page, box) if box is not None else None
+    known = host.known if host else frozenset()
+    own = main_box(page, known)
+    texts = texts_at(page, host.box, host.wrapper) if host else None
+    if texts is not None and own.path != host.box.path:
+        size = sum([len(t) for t in texts])
+        fresh = sum([len(t) * (0.1 if zlib.crc32(t.encode()) in known else 1.0) for t in texts])
+        if own.rank > host.box.rank or (own.rank == host.box.rank and own.weight > (2 * fresh if 2 * fresh > size else fresh)):
+            texts = None
     if texts is None:
-        texts = texts_at(page, main_box(wrap(page), fixed))
+        texts = texts_at(page, own)
     return "\n".join(texts or ())
 
 
-def _texts(html: pa.Array, box: pa.Array) -> pa.Array:
-    @lru_cache(4)
-    def known(b: str | None) -> tuple[tuple[str, ...] | None, frozenset[int]]:
-        path, *fixed = json.loads(b) if b else [None]
-        return None if path is None else tuple(path), frozenset(*fixed)
+@lru_cache(64)
+def _host(wrapper: str | None) -> Host | None:
+    return Host(Node.of(json.loads(wrapper))) if wrapper else None
 
-    return pa.array([extract(h or "", *known(b)) for h, b in zip(html.to_pylist(), box.to_pylist())], pa.string())
 
-
-def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", broadcast_hosts=BROADCAST_HOSTS) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", broadcast_chars=BROADCAST_CHARS) -> DataFrame:
     """One row per page: the id, url, text, n_chars, host."""
-    session_of(pages)
-    wrappers = host_wrappers(pages, url_col, html_col)
-    boxes = saved(wrappers.select(F.col("host").alias("__host"), arrow_column(_boxes, "string", F.col("wrapper")).alias("__box")))
-    hosts, chars = boxes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("__box")), F.lit(0))).first()
-    if hosts <= broadcast_hosts and chars <= BOX_CHARS * broadcast_hosts:
-        boxes = F.broadcast(boxes)
+    spark = session_of(pages)
+    wrappers = stored(host_wrappers(pages, url_col, html_col), "wrappers")
+    chars = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"), arrow_column(_hosts, "string", F.col(url_col)).alias("host"))
-    joined = rows.join(boxes, F.col("host") == F.col("__host"), "left")
-    done = joined.select("__id", "__url", "host", arrow_column(_texts, "string", F.col("__html"), F.col("__box")).alias("__text"))
+    if chars <= broadcast_chars:
+        sent = spark.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
+
+        def texts(html: pa.Array, host: pa.Array) -> pa.Array:
+            return pa.array([extract(h or "", _host(sent.value.get(k))) for h, k in zip(html.to_pylist(), host.to_pylist())], pa.string())
+
+        done = rows.select("__id", "__url", "host", arrow_column(texts, "string", F.col("__html"), F.col("host")).alias("__text"))
+    else:
+
+        def read(html: pa.Array, wrapper: pa.Array) -> pa.Array:
+            return pa.array([extract(h or "", _host(w)) for h, w in zip(html.to_pylist(), wrapper.to_pylist())], pa.string())
+
+        joined = rows.join(wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")), F.col("host") == F.col("__host"), "left")
+        done = joined.select("__id", "__url", "host", arrow_column(read, "string", F.col("__html"), F.col("__wrapper")).alias("__text"))
     return done.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), F.col("__text").alias("text"), F.length("__text").cast("bigint").alias("n_chars"), "host")

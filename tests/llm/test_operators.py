@@ -365,7 +365,7 @@ def test_lattice_adds_all_segmentations():
 def test_lm_of_odd_rows(spark):
     df = spark.createDataFrame([(None, None), (3, "a b"), (3, "a b"), (4, "")], "doc_id bigint, text string")
     rows = {(r.doc_id, r.n_tokens): r for r in lm_score.lm_scores(df).collect()}
-    assert lm_score.lm_scores(df).count() == 4 and rows[None, 1].held_out and rows[None, 1].score > -3
+    assert lm_score.lm_scores(df).count() == 4 and rows[None, 1].held_out and -4 < rows[None, 1].score < 0
     assert rows[3, 3].score < rows[None, 1].score < 0
 
 
@@ -550,11 +550,11 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 BODY = "Title {0}\nFirst & bold text\nsecond {0} line\nThird one goes on {0}\nx\ny"
 
 
-@pytest.mark.parametrize("broadcast", [1000, 0])
+@pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_html_extraction(spark, broadcast):
     rows = [(i, "https://Host.example/%d" % i, PAGE % ("text", i, i, i)) for i in range(5)] + [(i, "http://u@two.example:80/", PAGE.replace('<div class="%s">', '<article class="%s">') % ("x", i, i, i)) for i in range(5, 7)]
     rows += [(10, None, None), (11, "http://h/", ""), (12, "http://h/", "plain <b>text"), (13, "https://host.example/x", "<html><body><p>Unlike the others")]
-    done = {r.page_id: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_hosts=broadcast).collect()}
+    done = {r.page_id: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_chars=broadcast).collect()}
     for i in range(7):
         assert done[i].text == BODY.format(i), i
     assert [done[i].text for i in (10, 11, 12, 13)] == ["", "", "plain text", "Unlike the others"]
@@ -567,16 +567,59 @@ def test_wrappers_have_optional_and_repeated_groups_and_slots():
     one = wrap(parse("<body><div><p>a</p><p>b</p></div><footer>f</footer></body>"))
     two = wrap(parse("<body><div><h1>t</h1><p>c</p></div><footer>f</footer></body>"))
     both = combine(one, two)
-    assert both.expression() == "<#page>(<body>(<div>(#h1? #p+) <footer>(##text)))"
+    assert both.expression() == "<#page>(<body>(<div>(#p+ #h1?) <footer>(##text)))" or both.expression() == "<#page>(<body>(<div>(#h1? #p+) <footer>(##text)))"
     div, footer = both.children[0].children
-    assert div.children[1].variable and not footer.children[0].variable and both.pages == 2
+    assert next(c for c in div.children if c.sign == "p").variable and not footer.children[0].variable and both.pages == 2
     assert Node.of(both.plain()).expression() == both.expression()
-    assert main_box(both) == ("body", "div")
+    assert main_box(both).path == ("body", "div")
+
+
+def test_anchors_are_a_longest_common_subsequence():
+    from helixframe.llm.wrapper import anchors
+
+    rnd = random.Random(8)
+    for _ in range(200):
+        a, b = (rnd.sample(range(12), rnd.randrange(12)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        found = anchors(a, b)
+        assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_the_wrapper_tells_what_words_do_not(spark, parts):
+    """No telling name: notices that stand first and last on every page go, what changes stays; so does a box whose class only sounds apart."""
+    rnd = random.Random(6)
+    words = lambda k: " ".join(f"w{rnd.randrange(500)}" for _ in range(k))
+    rows, want = [], {}
+    for i in range(20):
+        blocks = [words(30) for _ in range(rnd.randrange(1, 6))]
+        inner = "".join(f"<p>{x}</p>" for x in blocks)
+        rows.append((i, "http://plain.example/", f"<body><div><p>Top of every page</p></div><div><p>All rights are reserved here and so on</p>{inner}<p>Written with care, every day</p></div><div>End</div></body>"))
+        price = words(8)
+        rows.append((100 + i, "http://price.example/", f"<body><div class='content'><p>{blocks[0]}</p><div class='share-price'>{price}</div><div class='share'>Share this page with others</div></div></body>"))
+        want |= {i: "\n".join(blocks), 100 + i: f"{blocks[0]}\n{price}"}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)
+    assert {r.page_id: r.text for r in html_extract.extract_pages(df).collect()} == want
+
+
+def test_copies_on_one_host_keep_their_text(spark):
+    rows = [(i, "http://copies.example/", "<body><div><p>One text, many times</p><p>and more</p></div></body>") for i in range(30)]
+    done = html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4))
+    assert {r.text for r in done.collect()} == {"One text, many times\nand more"}
+
 
+def test_boxes_nested_by_the_thousand(spark):
+    deep = "<div>" * 10_000 + "<article><p>deep down</p></article>" + "</div>" * 10_000
+    rows = [(1, "http://h/", deep), (2, "http://h/", deep.replace("deep", "as deep")), (3, "http://h/", "<body>" + "<div class=x><p>a</p>" * 3000)]
+    done = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert done[1] == "deep down" and done[2] == "as deep down" and done[3].startswith("a")
 
-def test_pages_of_a_host_with_more_boxes_than_a_wrapper_holds(spark):
-    from helixframe.llm import wrapper
 
+def test_pages_of_a_host_with_names_of_their_own(spark):
     slug = lambda *k: "-".join("x" + "".join(chr(97 + int(d)) for d in str(x)) for x in k)
     about = "<div class='about'><p>%s</p></div>" % ("What this site is about, on every page. " * 3)
     rows, want = [], {}
@@ -586,8 +629,6 @@ def test_pages_of_a_host_with_more_boxes_than_a_wrapper_holds(spark):
         # pages whose article is marked as such, and pages where only the texts of other pages tell it apart
         body, want[i] = (f"<article class='{slug(i)}'>{inner}</article>", "\n".join(parts)) if i % 2 else (f"<div class='{slug(i)}'><p>Words of {i} alone</p></div>", f"Words of {i} alone")
         rows.append((i, "http://large.example/", f"<body><div class='slogan'><p>Slogan</p></div>{about}{body}</body>"))
-    nodes = sum(html.count("<section") * 2 + 2 for _, _, html in rows)
-    assert nodes > wrapper.MOST_NODES
     for parts in (1, 5):
         df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)
         assert {r.page_id: r.text for r in html_extract.extract_pages(df).collect()} == want
@@ -596,8 +637,10 @@ def test_pages_of_a_host_with_more_boxes_than_a_wrapper_holds(spark):
 def test_cut_off_and_empty_pages():
     assert html_extract.extract("<article><p>one<p>two</p><div cla") == "one\ntwo"
     assert html_extract.extract("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
-    assert html_extract.extract("<body><div><p>x</p></div><article></article></body>", ("body", "article")) == ""
-    assert html_extract.extract("<body><div><p>x</p></div></body>", ("body", "article")) == "x"
+    host = html_extract.Host(parse("<body><div><p>y</p></div><article><p>z</p></article></body>"))
+    assert host.box.path == ("body", "article")
+    assert html_extract.extract("<body><div><p>x</p></div><article></article></body>", host) == ""
+    assert html_extract.extract("<body><div><p>x</p></div></body>", host) == "x"
 
 
 @pytest.mark.parametrize(
