@@ -9,19 +9,19 @@ dealt out first, without losing a match:
    document has are done with; these are most of them.
 2. Runs with equal words are one row, with the smallest document that has it.  That takes in copies of
    any number before their words are ever moved.  The words of one run of each kind are fetched.
-3. An anchor decides on a shard; shards hold at most about ``SHARD_WORDS`` words, and each gets a compressed FM-index (suffix
-   array, BWT in a wavelet matrix).  The shard's runs are streamed through it by backward search, which keeps the
-   longest match up to a window and reports where a window's interval holds an earlier document.
-   Anchors with over ``VARIANTS`` different runs do not go into one shard: their windows are
-   counted by hash, which spreads them over all tasks. So no shard grows with the largest group.
-4. Verdicts go back to all runs with those words, and intervals to the documents.
+3. An anchor decides on a shard; shards hold about ``SHARD_WORDS`` words, and each gets a compressed FM-index (BWT in a
+   wavelet matrix).  The runs that documents have in the shard, each kind once, are streamed through it by backward search,
+   which keeps the longest match up to a window and reports the least document of each window's interval.
+4. An anchor with over ``VARIANTS`` different runs is split: within its runs windows get longer anchors (``LONGER`` words, in the
+   end all of the window's), and the runs that these make go the same way, step 2 on.  So no shard grows with the largest group.
+5. Verdicts go back to all runs with those words, and intervals to the documents.
 
 Words are compared by 64-bit hashes. Two unequal windows pass for equal only if they differ just in words whose
-hashes are equal, which takes a pair of near copies and one chance in 2**64.
+hashes are equal, which takes a pair of near copies and one chance in 2**64. Runs of one anchor are told apart by a 64-bit hash of their words.
 
 Defined cases: a null text has no words; rows without an id lose nothing and cost others nothing; rows that repeat an
 id are judged each, against smaller ids only, so they do not remove each other's words; windows that
-repeat inside one document are no reason to remove anything.
+repeat inside one document are no reason to remove anything; ids may be of any type that has an order, as text or numbers.
 """
 
 from __future__ import annotations
@@ -35,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, session_of, stored, with_text
+from .common import arrow_column, as_bytes, free_names, give_back, session_of, stored, with_text
 from .fm_index import FmIndex
 
 WINDOW, GRAM, RUN = 50, 10, 64
 SHARD_WORDS, VARIANTS = 500_000, 1000
+#: Words of the anchors that split a hot one, one after another; the last are whole windows.
+LONGER = (20, 40, 50)
 #: Word hashes that a worker keeps.
 KEPT_HASHES = 500_000
 
@@ -130,55 +132,61 @@ def _runs(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 ["id", "hash", "anchor", "content", "begin", "windows"],
             )
 
-    return docs.mapInArrow(find, "id bigint, hash bigint, anchor bigint, content bigint, begin int, windows int")
+    return docs.mapInArrow(find, f"id {_type(docs, 'id')}, hash bigint, anchor bigint, content bigint, begin int, windows int")
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _fetcher(size: int):
-    """For documents with the runs that are wanted of them: the word hashes of each run."""
+    """For documents, sorted, with the runs that are wanted of them: the word hashes of each run."""
+    names = ["anchor", "content", "windows"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["wide", "shard", "anchor", "content", "windows"]
-        seen: set[tuple[int, int]] = set()  # rows that repeat an id and a text meet in one task, and one is enough
+        last = None  # of rows that repeat an id and a text one is enough
         for batch in batches:
             columns: dict[str, list] = {n: [] for n in [*names, "owner", "words"]}
             for i, k, text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3)):
-                if (i, k) in seen:
+                if (i, k) == last:
                     continue
-                seen.add((i, k))
+                last = i, k
                 h = word_hashes(text.split())
                 for s in want.as_py():
                     for n in names:
                         columns[n].append(s[n])
                     columns["owner"].append(i)
                     columns["words"].append(h[s["begin"] : s["begin"] + s["windows"] + size - 1].tobytes())
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), batch.schema.field(0).type, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns.values(), kinds)], list(columns))
 
     return fetch
 
 
-def _spans(least: np.ndarray) -> list[dict]:
+def _spans(least: np.ndarray, names: list) -> list[dict]:
     """The windows of a run as stretches with one least owner."""
     cut = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    return [{"a": a, "b": b, "owner": o} for a, b, o in zip(cut.tolist(), [*cut[1:].tolist(), len(least)], least[cut].tolist())]
-
-
-_SPANS = "array<struct<a:int,b:int,owner:bigint>>"
-_ARROW_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("owner", pa.int64())]))
+    return [{"a": a, "b": b, "owner": names[o]} for a, b, o in zip(cut.tolist(), [*cut[1:].tolist(), len(least)], least[cut].tolist())]
 
 
 def _indexer(size: int):
     """For rows sorted by shard: the spans of every run, from an FM-index of the shard."""
-    names = ["anchor", "content", "windows", "spans"]
 
-    def judge(rows: list[tuple]) -> pa.RecordBatch:
-        anchor, content, windows, owner, words = (np.concatenate(x) if k < 4 else [w for y in x for w in y] for k, x in enumerate(zip(*rows)))
+    def judge(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        shard = pa.Table.from_batches(rows).combine_chunks()
+        owners = shard.column("owner").to_pylist()
+        names = sorted(set(owners))
+        number = {o: i for i, o in enumerate(names)}
+        words = shard.column("words").to_pylist()
         length = np.fromiter((len(w) // 8 for w in words), np.int64, len(words))
         symbols = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)[1] + 1
-        index = FmIndex(symbols, np.cumsum(length) - length, owner, size)
-        least = index.matches()
-        spans = [_spans(least[a : a + n]) for a, n in zip(index.first.tolist(), windows.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(windows.astype(np.int32)), pa.array(spans, _ARROW_SPANS)], names)
+        first = np.cumsum(length) - length
+        index = FmIndex(symbols, first, np.array([number[o] for o in owners], np.int64), size)
+        least = index.matches(symbols, first, length)
+        spans = [_spans(least[a : a + n], names) for a, n in zip(first.tolist(), shard.column("windows").to_pylist())]
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("owner", shard.schema.field("owner").type)]))
+        out = [shard.column(n).combine_chunks() for n in ("anchor", "content", "windows")]
+        return pa.RecordBatch.from_arrays([*(x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in out), pa.array(spans, kind)], ["anchor", "content", "windows", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -191,59 +199,81 @@ def _indexer(size: int):
                 if held and shard[a] != now:
                     yield judge(held)
                     held = []
-                now, part = shard[a], batch.slice(a, b - a)
-                held.append((*(part.column(k).to_numpy() for k in (1, 2, 3, 4)), part.column(5).to_pylist()))
+                now = shard[a]
+                held.append(batch.slice(a, b - a))
         if held:
             yield judge(held)
+        give_back()
 
     return run
 
 
-def _windows_of(size: int):
-    """The hash of every window of a run's words."""
+def _splitter(size: int, gram: int):
+    """For runs: the shorter runs that windows make by anchors of `gram` words. at: the window of the run that each begins with."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, parts, words = [], [], []
+            for i, w in enumerate(batch.column("words").to_pylist()):
+                h = np.frombuffer(w, np.uint64)
+                parts.append(runs_of(h, size, gram))
+                row.append(np.full(len(parts[-1][0]), i))
+                words += [h[a : a + n + size - 1].tobytes() for a, n in zip(parts[-1][2].tolist(), parts[-1][3].tolist())]
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *row]))
+            anchor, content, begin, windows = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.uint64, np.uint64, np.int64, np.int64), zip(*parts)))
+            own = [batch.column(n).take(at) for n in ("anchor", "content", "windows", "owner")]
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(begin.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(windows.astype(np.int32)), pa.array(words, pa.binary())],
+                ["of_anchor", "of_content", "of_windows", "owner", "at", "anchor", "content", "windows", "words"],
+            )
+
+    return split
 
-    def hashes(words: pa.Array) -> pa.Array:
-        out = []
-        for w in words.to_pylist():
-            h = np.frombuffer(w, np.uint64)
-            begin = np.arange(len(h) - size + 1)
-            out.append(_spans_hash(h, begin, begin + size).view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
 
-    return hashes
+_RUN = ["anchor", "content", "windows"]
 
 
-def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", size=WINDOW, gram=GRAM, shard_words=SHARD_WORDS, variants=VARIANTS) -> DataFrame:
+def _judged(found: DataFrame, size: int, longer: tuple[int, ...], shard_words: int, variants: int) -> DataFrame:
+    """anchor, content, windows, spans of different runs (anchor, content, windows, owner, words): the least owner of every window."""
+    owner = _type(found, "owner")
+    hot = stored(found.groupBy("anchor").count().filter(F.col("count") > (variants if longer else 1 << 62)).select("anchor"), "hot")
+    some = not hot.isEmpty()
+    cold = found.join(hot, "anchor", "left_anti") if some else found
+    words = cold.agg(F.coalesce(F.sum(F.col("windows") + (size - 1)), F.lit(0))).first()[0]
+    # enough shards for all tasks too, where a few of full size would hold everything
+    shards = max(-(-words // shard_words), 2 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cold.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *_RUN, "owner", "words").repartition("shard").sortWithinPartitions("shard")
+    done = dealt.mapInArrow(_indexer(size), f"anchor bigint, content bigint, windows int, spans array<struct<a:int,b:int,owner:{owner}>>")
+    if not some:
+        return done
+    schema = f"of_anchor bigint, of_content bigint, of_windows int, owner {owner}, at int, anchor bigint, content bigint, windows int, words binary"
+    parts = stored(found.join(hot, "anchor", "left_semi").mapInArrow(_splitter(size, min(longer[0], size)), schema), "parts")
+    kinds = stored(parts.groupBy(*_RUN).agg(F.min("owner").alias("owner"), F.first("words").alias("words")), "kinds")
+    inner = stored(_judged(kinds, size, longer[1:], shard_words, variants), "judged")
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b"), s["owner"].alias("owner")))
+    back = parts.drop("words", "owner").join(inner, _RUN).select(F.col("of_anchor").alias("anchor"), F.col("of_content").alias("content"), F.col("of_windows").alias("windows"), moved.alias("spans"))
+    return done.unionByName(back.groupBy(*_RUN).agg(F.flatten(F.collect_list("spans")).alias("spans")))  # a run has at most RUN windows
+
+
+def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", size=WINDOW, gram=GRAM, shard_words=SHARD_WORDS, variants=VARIANTS, longer=LONGER) -> DataFrame:
     """__id, __hash (xxhash64 of the text), spans (array of word numbers first, end): what goes from each document."""
     session_of(docs)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).filter("id is not null")
-    runs = stored(_runs(texts, size, gram))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).filter("id is not null")
+    runs = stored(_runs(texts, size, min(gram, size)), "runs")
     # written, so that the join has a plain exchange on either side and hot anchors can be split
-    shared = stored(runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"))
-    runs = stored(runs.join(shared, "anchor"))
-    kinds = stored(runs.groupBy("anchor", "content", "windows").agg(F.min(F.struct("id", "hash", "begin")).alias("one"), F.max("id").alias("last")))
-    wide = stored(kinds.groupBy("anchor").count().filter(F.col("count") > variants).select("anchor", F.lit(True).alias("wide")))
-    words = kinds.agg(F.coalesce(F.sum(F.col("windows") + (size - 1)), F.lit(0))).first()[0]
-    # enough shards for all tasks too, where a few of full size would hold everything
-    shards = max(-(-words // shard_words), 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
-    wanted = kinds.join(wide, "anchor", "left").select(
-        F.col("one.id").alias("id"), F.col("one.hash").alias("hash"), F.struct(F.coalesce("wide", F.lit(False)).alias("wide"), shard.alias("shard"), "anchor", "content", "windows", F.col("one.begin").alias("begin")).alias("want")
-    )
+    shared = stored(runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"), "shared")
+    runs = stored(runs.join(shared, "anchor"), "runs")
+    kinds = stored(runs.groupBy(*_RUN).agg(F.min(F.struct("id", "hash", "begin")).alias("one"), F.max("id").alias("last")), "kinds")
+    wanted = kinds.select(F.col("one.id").alias("id"), F.col("one.hash").alias("hash"), F.struct(*_RUN, F.col("one.begin").alias("begin")).alias("want"))
     wanted = wanted.groupBy("id", "hash").agg(F.collect_list("want").alias("want"))
-
-    found = stored(texts.join(wanted, ["id", "hash"]).select("id", "hash", "text", "want").mapInArrow(_fetcher(size), "wide boolean, shard bigint, anchor bigint, content bigint, windows int, owner bigint, words binary"))
-    dealt = found.filter("not wide").select("shard", "anchor", "content", "windows", "owner", "words").repartition("shard").sortWithinPartitions("shard")
-    judged = dealt.mapInArrow(_indexer(size), f"anchor bigint, content bigint, windows int, spans {_SPANS}")
-    each = found.filter("wide").select("anchor", "content", "windows", "owner", F.posexplode(arrow_column(_windows_of(size), "array<bigint>", F.col("words"))).alias("a", "window"))
-    least = each.groupBy("anchor", "window").agg(F.min("owner").alias("least"))
-    back = each.join(least, ["anchor", "window"]).groupBy("anchor", "content", "windows").agg(F.array_sort(F.collect_list(F.struct("a", "least"))).alias("s"))
-    judged = judged.unionByName(back.select("anchor", "content", "windows", F.transform("s", lambda x: F.struct(x["a"].alias("a"), (x["a"] + 1).alias("b"), x["least"].alias("owner"))).alias("spans")))
+    asked = texts.join(wanted, ["id", "hash"]).select("id", "hash", "text", "want").sortWithinPartitions("id", "hash")
+    found = stored(asked.mapInArrow(_fetcher(size), f"anchor bigint, content bigint, windows int, owner {_type(texts, 'id')}, words binary"), "found")
+    judged = _judged(found, size, (*[g for g in longer if gram < g < size], size), shard_words, variants)
     # rows that repeat an id and a text bring the same runs twice; and a kind matters if some document that has it follows an owner
-    judged = judged.dropDuplicates(["anchor", "content", "windows"]).join(kinds.select("anchor", "content", "windows", "last"), ["anchor", "content", "windows"])
+    judged = judged.dropDuplicates(_RUN).join(kinds.select(*_RUN, "last"), _RUN)
     # written: the runs of a large group of copies meet one verdict, and that join can be split if nothing else shares its stage
-    judged = stored(judged.filter(F.exists("spans", lambda s: s["owner"] < F.col("last"))).drop("last"))
-    hit = runs.join(judged, ["anchor", "content", "windows"]).withColumn("spans", F.filter("spans", lambda s: s["owner"] < F.col("id"))).filter(F.size("spans") > 0)
+    judged = stored(judged.filter(F.exists("spans", lambda s: s["owner"] < F.col("last"))).drop("last"), "judged")
+    hit = runs.join(judged, _RUN).withColumn("spans", F.filter("spans", lambda s: s["owner"] < F.col("id"))).filter(F.size("spans") > 0)
     pairs = F.transform("spans", lambda s: F.struct((F.col("begin") + s["a"]).alias("first"), (F.col("begin") + s["b"] + (size - 1)).alias("end")))
     return hit.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), pairs.alias("spans")).groupBy("__id", "__hash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
@@ -267,24 +297,24 @@ def _keep(text: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3], pa.string())], ["n_words", "n_removed", "text", "sha256"])
 
 
-def _annotated(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    spans = repeated_spans(docs, id_col, text_col, **options)
-    left = docs.withColumn("__key", F.xxhash64(text_col)).alias("d")
-    on = (F.col(f"d.{id_col}").cast("bigint") == spans["__id"]) & (F.col("d.__key") == spans["__hash"])
-    return left.join(spans, on, "left").withColumn("__kept", arrow_column(_keep, _KEPT, F.col(text_col), F.col("spans")))
+def _annotated(docs: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, str]:
+    """docs with what is kept of each text, under a free name that is returned too."""
+    own_id, key, found, kept = free_names(docs, "__id", "__key", "__spans", "__kept")
+    spans = repeated_spans(docs, id_col, text_col, **options).toDF(own_id, key, found)
+    hashed = free_names(docs, "__text_hash")[0]
+    left = docs.withColumn(hashed, F.xxhash64(text_col))
+    joined = left.join(spans, (left[id_col] == spans[own_id]) & (left[hashed] == spans[key]), "left")
+    return joined.withColumn(kept, arrow_column(_keep, _KEPT, left[text_col], F.col(found))), kept
 
 
 def substring_dedup_report(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """One row per document: the id, n_words, n_removed, kept_sha256, text (the kept words joined by a space)."""
-    done = _annotated(docs.select(id_col, text_col), id_col, text_col, **options)
-    return done.select(id_col, F.col("__kept.n_words").alias("n_words"), F.col("__kept.n_removed").alias("n_removed"), F.col("__kept.sha256").alias("kept_sha256"), F.col("__kept.text").alias("text"))
+    done, kept = _annotated(docs.select(id_col, text_col), id_col, text_col, **options)
+    return done.select(id_col, F.col(f"{kept}.n_words").alias("n_words"), F.col(f"{kept}.n_removed").alias("n_removed"), F.col(f"{kept}.sha256").alias("kept_sha256"), F.col(f"{kept}.text").alias("text"))
 
 
 def substring_dedup(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """docs, all rows and columns; texts that lost words are the kept words joined by a space."""
-    inner = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    done = _annotated(inner.withColumnRenamed("spans", "__own_spans") if "spans" in docs.columns else inner, id_col, text_col, **options)
-    text = F.when(F.col("__kept.n_removed") > 0, F.col("__kept.text")).otherwise(F.col(text_col))
-    if "spans" in docs.columns:
-        done = done.drop("spans").withColumnRenamed("__own_spans", "spans")
+    done, kept = _annotated(docs, id_col, text_col, **options)
+    text = F.when(F.col(f"{kept}.n_removed") > 0, F.col(f"{kept}.text")).otherwise(F.col(text_col))
     return with_text(done, text, text_col).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -164,7 +164,7 @@ def test_no_passage_leaves_the_pipelines_stage(spark, block, tmp_path, monkeypat
 # substring dedup
 
 
-@pytest.mark.parametrize("variants, shard_words", [(1000, 500_000), (1, 500_000), (3, 300)])
+@pytest.mark.parametrize("variants, shard_words", [(1000, 500_000), (0, 500_000), (3, 300)])
 def test_substring_dedup(docs, variants, shard_words):
     done = substring_dedup.substring_dedup_report(docs, variants=variants, shard_words=shard_words).cache()
     same(done, "doc_id n_words n_removed kept_sha256", brute.substring_dedup(DOCS))
@@ -181,9 +181,30 @@ def test_substring_dedup_of_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "spans"] and got(kept, "doc_id", "text") == sorted([(None, text), (5, ""), (5, ""), (3, "x " + text), (9, None), (4, "")], key=repr)
 
 
-def test_fm_index_against_plain_search():
-    import numpy as np
+def test_substring_dedup_of_long_texts_and_text_ids(spark):
+    """A passage in a hundred other contexts, a text of 60,000 words twice, and ids that are text."""
+    rnd = random.Random(9)
+    words = lambda k: [f"w{rnd.randrange(3000)}" for _ in range(k)]
+    passage, long = words(120), words(60_000)
+    rows = [(f"d{i:03}", " ".join(words(20) + passage[: rnd.randrange(60, 120)] + words(20))) for i in range(100)]
+    rows += [("x1", " ".join(long)), ("x2", " ".join(["other", *long[10:]])), ("x3", " ".join(["same"] * 5000))]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    done = substring_dedup.substring_dedup_report(df, variants=20)
+    same(done, "doc_id n_words n_removed kept_sha256", brute.substring_dedup(rows))
+
+
+def test_bit_vectors():
+    from helixframe.llm.fm_index import BitVector
+
+    rnd = np.random.default_rng(5)
+    for n, share in ((0, 0.5), (1, 1.0), (64, 0.5), (5000, 0.01), (5000, 0.9), (1024, 0.0), (3000, 1.0)):
+        bits = rnd.random(n) < share
+        v = BitVector(bits)
+        assert v.rank(np.arange(n + 1)).tolist() == [0, *np.cumsum(bits).tolist()]
+        assert v.select(np.arange(v.ones + 2)).tolist() == [*np.flatnonzero(bits).tolist(), n, n]
 
+
+def test_fm_index_against_plain_search():
     rnd = np.random.default_rng(3)
     sequence = rnd.integers(0, 7, 500)
     matrix = WaveletMatrix(sequence, 7)
@@ -196,12 +217,25 @@ def test_fm_index_against_plain_search():
     owner = np.array([70, 60, 50, 40, 30, 20, 10])
     first = np.cumsum([0] + [len(p) for p in parts])[:-1]
     index = FmIndex(np.concatenate(parts), first, owner, size)
-    found = index.matches()
-    for k, p in enumerate(parts):
-        for i in range(len(p) - size + 1):
+    # its own sequences, and others with symbols and windows that it lacks
+    streamed = parts + [rnd.integers(0, 4, n) for n in (2, 5, 40, 60)] + [np.concatenate((parts[3][:12], [0], parts[4][3:20]))]
+    length = np.array([len(p) for p in streamed])
+    begin = np.cumsum(length) - length
+    found = index.matches(np.concatenate(streamed), begin, length)
+    for k, p in enumerate(streamed):
+        for i in range(len(p)):
             w = p[i : i + size].tolist()
-            least = min(owner[j] for j, q in enumerate(parts) for a in range(len(q) - size + 1) if q[a : a + size].tolist() == w)
-            assert found[index.first[k] + i] == least
+            least = min((owner[j] for j, q in enumerate(parts) for a in range(len(q) - size + 1) if q[a : a + size].tolist() == w and len(w) == size), default=-1)
+            assert found[begin[k] + i] == least
+
+
+def test_bytes_of_an_index():
+    """What stays of an index of runs as the operator makes them, in bytes a symbol."""
+    rnd = np.random.default_rng(1)
+    vocabulary = rnd.zipf(1.3, 200_000).clip(max=20_000)
+    parts = [vocabulary[a : a + 70] for a in rnd.integers(0, 199_000, 3000)]
+    index = FmIndex(np.concatenate(parts).astype(np.int64), np.arange(3000) * 70, np.arange(3000), 50)
+    assert index.nbytes / index.length < 5
 
 
 # simhash
