@@ -11,7 +11,9 @@ Conventions of every operator in this package
 from __future__ import annotations
 
 import ctypes
+import functools
 import uuid
+from typing import get_type_hints
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,7 +75,18 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def arrow_column(function, returns: str, *columns: Column | str) -> Column:
-    """function(*pa.Array) -> pa.Array as a column. The function sees one Arrow batch at a time."""
+    """function(*pa.Array) -> pa.Array as a column. The function sees one Arrow batch at a time, and what it took for a batch
+    is given back after it; so do functions of iterators by themselves."""
+    if "Iterator" not in str(next(iter(get_type_hints(function).values()))):
+        inner = function
+
+        @functools.wraps(inner)
+        def function(*batch):
+            out = inner(*batch)
+            del batch
+            give_back()
+            return out
+
     return F.arrow_udf(function, returns)(*columns)
 
 

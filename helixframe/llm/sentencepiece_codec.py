@@ -2,9 +2,9 @@
 
 The texts of an Arrow batch are cut into words (a run of spaces and what follows up to the next space; pieces
 never cross that unless the vocabulary says so, and then a text is one word).  The distinct words that
-the task has not met yet are put one after another, their suffixes are sorted as far as the longest piece
+the task has not met yet (it keeps the ids of the last ``KEPT_WORDS`` to twice as many) are put one after another, their suffixes are sorted as far as the longest piece
 reaches, and every piece of the vocabulary is looked up by binary search, which gives the range of its
-occurrences.  The occurrences are the edges of a lattice; sorted by position they are relaxed:
+occurrences.  The occurrences are the edges of a lattice; sorted by position (BPE: by counting, as each position and length has its place) they are relaxed:
 
 * unigram models: forward, keeping the best sum of scores at each position;
 * BPE models: by merge rank, leftmost first, an edge replacing the two symbols that it spans, until no edge
@@ -358,16 +358,23 @@ def _matcher(df: DataFrame, model_file: str):
     return session_of(df).sparkContext.broadcast(Matcher(load_pieces(model_file)))
 
 
-def encode_texts(docs: DataFrame, text_col="text", ids_col="piece_ids", model_file=DEFAULT_MODEL) -> DataFrame:
-    """docs with the ids of each text (replacing a column of that name)."""
+def encode_texts(docs: DataFrame, text_col="text", ids_col="piece_ids", model_file=DEFAULT_MODEL, check: bool = False) -> DataFrame:
+    """docs with the ids of each text (replacing a column of that name). With check they are decoded at once, and ids that
+    don't give a text back raise an error."""
     sent = _matcher(docs, model_file)
 
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = sent.value.fresh()
         for text in texts:
-            coded = matcher.encode([t or "" for t in text.to_pylist()])
+            plain = [t or "" for t in text.to_pylist()]
+            coded = matcher.encode(plain)
             ends = np.cumsum([0] + [len(c) // 4 for c in coded])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            ids = np.frombuffer(b"".join(coded), "<i4")
+            if check:
+                for t, back in zip(plain, matcher.decode_lists(ids, ends)):
+                    if t.encode() != back and t.replace(SPACE, " ").encode() != back:  # the mark of spaces comes back as one
+                        raise ValueError(f"piece ids do not give back the text {t[:80]!r}")
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
         del matcher
         give_back()
 

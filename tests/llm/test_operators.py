@@ -465,18 +465,39 @@ def test_round_trip_of_a_table(spark, docs):
 PAGES = [(i, f"http://h/{i}?q=a b%\n" if i % 2 else None, "p" * (50 + 60 * (i % 3)) + "é" * (i % 2)) for i in range(20)] + [(50, "u", None), (51, "u", ""), (52, "u", "x" * 99), (53, "u", "x" * 99), (54, "u", "x" * 100), (55, "u", "x" * 100)]
 
 
-def test_pipeline_decodes_its_pieces(spark, monkeypatch):
-    import corpus_pipeline
-
+def test_encoding_that_is_checked(spark, monkeypatch):
     df = spark.createDataFrame([(1, "Some  text\n\u2581 \u65e5\u672c"), (2, ""), (3, None)], "doc_id bigint, text string")
-    done = corpus_pipeline.pieces(spark, df, "")
+    done = sentencepiece_codec.encode_texts(df, check=True)
     assert done.columns == ["doc_id", "text", "piece_ids"] and [len(r.piece_ids) > 0 for r in done.orderBy("doc_id").collect()] == [True, False, False]
-    encode = sentencepiece_codec.encode_texts
-    monkeypatch.setattr(corpus_pipeline, "encode_texts", lambda d: encode(d.withColumn("__t", F.substring("text", 1, 5)), "__t").drop("__t"))
-    with pytest.raises(Exception, match="do not give back document 1"):
-        corpus_pipeline.pieces(spark, df, "").collect()
+    bad = sentencepiece_codec.Matcher(load_pieces())
+    bad.decode_lists(np.zeros(0, np.int64), np.zeros(1, np.int64))
+    data, begin, sizes = bad.surface
+    bad.surface = data, begin, sizes // 2
+    monkeypatch.setattr(sentencepiece_codec, "_matcher", lambda df, model_file: spark.sparkContext.broadcast(bad))
+    with pytest.raises(Exception, match="do not give back the text 'Some"):
+        sentencepiece_codec.encode_texts(df, check=True).collect()
 
 
+def test_merging_is_the_plain_way():
+    """Against a merger that looks at all neighbours for the best rank, leftmost first, one at a time."""
+    p = load_pieces()
+    rank = {t: -s for t, s in zip(p.texts, p.scores)}
+    number = dict(zip(p.texts, p.ids.tolist()))
+
+    def plain(word):
+        symbols = list(word)
+        while True:
+            best = min(((rank[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in rank), default=None)
+            if best is None:
+                break
+            symbols[best[1] : best[1] + 2] = ["".join(symbols[best[1] : best[1] + 2])]
+        return [i for s in symbols for i in ([number[s]] if s in number else [p.bytes_[x] for x in s.encode()])]
+
+    rnd = random.Random(12)
+    words = ["\u2581" + "".join(rnd.choice("aeinrstlh\u00e9\u65e5\U0001f600zq'-") for _ in range(rnd.randrange(1, 90))) for _ in range(300)]
+    for word, coded in zip(words, sentencepiece_codec.Matcher(p).encode_words(words)):
+        assert np.frombuffer(coded, "<i4").tolist() == plain(word)
+
 
 @pytest.mark.parametrize("archive, broadcast", [(10**7, 1000), (900, 0)])
 def test_warc_round_trip(spark, tmp_path, archive, broadcast):
