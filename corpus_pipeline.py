@@ -5,14 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from helixframe.llm.common import shared_dir, table
 from helixframe.llm.decontaminate import decontaminate
 from helixframe.llm.jaccard import near_dedup
 from helixframe.llm.line_dedup import line_dedup
 from helixframe.llm.quality import quality_filter
-from helixframe.llm.sentencepiece_codec import decode_ids, encode_texts
+from helixframe.llm.sentencepiece_codec import encode_texts
 
 #: SimHash fingerprints, XXH64 and piece ids have no counterpart in SQL.
 ORACLE_SQL = None
@@ -39,11 +38,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its piece ids, which are decoded again; ids that don't give the text back stop the pipeline."""
-    done = decode_ids(encode_texts(docs), text_col="__decoded")
-    text = F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")  # the mark of spaces comes back as one
-    lost = F.raise_error(F.concat(F.lit("piece ids do not give back document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return done.withColumn("piece_ids", F.when(F.col("__decoded").eqNullSafe(text), F.col("piece_ids")).otherwise(lost)).drop("__decoded")
+    """Every document with its piece ids, which are decoded again at once; ids that don't give the text back stop the pipeline."""
+    return encode_texts(docs, check=True)
 
 
 STAGES = [
