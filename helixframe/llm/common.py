@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import shared
+from ..functions.shared import checkpoint_dir
+
 #: Rows, and bytes of them, that go to a Python worker at once; texts may be long, so this is far below Spark's defaults.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -34,15 +37,8 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        import tempfile
-
-        set_dir = tempfile.mkdtemp(prefix="helixframe-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
+    """The folder that driver and executors share."""
+    return checkpoint_dir(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """df, written once to the checkpoint folder: later reads survive the loss of executors."""
     session_of(df)
-    return df.checkpoint(eager=True)
+    return shared.saved(df)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
@@ -74,6 +70,23 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def own_columns(operator):
+    """For operators that return docs with all their columns: columns of the caller's that begin as the operator's own do (__)
+    bear other names meanwhile."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *arguments, **options):
+        odd = [c for c in docs.columns if c.startswith("__")]
+        if not odd:
+            return operator(docs, *arguments, **options)
+        names = dict(zip(odd, free_names(docs, *[f"own{c}" for c in odd])))
+        other = lambda x: names.get(x, x) if isinstance(x, str) else x
+        out = operator(docs.withColumnsRenamed(names), *map(other, arguments), **{k: other(x) for k, x in options.items()})
+        return out.withColumnsRenamed({b: a for a, b in names.items()})
+
+    return run
+
+
 def arrow_column(function, returns: str, *columns: Column | str) -> Column:
     """function(*pa.Array) -> pa.Array as a column. The function sees one Arrow batch at a time, and what it took for a batch
     is given back after it; so do functions of iterators by themselves."""

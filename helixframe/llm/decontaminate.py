@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, saved, session_of, with_text
+from .common import arrow_column, as_bytes, own_columns, saved, session_of, with_text
 
 WINDOW = 13
 BLOCK_CHARS = 2_000_000
@@ -156,6 +156,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col="doc_id
     )
 
 
+@own_columns
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", n=WINDOW, block_chars=BLOCK_CHARS, share=20, mode="documents") -> DataFrame:
     """docs, all columns. mode "documents": without contaminated documents; "spans": all documents, without
     the hit words and what stands between neighbouring ones; "both": without contaminated documents, and the others

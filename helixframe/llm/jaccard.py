@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, give_back, saved, session_of, stored
+from .common import arrow_column, as_bytes, give_back, own_columns, saved, session_of, stored
 from .components import connected_components
 from .simhash import SEED, fingerprint, heads, keep_rows, owners
 
@@ -157,6 +157,7 @@ def _kept_of_groups(best: DataFrame, marked: DataFrame, texts: DataFrame, center
     return saved(ranked.groupBy("root").agg(F.min("rank").alias("r")).select("r.id", "r.hash"))
 
 
+@own_columns
 def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE, centers: int = CENTERS) -> DataFrame:
     """docs, all columns, with one document of each group: first by SimHash links, then of those left by five-word shingles."""
     marked = sketches(docs, id_col, text_col, sample)
@@ -165,6 +166,7 @@ def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int =
     return keep_rows(docs, _kept_of_groups(best, marked, texts, centers), marked, id_col, text_col)
 
 
+@own_columns
 def jaccard_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE, centers: int = CENTERS) -> DataFrame:
     """docs, all columns, with one document of each group by five-word shingles alone; of equal texts one stays too."""
     marked = sketches(docs, id_col, text_col, sample, prints=False)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, saved, session_of, with_text
+from .common import arrow_column, as_bytes, own_columns, saved, session_of, with_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: A drop list of up to so many keys is sent to the executors (32 bytes a key); a longer one is joined.
@@ -121,6 +121,7 @@ def line_dedup_report(docs: DataFrame, id_col="doc_id", text_col="text", min_cha
     return done.select(id_col, F.col("__lines.text").alias("text"), F.col("__lines.n_lines").alias("n_lines"), F.col("__lines.n_dropped").alias("n_dropped"), F.col("__lines.sha256").alias("kept_sha256"))
 
 
+@own_columns
 def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text", min_chars=MIN_CHARS, min_docs=MIN_DOCS, broadcast_keys=BROADCAST_KEYS) -> DataFrame:
     """docs, all rows and columns, with the text that is left."""
     done = _annotated(docs, id_col, text_col, min_chars, min_docs, broadcast_keys)

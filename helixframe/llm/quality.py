@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, saved, session_of
+from .common import arrow_column, own_columns, saved, session_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Soft rules: the strict and the lenient limit of a ratio of two measures.
@@ -124,6 +124,7 @@ def quality_report(docs: DataFrame, id_col="doc_id", text_col="text", host_col="
     return done.select(F.col("__id").alias(id_col), *names, _base_failed().alias("base_failed"), F.col("__docs").alias("host_docs"), *rates, F.col("__kept").alias("kept"))
 
 
+@own_columns
 def quality_filter(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", bad_rate=BAD_RATE, broadcast_hosts=BROADCAST_HOSTS) -> DataFrame:
     """The kept rows of docs with all their columns. Texts are measured once for the hosts and once to filter."""
     session_of(docs)

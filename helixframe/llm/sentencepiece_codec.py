@@ -27,14 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, give_back, session_of
+from .common import arrow_column, give_back, own_columns, session_of
 from .pieces import BPE, DEFAULT_MODEL, SPACE, UNUSED, Pieces, load_pieces
 
 #: Words whose ids a task keeps before it sets about forgetting the older ones, and characters that it indexes at once.
-KEPT_WORDS, INDEXED_CHARS = 150_000, 200_000
+KEPT_WORDS, INDEXED_CHARS = 100_000, 200_000
+#: Bytes of texts whose words are held at once.
+SPLIT_BYTES = 1_000_000
 #: Longer words are merged one at a time, with a heap.
 LOCKSTEP = 48
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -358,6 +361,15 @@ def _matcher(df: DataFrame, model_file: str):
     return session_of(df).sparkContext.broadcast(Matcher(load_pieces(model_file)))
 
 
+def _parts(text: pa.Array) -> list[pa.Array]:
+    """A batch in parts of about SPLIT_BYTES, a text at least each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(size // SPLIT_BYTES)) + 1 if len(size) else []
+    bounds = [0, *cuts, len(text)]
+    return [text.slice(a, b - a) for a, b in zip(bounds, bounds[1:])]
+
+
+@own_columns
 def encode_texts(docs: DataFrame, text_col="text", ids_col="piece_ids", model_file=DEFAULT_MODEL, check: bool = False) -> DataFrame:
     """docs with the ids of each text (replacing a column of that name). With check they are decoded at once, and ids that
     don't give a text back raise an error."""
@@ -365,22 +377,27 @@ def encode_texts(docs: DataFrame, text_col="text", ids_col="piece_ids", model_fi
 
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = sent.value.fresh()
-        for text in texts:
-            plain = [t or "" for t in text.to_pylist()]
-            coded = matcher.encode(plain)
-            ends = np.cumsum([0] + [len(c) // 4 for c in coded])
-            ids = np.frombuffer(b"".join(coded), "<i4")
-            if check:
-                for t, back in zip(plain, matcher.decode_lists(ids, ends)):
-                    if t.encode() != back and t.replace(SPACE, " ").encode() != back:  # the mark of spaces comes back as one
-                        raise ValueError(f"piece ids do not give back the text {t[:80]!r}")
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        for batch in texts:
+            yield pa.concat_arrays([encoded(matcher, part) for part in _parts(batch)])
+            give_back()
         del matcher
         give_back()
 
+    def encoded(matcher: Matcher, text: pa.Array) -> pa.Array:
+        plain = [t or "" for t in text.to_pylist()]
+        coded = matcher.encode(plain)
+        ends = np.cumsum([0] + [len(c) // 4 for c in coded])
+        ids = np.frombuffer(b"".join(coded), "<i4")
+        if check:
+            for t, back in zip(plain, matcher.decode_lists(ids, ends)):
+                if t.encode() != back and t.replace(SPACE, " ").encode() != back:  # the mark of spaces comes back as one
+                    raise ValueError(f"piece ids do not give back the text {t[:80]!r}")
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
     return docs.withColumn(ids_col, arrow_column(encode, "array<int>", F.col(text_col)))
 
 
+@own_columns
 def decode_ids(rows: DataFrame, ids_col="piece_ids", text_col="decoded", model_file=DEFAULT_MODEL) -> DataFrame:
     """rows with the text of each list of ids (replacing a column of that name)."""
     sent = _matcher(rows, model_file)

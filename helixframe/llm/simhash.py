@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, free_names, saved, session_of
+from .common import arrow_column, as_bytes, free_names, own_columns, saved, session_of
 from .components import connected_components
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
@@ -222,6 +222,7 @@ def keep_rows(docs: DataFrame, best: DataFrame, marked: DataFrame, id_col: str,
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@own_columns
 def simhash_dedup(docs: DataFrame, id_col="doc_id", text_col="text", distance=DISTANCE, shingle=SHINGLE, bucket=BUCKET) -> DataFrame:
     """docs, all columns, with one document of each component: the smallest id, among its texts the one with
     the smallest hash, of equal rows one. Rows without an id stay only where the component has no id."""

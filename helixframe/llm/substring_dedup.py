@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, free_names, give_back, session_of, stored, with_text
+from .common import arrow_column, as_bytes, free_names, give_back, own_columns, session_of, stored, with_text
 from .fm_index import FmIndex
 
 WINDOW, GRAM, RUN = 50, 10, 64
@@ -313,6 +313,7 @@ def substring_dedup_report(docs: DataFrame, id_col="doc_id", text_col="text", **
     return done.select(id_col, F.col(f"{kept}.n_words").alias("n_words"), F.col(f"{kept}.n_removed").alias("n_removed"), F.col(f"{kept}.sha256").alias("kept_sha256"), F.col(f"{kept}.text").alias("text"))
 
 
+@own_columns
 def substring_dedup(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """docs, all rows and columns; texts that lost words are the kept words joined by a space."""
     done, kept = _annotated(docs, id_col, text_col, **options)

@@ -47,26 +47,26 @@ class WarcError(ValueError):
     """An archive that doesn't hold what its headers say."""
 
 
-def _urn(page_id: int | None) -> bytes:
-    return b"<urn:x-page:%s>" % (b"null" if page_id is None else b"%d" % page_id)
+def _urn(page_id: str | None) -> bytes:
+    return b"<urn:x-page:%s>" % (b"null" if page_id is None else b"id=" + _quoted(str(page_id)))
 
 
-def _page(urn: bytes) -> int | None:
-    m = re.fullmatch(rb"<urn:x-page:(-?\d+|null)>", urn)
+def _page(urn: bytes) -> str | None:
+    m = re.fullmatch(rb"<urn:x-page:(?:null|id=([^<>]*))>", urn)
     if not m:
         raise WarcError(f"no record id: {urn!r}")
-    return None if m[1] == b"null" else int(m[1])
+    return None if m[1] is None else _unquoted(m[1])
 
 
 def _quoted(url: str) -> bytes:
-    return re.sub(rb"[\x00-\x20%\x7f]", lambda m: b"%%%02X" % m[0][0], url.encode())
+    return re.sub(rb"[\x00-\x20%<>\x7f]", lambda m: b"%%%02X" % m[0][0], url.encode())
 
 
 def _unquoted(url: bytes) -> str:
     return re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), url).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: str | None, revisit: bool) -> bytes:
     """The bytes of one record; a revisit has no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if revisit else http + (payload or b"")
@@ -189,7 +189,7 @@ def planned(pages: DataFrame, id_col="page_id", url_col="url", html_col="html",
     """pages as records: page_id, url, payload (null for revisits), payload_bytes, payload_digest, refers_to, revisit."""
     session_of(pages)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     # a null id is the largest: max() over (no id, -id) would need it first, min() over (no id, id) has it last
     rank = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"))
@@ -229,20 +229,21 @@ def write_warc(pages: DataFrame, path: str, id_col="page_id", url_col="url", htm
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["frame"])
 
-    dealt = records.repartition(max(1, -(-total // archive_bytes)))
+    texts = records.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    dealt = texts.repartition(max(1, -(-total // archive_bytes)))
     out = dealt.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     out.write.option("lineSep", EMPTY_FRAME).option("compression", "none").text(path)
 
 
-_RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_RECORDS = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """The records of the archives in a folder; with payloads, their bytes too. A damaged archive fails the query."""
+def read_warc(spark: SparkSession, path: str, payloads: bool = False, id_type: str = "bigint") -> DataFrame:
+    """The records of the archives in a folder, ids as id_type; with payloads, their bytes too. A damaged archive fails the query."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _RECORDS.split(", ")] + ["payload"] * payloads
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
         schema = pa.schema(list(zip(names, kinds)))
         for batch in batches:
             for data in batch.column(0):
@@ -257,11 +258,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     session_of(files)
-    return files.mapInArrow(records, _RECORDS + ", payload binary" * payloads)
+    found = files.mapInArrow(records, _RECORDS + ", payload binary" * payloads)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def warc_round_trip(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """Writes pages to archives in the shared folder and reads them back."""
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, id_col, url_col, html_col)
-    return read_warc(pages.sparkSession, path)
+    return read_warc(pages.sparkSession, path, id_type=pages.schema[id_col].dataType.simpleString())

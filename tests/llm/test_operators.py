@@ -539,6 +539,12 @@ def test_warc_of_odd_rows(spark, tmp_path):
     assert got(warc.read_warc(spark, str(tmp_path / "w")), "page_id", "record_type", "refers_to") == sorted([(4, "response", None), (4, "response", None), (9, "revisit", 4), (None, "revisit", 4)], key=repr)
 
 
+def test_warc_ids_that_are_text(spark, tmp_path):
+    rows = [("b <1>%", "u", "y" * 200), ("a null", None, "y" * 200), ("null", "u", "z"), (None, "u", "q")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    assert got(warc.warc_round_trip(df), "page_id", "record_type", "refers_to") == sorted([("b <1>%", "revisit", "a null"), ("a null", "response", None), ("null", "response", None), (None, "response", None)], key=repr)
+
+
 # chat
 
 TURNS = [
@@ -722,6 +728,19 @@ def test_empty_tables(spark, no_docs):
         assert df.count() == 0
 
 
+def test_columns_of_the_operators_names_come_back(spark, docs):
+    """Callers may have columns of any name, those that operators use for themselves too."""
+    from helixframe.llm import jaccard
+
+    names = ["__id", "__hash", "__hits", "__n_hit", "__lines", "__lost", "__source", "__m", "__host", "__docs", "__kept", "__key", "__t", "__spans", "__text"]
+    df = docs.select("doc_id", "text", F.lit("s").alias("source"), *[(F.col("doc_id") + k).alias(n) for k, n in enumerate(names)])
+    items = spark.createDataFrame([(1, DOCS[-1][1])], "item_id bigint, text string")
+    for done in (quality.quality_filter(df), line_dedup.line_dedup(df), decontaminate.decontaminate(df, items, mode="both"), simhash.simhash_dedup(df), jaccard.near_dedup(df), substring_dedup.substring_dedup(df), sentencepiece_codec.encode_texts(df).drop("piece_ids")):
+        assert done.columns == df.columns
+        rows = done.collect()
+        assert rows and all(r[n] == r.doc_id + k for r in rows for k, n in enumerate(names))
+
+
 def test_a_benchmark_without_items(spark, docs):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.decontamination_report(docs, items).filter("contaminated or n_hit > 0").count() == 0
