@@ -27,12 +27,14 @@ def longest(seqs: DataFrame) -> int:
     return seqs.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
 
 
-def kmers(seqs: DataFrame, k: int, keep: list[str] | None = None, seq_col: str = "seq", spread: bool = False) -> DataFrame:
+def kmers(seqs: DataFrame, k: int, keep: list[str] | None = None, seq_col: str = "seq", spread: bool | None = None) -> DataFrame:
     """The columns of `keep` (seq_id), off (from 0) and kmer.
 
     With spread the pieces of sequences are dealt out before they become k-mers: a long sequence is one row, and
-    its k-mers would all be made in its task.
+    its k-mers would all be made in its task. Left open, `len` decides where rows have it (sequences that are placed).
     """
+    if spread is None:
+        spread = "len" in seqs.columns and longest(seqs) > LONG
     if k < 1:
         raise ValueError("k is at least 1")
     keep = ["seq_id"] if keep is None else keep

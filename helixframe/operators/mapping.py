@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
 from ..functions.shared import saved
-from .kmers import kmers, unknown_count
+from .kmers import LONG, PIECE, kmers, longest, pieces, unknown_count
 from .text import both_strands
 
 
@@ -18,7 +18,7 @@ BROADCAST_KMERS = 500_000
 def seeds(reads: DataFrame, seqs: DataFrame, k: int, read_id: str = "ord", read_seq: str = "seq", alphabet: Alphabet = DNA) -> DataFrame:
     """read, seq_id, strand, diagonal (begin of the read on that strand), n: exact k-mers in common, by where they put the read."""
     mine = kmers(reads.select(F.col(read_id).alias("read"), alphabet.encode(read_seq).alias("seq")), k, ["read"]).filter(unknown_count("kmer", alphabet) == 0)
-    theirs = kmers(both_strands(seqs.select("seq_id", "seq"), alphabet), k, ["seq_id", "strand"])
+    theirs = kmers(both_strands(seqs.select("seq_id", "seq"), alphabet), k, ["seq_id", "strand"], spread=longest(seqs) > LONG)
     hits = mine.select("read", F.col("off").alias("at"), "kmer").join(theirs, "kmer")
     return hits.groupBy("read", "seq_id", "strand", (F.col("off") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -33,16 +33,26 @@ def hamming(a, b, unknown: str | None):
 def map_reads(reads: DataFrame, seqs: DataFrame, k: int, tau: int, read_id: str = "ord", read_seq: str = "seq", alphabet: Alphabet = DNA) -> DataFrame:
     """read, name, offset (from 1, on the forward strand), strand, dist: the best place of each read, with at most tau
     substitutions over its whole length; of equal ones the first by name, offset and strand. Reads without one are left out.
+
+    A place is compared with the pieces of a sequence that it covers, joined by number, so no sequence is moved whole.
     """
-    placed = seeds(reads, seqs, k, read_id, read_seq, alphabet)
     texts = reads.select(F.col(read_id).alias("read"), alphabet.encode(read_seq).alias("text"))
+    placed = seeds(reads, seqs, k, read_id, read_seq, alphabet).filter("diagonal >= 0").select("read", "seq_id", "strand", "diagonal")
     both = both_strands(seqs.select("seq_id", "name", "seq"), alphabet)
-    full = placed.join(texts, "read").join(both, ["seq_id", "strand"]).filter((F.col("diagonal") >= 0) & (F.col("diagonal") + F.length("text") <= F.length("seq")))
-    part = F.substring("seq", (F.col("diagonal") + 1).cast("int"), F.length("text"))
-    offset = F.when(F.col("strand") == "+", F.col("diagonal") + 1).otherwise(F.length("seq") - F.col("diagonal") - F.length("text") + 1)
-    scored = full.select("read", "name", offset.alias("offset"), "strand", hamming(F.col("text"), part, alphabet.unknown).alias("dist")).filter(F.col("dist") <= tau)
-    first = Window.partitionBy("read").orderBy("dist", "name", "offset", "strand")
-    return scored.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    sizes = seqs.select("seq_id", "name", F.length("seq").alias("size"))
+    full = placed.join(texts, "read").join(sizes, "seq_id").filter(F.col("diagonal") + F.length("text") <= F.col("size"))
+    last = F.floor((F.col("diagonal") + F.length("text") - 1) / PIECE)
+    asked = full.select("*", F.explode(F.sequence(F.floor(F.col("diagonal") / PIECE), last)).alias("no"))
+    begin = F.greatest(F.col("no") * PIECE - F.col("diagonal"), F.lit(0))  # of the read, where the piece begins or before it
+    end = F.least((F.col("no") + 1) * PIECE - F.col("diagonal"), F.length("text"))
+    asked = asked.select("read", "seq_id", "name", "size", "strand", "diagonal", "no", F.length("text").alias("n"), F.substring("text", (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"), F.greatest(F.col("diagonal") - F.col("no") * PIECE, F.lit(0)).alias("at"))
+    parts = both.select("seq_id", "strand", F.explode(pieces(F.col("seq"), PIECE, 0)).alias("p")).select("seq_id", "strand", F.floor(F.col("p.at") / PIECE).alias("no"), F.col("p.part").alias("piece"))
+    met = asked.join(parts, ["seq_id", "strand", "no"])
+    each = met.withColumn("d", hamming(F.col("part"), F.substring("piece", (F.col("at") + 1).cast("int"), F.length("part")), alphabet.unknown))
+    summed = each.groupBy("read", "seq_id", "strand", "diagonal", "name", "size", "n").agg(F.sum("d").cast("int").alias("dist")).filter(F.col("dist") <= tau)
+    offset = F.when(F.col("strand") == "+", F.col("diagonal") + 1).otherwise(F.col("size") - F.col("diagonal") - F.col("n") + 1)
+    best = summed.groupBy("read").agg(F.min(F.struct("dist", "name", offset.alias("offset"), "strand")).alias("x"))
+    return best.select("read", "x.name", "x.offset", "x.strand", "x.dist")
 
 
 def contamination_seeds(docs: DataFrame, items: DataFrame, k: int, doc_id: str, item_id: str, doc_seq: str, item_seq: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, SEPARATOR, Alphabet
 from ..functions.shared import running_total
-from .kmers import kmers
+from .kmers import LONG, kmers, longest
 from .text import both_strands, forward_length, mirror
 
 
@@ -27,7 +27,7 @@ def fm_interval(patterns: DataFrame, seqs: DataFrame, alphabet: Alphabet = DNA,
     parts = []
     for n in sorted(lengths):
         # a cut that reaches a separator is filled with more of them: all that is compared is what stands before
-        cuts = kmers(texts, n, ["n"]).filter(F.col("off") <= F.col("n")).groupBy("kmer").agg(F.count(F.lit(1)).alias("c"))
+        cuts = kmers(texts, n, ["n"], spread=longest(seqs) > LONG).filter(F.col("off") <= F.col("n")).groupBy("kmer").agg(F.count(F.lit(1)).alias("c"))
         rows = cuts.select(alphabet.sort_key("kmer").alias("sort"), F.lit(None).cast("string").alias("pattern"), F.lit(0).alias("rc"), "c")
         mine = asked.filter(F.length("pattern") == n)
         mine = mine.join(cuts, F.col("kmer") == F.col("key"), "left").select(alphabet.sort_key("key").alias("sort"), "pattern", "rc", F.coalesce("c", F.lit(0)).alias("sz"))
@@ -53,7 +53,7 @@ def extensions(patterns: DataFrame, seqs: DataFrame, end: str = "suffix", alphab
 
 def count_patterns(patterns: DataFrame, seqs: DataFrame, k: int, alphabet: Alphabet = DNA) -> DataFrame:
     """pattern, n: occurrences on both strands of patterns of one length k; 0 for those without."""
-    found = kmers(both_strands(seqs.select("seq_id", "seq"), alphabet), k, []).join(patterns.select(F.col("pattern").alias("kmer")).distinct(), "kmer", "left_semi")
+    found = kmers(both_strands(seqs.select("seq_id", "seq"), alphabet), k, [], spread=longest(seqs) > LONG).join(patterns.select(F.col("pattern").alias("kmer")).distinct(), "kmer", "left_semi")
     return patterns.select("pattern").distinct().join(found.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")), F.col("pattern") == F.col("kmer"), "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -76,5 +76,5 @@ def locate(patterns: DataFrame, seqs: DataFrame, k: int, alphabet: Alphabet = DN
 def children(prefixes: DataFrame, seqs: DataFrame, k: int, alphabet: Alphabet = DNA) -> DataFrame:
     """pattern, next, n: the symbols that follow each pattern of length k in the two-strand text and how often."""
     strands = both_strands(seqs.select("seq_id", "seq"), alphabet)
-    longer = kmers(strands, k + 1, []).select(F.substring("kmer", 1, k).alias("pattern") if k else F.lit("").alias("pattern"), F.substring("kmer", k + 1, 1).alias("next"))
+    longer = kmers(strands, k + 1, [], spread=longest(seqs) > LONG).select(F.substring("kmer", 1, k).alias("pattern") if k else F.lit("").alias("pattern"), F.substring("kmer", k + 1, 1).alias("next"))
     return longer.join(prefixes.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern", "next").agg(F.count(F.lit(1)).alias("n"))

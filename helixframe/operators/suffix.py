@@ -6,7 +6,9 @@ symbols, and prefix doubling then refines only positions that are not yet told a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, SEPARATOR, Alphabet
@@ -51,16 +53,22 @@ def suffix_array(positions: DataFrame) -> DataFrame:
     """rank, pos of a text's positions (pos, ahead)."""
     keys = running_total(positions.groupBy("ahead").agg(F.count(F.lit(1)).alias("n")), ["ahead"], "n", "rank")
     ranked = saved(positions.select("pos", "ahead").join(keys, "ahead").select("pos", "rank", (F.col("n") == 1).alias("done")))
+    settled, open_ = [ranked.filter("done").select("pos", "rank")], ranked.filter("not done").select("pos", "rank")
     reach = FIRST
-    while not (open_ := ranked.filter("not done")).isEmpty():
-        after = ranked.select((F.col("pos") - reach).alias("pos"), F.col("rank").alias("after"))
-        inside = Window.partitionBy("rank").orderBy("after")
-        same = Window.partitionBy("rank", "after")
-        told = open_.join(after, "pos", "left").withColumn("after", F.coalesce("after", F.lit(-1)))
-        told = told.withColumn("place", F.rank().over(inside) - 1).withColumn("n", F.count(F.lit(1)).over(same))
-        ranked = saved(ranked.filter("done").unionByName(told.select("pos", (F.col("rank") + F.col("place")).alias("rank"), (F.col("n") == 1).alias("done"))))
+    while not open_.isEmpty():
+        # settled positions stay in the files that they were written to
+        every = reduce(DataFrame.unionByName, settled, open_)
+        after = every.select((F.col("pos") - reach).alias("pos"), F.col("rank").alias("after"))
+        told = saved(open_.join(after, "pos", "left").withColumn("after", F.coalesce("after", F.lit(-1))))
+        # a long repeat is one rank: its parts are counted and summed up over range partitions, not in one window
+        groups = running_total(told.groupBy("rank", "after").agg(F.count(F.lit(1)).alias("n")), ["rank", "after"], "n", "sum")
+        start = groups.groupBy("rank").agg(F.min("sum").alias("first"))
+        places = groups.join(start, "rank").select("rank", "after", "n", (F.col("sum") - F.col("first")).alias("place"))
+        new = saved(told.join(places, ["rank", "after"]).select("pos", (F.col("rank") + F.col("place")).alias("rank"), (F.col("n") == 1).alias("done")))
+        settled.append(new.filter("done").select("pos", "rank"))
+        open_ = new.filter("not done").select("pos", "rank")
         reach *= 2
-    return ranked.select("rank", "pos")
+    return reduce(DataFrame.unionByName, settled).select("rank", "pos")
 
 
 def sa_of_text(seqs: DataFrame, alphabet: Alphabet = DNA, two_strands: bool = True) -> tuple[DataFrame, DataFrame]:

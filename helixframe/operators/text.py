@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, SEPARATOR, Alphabet
 from ..functions.shared import running_total
+from .kmers import PIECE, pieces
 
-#: Up to so many sequences are broadcast to a position lookup (about 60 bytes each); more are looked up by bins.
-BROADCAST_SEQUENCES = 200_000
+#: Positions are looked up by bins of so many.
 BIN = 1 << 16
 
 
@@ -63,9 +63,7 @@ def _owners(points: DataFrame, seqs: DataFrame, at: str) -> DataFrame:
     """points with the sequence that holds the forward position `at`."""
     spans = seqs.select("seq_id", "name", "beg", "len")
     inside = (F.col(at) >= F.col("beg")) & (F.col(at) < F.col("beg") + F.col("len"))
-    if spans.count() <= BROADCAST_SEQUENCES:
-        return points.join(F.broadcast(spans), inside)
-    # long sequences stand in each bin they reach, so the join is by key
+    # a sequence stands in each bin that it reaches, so the join is by key
     binned = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("beg") / BIN), F.floor((F.col("beg") + F.col("len") - 1) / BIN))))
     return points.withColumn("__bin", F.floor(F.col(at) / BIN)).join(binned, "__bin").filter(inside).drop("__bin")
 
@@ -94,10 +92,20 @@ def str_to_pos(labels: DataFrame, seqs: DataFrame, label_col: str = "label") ->
 
 
 def text_slice(points: DataFrame, seqs: DataFrame, pos_col: str, length: int) -> DataFrame:
-    """points (forward positions) with the `length` symbols there, as far as the sequence and its separator go."""
-    found = _owners(points, seqs.select("seq_id", "name", "beg", "len"), pos_col).join(seqs.select("seq_id", "seq"), "seq_id")
-    whole = F.concat("seq", F.lit(SEPARATOR))
-    return found.select(*points.columns, F.substring(whole, (F.col(pos_col) - F.col("beg") + 1).cast("int"), F.lit(length)).alias("slice"))
+    """points (forward positions) with the `length` symbols there, as far as the sequence and its separator go.
+
+    Points meet the pieces of sequences that they reach into, by number, and never a whole sequence.
+    """
+    found = _owners(points, seqs, pos_col)
+    off = F.col(pos_col) - F.col("beg")
+    last = F.least(off + length, F.col("len")) - 1
+    asked = found.select(*points.columns, "seq_id", off.alias("__off"), F.explode(F.sequence(F.floor(off / PIECE), F.floor(last / PIECE))).alias("__no"))
+    parts = seqs.select("seq_id", F.explode(pieces(F.concat("seq", F.lit(SEPARATOR)), PIECE, 0)).alias("__p")).select("seq_id", F.floor(F.col("__p.at") / PIECE).alias("__no"), F.col("__p.part").alias("__part"))
+    begin = F.greatest(F.col("__off") - F.col("__no") * PIECE, F.lit(0))
+    end = F.col("__off") + length - F.col("__no") * PIECE
+    cut = asked.join(parts, ["seq_id", "__no"]).withColumn("__cut", F.substring("__part", (begin + 1).cast("int"), (end - begin).cast("int")))
+    cuts = cut.groupBy(pos_col).agg(F.array_sort(F.collect_set(F.struct("__no", "__cut"))).alias("__cuts"))  # of one position: as many as `length` reaches
+    return points.join(cuts, pos_col).select(*points.columns, F.array_join(F.transform("__cuts", lambda x: x["__cut"]), "").alias("slice"))
 
 
 def symbol_at(points: DataFrame, seqs: DataFrame, pos_col: str = "pos") -> DataFrame:
