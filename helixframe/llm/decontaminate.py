@@ -15,13 +15,15 @@ are all reported.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, own_columns, saved, session_of, with_text
+from .common import arrow_column, as_bytes, own_columns, saved, session_of, stored, with_text
 
 WINDOW = 13
 BLOCK_CHARS = 2_000_000
@@ -86,10 +88,33 @@ class WindowSet:
         return hit, items
 
 
+def _cut_item(words: list[bytes], n: int, block_chars: int) -> list[bytes]:
+    """An item in stretches of about block_chars, which share n - 1 words, so that each of its windows stands in one."""
+    out, first, size = [], 0, 0
+    for k, w in enumerate(words):
+        size += len(w) + 1
+        if size > block_chars and k - first >= 2 * n:
+            out.append(b" ".join(words[first : k + 1]))
+            first = k - n + 2
+            size = sum(len(x) + 1 for x in words[first : k + 1])
+    if not out or len(words) - first >= n:
+        out.append(b" ".join(words[first:]))
+    return out
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_chars: int):
     """The benchmark as one or more sets of bounded size."""
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size, longest = rows.agg(F.coalesce(F.sum(F.length("text") + 20), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
+    if longest > block_chars:
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                    parts = _cut_item(words_of(text), n, block_chars) if len(text) > block_chars else [text]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts)), pa.array(parts, pa.binary()).cast(pa.string())], ["item", "text"])
+
+        rows = saved(rows.mapInArrow(cut, "item string, text string"))
     count = max(1, -(-size // block_chars))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(count))
     for k in range(count):
@@ -97,6 +122,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_ch
 
 
 _HITS = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
+_ARROW_HITS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
 def _spans(hit: np.ndarray) -> list[int]:
@@ -105,8 +131,6 @@ def _spans(hit: np.ndarray) -> list[int]:
 
 def _scanner(sent):
     """Adds what one block hits to what earlier blocks hit."""
-    hits = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-
     def scan(text: pa.Array, before: pa.Array) -> pa.Array:
         done = []
         for t, old in zip(as_bytes(text), before.to_pylist()):
@@ -117,23 +141,46 @@ def _scanner(sent):
                     hit[a:b] = True
                 items |= set(old["items"])
             done.append({"n_words": len(words), "spans": _spans(hit), "items": sorted(items)})
-        return pa.array(done, hits)
+        return pa.array(done, _ARROW_HITS)
 
     return scan
 
 
+def _together(spans: pa.Array, items: pa.Array) -> pa.Array:
+    """What several blocks hit in a text as one: spans that overlap or touch are joined."""
+    done = []
+    for own, named in zip(spans.to_pylist(), items.to_pylist()):
+        pairs: list[list[int]] = []
+        for a, b in sorted((a, b) for s in own for a, b in zip(s[::2], s[1::2])):
+            if pairs and a <= pairs[-1][1]:
+                pairs[-1][1] = max(b, pairs[-1][1])
+            else:
+                pairs.append([a, b])
+        done.append({"n_words": 0, "spans": [x for p in pairs for x in p], "items": sorted({i for x in named for i in x})})
+    return pa.array(done, _ARROW_HITS)
+
+
 def _hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int, block_chars: int, blocks: list | None = None) -> DataFrame:
-    """docs with __hits: n_words, spans (first, end, first, end, ... of hit words) and items. blocks takes the sent sets."""
+    """docs with __hits: n_words, spans (first, end, first, end, ... of hit words) and items. blocks takes the sent sets.
+
+    A block at a time is in the workers' memory. Of all blocks but the last, what they hit is written by the text's hash
+    alone and joined with the documents once.
+    """
     spark = session_of(docs)
-    out = docs.withColumn("__hits", F.lit(None).cast(_HITS))
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, n, block_chars)):
-        if k:  # a block at a time in the workers' memory
-            out = saved(out)
-        sent = spark.sparkContext.broadcast(block)
+    out, earlier, before = docs, [], None
+    for block in _blocks(benchmark, item_col, item_text_col, n, block_chars):
+        if before is not None:
+            found = docs.select(F.xxhash64(text_col).alias("__hash"), arrow_column(_scanner(before), _HITS, F.col(text_col), F.lit(None).cast(_HITS)).alias("h"))
+            earlier.append(stored(found.filter(F.size("h.spans") > 0).dropDuplicates(["__hash"]).select("__hash", "h.spans", "h.items"), "hits"))
+        before = spark.sparkContext.broadcast(block)
         if blocks is not None:
-            blocks.append(sent)
-        out = out.withColumn("__hits", arrow_column(_scanner(sent), _HITS, F.col(text_col), F.col("__hits")))
-    return out
+            blocks.append(before)
+    old = F.lit(None).cast(_HITS)
+    if earlier:
+        listed = reduce(DataFrame.unionByName, earlier).groupBy("__hash").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # a row of each block
+        joined = listed.select("__hash", arrow_column(_together, _HITS, F.col("spans"), F.col("items")).alias("__old"))
+        out, old = out.join(joined, F.xxhash64(text_col) == F.col("__hash"), "left").drop("__hash"), F.col("__old")
+    return out.withColumn("__hits", arrow_column(_scanner(before), _HITS, F.col(text_col), old)).drop("__old")
 
 
 def _n_hit():
