@@ -87,9 +87,10 @@ def own_columns(operator):
     return run
 
 
-def arrow_column(function, returns: str, *columns: Column | str) -> Column:
+def arrow_column(function, returns: str, *columns: Column | str, once: bool = False) -> Column:
     """function(*pa.Array) -> pa.Array as a column. The function sees one Arrow batch at a time, and what it took for a batch
-    is given back after it; so do functions of iterators by themselves."""
+    is given back after it; so do functions of iterators by themselves. once: a filter on the column must not be put before
+    it with a second call, as the optimizer does with what it takes for cheap."""
     if "Iterator" not in str(next(iter(get_type_hints(function).values()))):
         inner = function
 
@@ -100,7 +101,8 @@ def arrow_column(function, returns: str, *columns: Column | str) -> Column:
             give_back()
             return out
 
-    return F.arrow_udf(function, returns)(*columns)
+    udf = F.arrow_udf(function, returns)
+    return (udf.asNondeterministic() if once else udf)(*columns)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -160,8 +160,8 @@ def _together(spans: pa.Array, items: pa.Array) -> pa.Array:
     return pa.array(done, _ARROW_HITS)
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int, block_chars: int, blocks: list | None = None) -> DataFrame:
-    """docs with __hits: n_words, spans (first, end, first, end, ... of hit words) and items. blocks takes the sent sets.
+def _hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int, block_chars: int) -> DataFrame:
+    """docs with __hits: n_words, spans (first, end, first, end, ... of hit words) and items.
 
     A block at a time is in the workers' memory. Of all blocks but the last, what they hit is written by the text's hash
     alone and joined with the documents once.
@@ -173,8 +173,6 @@ def _hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, i
             found = docs.select(F.xxhash64(text_col).alias("__hash"), arrow_column(_scanner(before), _HITS, F.col(text_col), F.lit(None).cast(_HITS)).alias("h"))
             earlier.append(stored(found.filter(F.size("h.spans") > 0).dropDuplicates(["__hash"]).select("__hash", "h.spans", "h.items"), "hits"))
         before = spark.sparkContext.broadcast(block)
-        if blocks is not None:
-            blocks.append(before)
     old = F.lit(None).cast(_HITS)
     if earlier:
         listed = reduce(DataFrame.unionByName, earlier).groupBy("__hash").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # a row of each block
@@ -203,6 +201,38 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col="doc_id
     )
 
 
+def _without(text: bytes, spans: list[int]) -> bytes:
+    """A text without the words of spans and what stands between them."""
+    at = [m.span() for m in WORD.finditer(text.lower())]
+    for a, b in reversed(list(zip(spans[::2], spans[1::2]))):
+        text = text[: at[a][0]] + text[at[b - 1][1] :]
+    return text
+
+
+_CLEAN = "struct<gone:boolean,text:string>"
+
+
+def _cleaner(sent, share: int, mode: str):
+    """For each text whether its document goes, and the text that is left where it is another."""
+
+    def clean(text: pa.Array) -> pa.Array:
+        gone, left = [], []
+        for t in as_bytes(text):
+            words = words_of(t)
+            spans = _spans(sent.value.scan(words)[0]) if words else []
+            hit = sum(spans[1::2]) - sum(spans[::2])
+            gone.append(mode != "spans" and hit > 0 and hit * share >= len(words))
+            cut = None
+            if spans and not gone[-1] and mode != "documents":
+                cut = _without(t, spans)
+                while mode == "both" and (words := words_of(cut)) and (spans := _spans(sent.value.scan(words)[0])):
+                    cut = _without(cut, spans)
+            left.append(cut)
+        return pa.StructArray.from_arrays([pa.array(gone, pa.bool_()), pa.array(left, pa.binary()).cast(pa.string())], ["gone", "text"])
+
+    return clean
+
+
 @own_columns
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", n=WINDOW, block_chars=BLOCK_CHARS, share=20, mode="documents") -> DataFrame:
     """docs, all columns. mode "documents": without contaminated documents; "spans": all documents, without
@@ -210,36 +240,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     without such spans, cut again where what is left makes a window anew, so that no window remains."""
     if mode not in ("documents", "spans", "both"):
         raise ValueError(f"mode must be documents, spans or both, not {mode!r}")
-    blocks: list = []
-    hits = lambda rows, sent=None: _hits(rows, benchmark, text_col, item_col, item_text_col, n, block_chars, sent).withColumn("__n_hit", _n_hit())
-    done = hits(docs, blocks)
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    sets = _blocks(benchmark, item_col, item_text_col, n, block_chars)
+    first, second = next(sets), next(sets, None)
+    if second is None:  # a benchmark of one block: each text is sent to Python once
+        sent = session_of(docs).sparkContext.broadcast(first)
+        done = docs.withColumn("__clean", arrow_column(_cleaner(sent, share, mode), _CLEAN, F.col(text_col), once=True)).filter("not __clean.gone")
+        return with_text(done, F.coalesce(F.col("__clean.text"), F.col(text_col)), text_col).select(*columns)
+    del first, second
+    hits = lambda rows: _hits(rows, benchmark, text_col, item_col, item_text_col, n, block_chars).withColumn("__n_hit", _n_hit())
+    done = hits(docs)
     if mode != "spans":
         done = done.filter(~((F.col("__n_hit") > 0) & (F.col("__n_hit") * share >= F.col("__hits.n_words"))))
     if mode == "documents":
         return done.select(*columns)
-    again = blocks[0] if mode == "both" and len(blocks) == 1 else None
 
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, s in zip(as_bytes(text), spans.to_pylist()):
-            while s:
-                at = [m.span() for m in WORD.finditer(t.lower())]
-                for a, b in reversed(list(zip(s[::2], s[1::2]))):
-                    t = t[: at[a][0]] + t[at[b - 1][1] :]
-                words = words_of(t) if again is not None else []
-                s = _spans(again.value.scan(words)[0]) if words else []
-            out.append(t)
-        return pa.array(out, pa.binary()).cast(pa.string())
+        return pa.array([_without(t, s) if s else t for t, s in zip(as_bytes(text), spans.to_pylist())], pa.binary()).cast(pa.string())
 
     def cleaned(rows: DataFrame) -> DataFrame:
         return with_text(rows, F.when(F.col("__n_hit") > 0, arrow_column(cut, "string", F.col(text_col), F.col("__hits.spans"))).otherwise(F.col(text_col)), text_col)
 
-    if mode == "spans" or len(blocks) == 1:
+    if mode == "spans":
         return cleaned(done).select(*columns)
     rows = saved(cleaned(done))
     out, rest = rows.filter("__n_hit = 0").select(*columns), rows.filter("__n_hit > 0").select(*columns)
-    while not rest.isEmpty():  # several blocks: what one cut has joined may be a window of another
+    while not rest.isEmpty():  # what one cut has joined may be a window of another block
         rows = saved(cleaned(hits(rest)))
         out, rest = out.unionByName(rows.filter("__n_hit = 0").select(*columns)), rows.filter("__n_hit > 0").select(*columns)
     return out

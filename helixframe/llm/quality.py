@@ -128,6 +128,6 @@ def quality_report(docs: DataFrame, id_col="doc_id", text_col="text", host_col="
 def quality_filter(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", bad_rate=BAD_RATE, broadcast_hosts=BROADCAST_HOSTS) -> DataFrame:
     """The kept rows of docs with all their columns. Texts are measured once for the hosts and once to filter."""
     session_of(docs)
-    measured = docs.withColumn("__source", F.col(host_col)).withColumn("__m", arrow_column(_measures, _MEASURES, F.col(text_col)))
+    measured = docs.withColumn("__source", F.col(host_col)).withColumn("__m", arrow_column(_measures, _MEASURES, F.col(text_col), once=True))
     done = _judged(measured, "__source", "__m.", bad_rate, broadcast_hosts, measured.select("__source", "__m"))
     return done.filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
