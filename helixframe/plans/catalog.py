@@ -7,6 +7,7 @@ letters A, C, G and T of each row, in upper case; elsewhere all other characters
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,10 +162,11 @@ def mirror_pos(spark, sf_dir):
     return _points(seqs).select("pos", text.mirror(F.col("pos"), text.forward_length(seqs)).alias("mirrored"))
 
 
-@_query(f"WITH {_SEQS} SELECT beg AS pos, substr(seq || '$', 1, 12) AS slice FROM seqs")
+@_query(f"WITH {_SEQS} SELECT beg + i AS pos, substr(seq || '$', CAST(i AS INTEGER) + 1, 12) AS slice FROM (SELECT *, unnest(range(0, len)) AS i FROM seqs)")
 def text_slice(spark, sf_dir):
     seqs = _placed(spark, sf_dir)
-    return text.text_slice(seqs.select(F.col("beg").alias("pos")), seqs, "pos", 12)
+    every = seqs.select(F.explode(F.sequence(F.col("beg"), F.col("beg") + F.col("len") - 1)).alias("pos"))
+    return text.text_slice(every, seqs, "pos", 12)
 
 
 @_query(f"WITH {_STRANDS} SELECT kmer, count(*) AS n FROM {_kmers(K_COUNT)} GROUP BY kmer")
@@ -182,11 +184,12 @@ def canonical_kmer_count(spark, sf_dir):
     return km.count_canonical(spread(_table(spark, sf_dir, "documents").select("text")).select(DNA.only_known("text").alias("seq")), K_COUNT)
 
 
-_PATTERNS = f"patterns AS (SELECT DISTINCT substr(seq, 1, {K_COUNT}) AS pattern FROM seqs WHERE length(seq) >= {K_COUNT})"
+_PATTERNS = f"patterns AS (SELECT DISTINCT kmer AS pattern FROM {_kmers(K_COUNT, 'seqs')})"
 
 
 def _patterns(seqs: DataFrame, k: int = K_COUNT) -> DataFrame:
-    return seqs.filter(F.length("seq") >= k).select(F.substring("seq", 1, k).alias("pattern")).distinct()
+    """Every k-mer of the forward strand."""
+    return km.distinct_kmers(seqs, k).withColumnRenamed("kmer", "pattern")
 
 
 @_query(
@@ -206,26 +209,26 @@ def pattern_count(spark, sf_dir):
     return search.count_patterns(_patterns(seqs), seqs, K_COUNT)
 
 
-@_query(f"WITH {_STRANDS}, p AS (SELECT DISTINCT substr(seq, 1, 3) AS pattern FROM seqs WHERE length(seq) >= 3) SELECT substr(kmer, 1, 3) AS pattern, substr(kmer, 4, 1) AS next, count(*) AS n FROM {_kmers(4)} k WHERE substr(kmer, 1, 3) IN (SELECT pattern FROM p) GROUP BY 1, 2")
+@_query(f"WITH {_STRANDS}, p AS (SELECT DISTINCT kmer AS pattern FROM {_kmers(3, 'seqs')}) SELECT substr(kmer, 1, 3) AS pattern, substr(kmer, 4, 1) AS next, count(*) AS n FROM {_kmers(4)} k WHERE substr(kmer, 1, 3) IN (SELECT pattern FROM p) GROUP BY 1, 2")
 def trie_children(spark, sf_dir):
     seqs = _placed(spark, sf_dir)
     return search.children(_patterns(seqs, 3), seqs, 3)
 
 
 @_query(
-    f"""WITH {_TEXT}, patterns AS (SELECT DISTINCT substr(seq, 1, n) AS pattern FROM seqs, (SELECT unnest([1, 3, 5]) AS n) WHERE length(seq) >= n UNION SELECT ''),
+    f"""WITH {_TEXT}, patterns AS ({" UNION ".join(f"SELECT kmer AS pattern FROM {_kmers(n, 'seqs')}" for n in (1, 3, 5))} UNION SELECT ''),
 x AS (SELECT DISTINCT pattern, translate(pattern, 'N', 'Z') AS p, {_RC.format('pattern')} AS r FROM patterns),
 suffixes AS (SELECT translate(substr(t, pos + 1), 'N', 'Z') AS suffix FROM sa)
 SELECT pattern, count(*) FILTER (suffix < p) AS fp, count(*) FILTER (suffix < r) AS rp, count(*) FILTER (starts_with(suffix, p)) AS sz, CAST(length(pattern) AS INTEGER) AS dp FROM x, suffixes GROUP BY pattern"""
 )
 def fm_interval(spark, sf_dir):
     seqs = _placed(spark, sf_dir)
-    parts = F.filter(F.array(*[F.when(F.length("seq") >= n, F.substring("seq", 1, n)) for n in (1, 3, 5)], F.lit("")), lambda x: x.isNotNull())
-    return search.fm_interval(seqs.select(F.explode(parts).alias("pattern")), seqs)
+    every = reduce(DataFrame.unionByName, [_patterns(seqs, n) for n in (1, 3, 5)], spark.createDataFrame([("",)], "pattern string"))
+    return search.fm_interval(every, seqs)
 
 
 def _extensions_sql(grown: str) -> str:
-    return f"""WITH {_TEXT}, p AS (SELECT DISTINCT substr(seq, 1, 3) AS pattern FROM seqs WHERE length(seq) >= 3), {_SYMBOLS},
+    return f"""WITH {_TEXT}, p AS (SELECT DISTINCT kmer AS pattern FROM {_kmers(3, 'seqs')}), {_SYMBOLS},
 g AS (SELECT pattern, symbol, {grown} AS grown FROM p, symbols), x AS (SELECT *, translate(grown, 'N', 'Z') AS s, translate({_RC.format('grown')}, 'N', 'Z') AS r FROM g),
 suffixes AS (SELECT translate(substr(t, pos + 1, 4), 'N', 'Z') AS suffix, count(*) AS c FROM sa GROUP BY 1)
 SELECT pattern, symbol, CAST(coalesce(sum(c) FILTER (suffix < s), 0) AS BIGINT) AS fp, CAST(coalesce(sum(c) FILTER (suffix < r), 0) AS BIGINT) AS rp,
@@ -276,23 +279,21 @@ def occ_marks(spark, sf_dir):
     return suffix.occ_marks(suffix.bwt(*_suffixes(spark, sf_dir)))
 
 
-@_query(f"WITH {_TEXT}, {_SYMBOLS}, p AS (SELECT beg AS ptr FROM seqs) SELECT ptr, s.symbol, (SELECT count(*) FROM bwt b WHERE b.symbol = s.symbol AND b.rank <= ptr) AS occ FROM p, symbols s")
+@_query(f"WITH {_TEXT}, {_SYMBOLS}, p AS (SELECT rank AS ptr, symbol AS own FROM bwt) SELECT ptr, s.symbol, count(*) FILTER (own = s.symbol) OVER (PARTITION BY s.symbol ORDER BY ptr) AS occ FROM p, symbols s")
 def occ_rank(spark, sf_dir):
-    seqs = _placed(spark, sf_dir)
     transform = saved(suffix.bwt(*_suffixes(spark, sf_dir)))
-    points = seqs.select(F.col("beg").alias("ptr"), F.explode(F.array(*map(F.lit, DNA.canonical))).alias("symbol"))
+    points = transform.select(F.col("rank").alias("ptr"), F.explode(F.array(*map(F.lit, DNA.canonical))).alias("symbol"))
     return suffix.occ_rank(points, transform, suffix.occ_marks(transform))
 
 
 @_query(
-    f"""WITH {_TEXT}, p AS (SELECT beg AS ptr FROM seqs) SELECT ptr, """
-    + ", ".join(f"(SELECT count(*) FROM bwt b WHERE b.symbol = '{c}' AND b.rank <= ptr) AS occ_{c}" for c in DNA.canonical)
-    + " FROM p"
+    f"""WITH {_TEXT} SELECT rank AS ptr, """
+    + ", ".join(f"count(*) FILTER (symbol = '{c}') OVER (ORDER BY rank) AS occ_{c}" for c in DNA.canonical)
+    + " FROM bwt"
 )
 def occ_all(spark, sf_dir):
     transform = saved(suffix.bwt(*_suffixes(spark, sf_dir)))
-    points = _placed(spark, sf_dir).select(F.col("beg").alias("ptr"))
-    return suffix.occ_all(points, transform, suffix.occ_marks(transform))
+    return suffix.occ_all(transform.select(F.col("rank").alias("ptr")), transform, suffix.occ_marks(transform))
 
 
 def _pairs_sql(k: int, tau: int) -> str:
@@ -324,13 +325,13 @@ def mismatch_positions(spark, sf_dir):
     return pairs.select("a", "b", F.array_join(neighbors.positions_of(F.col("mism"), 12).cast("array<string>"), ",").alias("positions"))
 
 
-@_query(f"WITH {_STRANDS}, k AS (SELECT DISTINCT kmer FROM {_kmers(12)}), q AS (SELECT DISTINCT substr(seq, 1, 12) AS query FROM seqs WHERE length(seq) >= 12) SELECT query, kmer AS hit, CAST(hamming(query, kmer) AS INTEGER) AS dist FROM q JOIN k ON hamming(query, kmer) <= 2")
+@_query(f"WITH {_STRANDS}, k AS (SELECT DISTINCT kmer FROM {_kmers(12)}), q AS (SELECT DISTINCT kmer AS query FROM {_kmers(12, 'seqs')}) SELECT query, kmer AS hit, CAST(hamming(query, kmer) AS INTEGER) AS dist FROM q JOIN k ON hamming(query, kmer) <= 2")
 def approximate_search(spark, sf_dir):
     seqs = _placed(spark, sf_dir)
     return neighbors.search(_patterns(seqs, 12).withColumnRenamed("pattern", "query"), seqs, 12, 2).select("query", "hit", "dist")
 
 
-_SEARCH = f"WITH {_STRANDS}, k AS (SELECT DISTINCT kmer FROM {_kmers(12)}), q AS (SELECT DISTINCT substr(seq, 1, 12) AS query FROM seqs WHERE length(seq) >= 12) SELECT query, kmer AS hit, CAST(hamming(query, kmer) AS INTEGER) AS dist FROM q JOIN k ON hamming(query, kmer) <= 2"
+_SEARCH = f"WITH {_STRANDS}, k AS (SELECT DISTINCT kmer FROM {_kmers(12)}), q AS (SELECT DISTINCT kmer AS query FROM {_kmers(12, 'seqs')}) SELECT query, kmer AS hit, CAST(hamming(query, kmer) AS INTEGER) AS dist FROM q JOIN k ON hamming(query, kmer) <= 2"
 
 
 @_query(f"{_SEARCH} AND left(query, 5) = left(kmer, 5) AND hamming(query, kmer) >= 1")
@@ -411,14 +412,15 @@ def annotation_decoded(spark, sf_dir):
 
 
 @_query(
-    f"""{_annotation_sql(10, 1)}, loci AS (SELECT seq_id, name, substr(seq, 1, 10) AS kmer FROM seqs)
-SELECT name || ':1:+' AS label, coalesce(dist, 0) AS dist, coalesce(neigh_cnt, 0) AS neigh_cnt, coalesce(positions, '') AS positions FROM loci LEFT JOIN ann USING (kmer)
-UNION ALL SELECT name || ':1:-', coalesce(dist, 0), coalesce(neigh_cnt, 0),
+    f"""{_annotation_sql(10, 1)}, loci AS (SELECT seq_id, name, off + 1 AS place, kmer FROM {_kmers(10, 'seqs')})
+SELECT name || ':' || place || ':+' AS label, coalesce(dist, 0) AS dist, coalesce(neigh_cnt, 0) AS neigh_cnt, coalesce(positions, '') AS positions FROM loci LEFT JOIN ann USING (kmer)
+UNION ALL SELECT name || ':' || place || ':-', coalesce(dist, 0), coalesce(neigh_cnt, 0),
   coalesce(array_to_string(list_sort(list_transform(list_filter(string_split(positions, ','), lambda x: x <> ''), lambda x: 9 - CAST(x AS INTEGER))), ','), '') FROM loci LEFT JOIN ann USING (kmer)"""
 )
 def annotation_query(spark, sf_dir):
     seqs = _placed(spark, sf_dir)
-    labels = seqs.select(F.explode(F.array(F.concat("name", F.lit(":1:+")), F.concat("name", F.lit(":1:-")))).alias("label"))
+    places = km.kmers(seqs, 10, ["name"]).select(F.concat_ws(":", "name", (F.col("off") + 1).cast("string")).alias("place"))
+    labels = places.select(F.explode(F.array(F.concat("place", F.lit(":+")), F.concat("place", F.lit(":-")))).alias("label"))
     return _csv(neighbors.annotation_query(labels, seqs, neighbors.annotate(seqs, 10, 1), 10)).drop("align_cnt")
 
 
