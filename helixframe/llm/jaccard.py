@@ -4,10 +4,15 @@ Documents are near copies if their fingerprints link (``simhash``), and so are t
 have a Jaccard similarity of 0.8 or more, all of them.  One pass over the texts makes a sketch of each: fingerprint, size of
 its set, a parity bitmap of it and its prefix.  All that follows moves sketches; texts move once, in the end.
 
-Shingles are XXH64 values in one order for all documents: those that many of a sample of documents hold come last, else by value.
-Two sets as similar as that share one of the first n - ceil(0.8 n) + 1 of their n shingles, whatever the order is, so documents
-are compared only where these prefixes meet.  The sample has a say in the cost only.  A pair's bitmaps differ in no more bits than
-its sets differ in shingles, so bitmaps rule out nearly all other pairs; the rest are compared by their whole sets.
+Shingles are XXH64 values in one order for all documents: those in the lowest ``SHARE`` of the values' range come first, by the
+number of documents that hold them, then the others by value; those that many of a sample of documents hold come last.  Two sets
+as similar as that share one of the first p = n - ceil(0.8 n) + 1 of their n shingles, whatever the order is, so documents are
+compared only where these prefixes meet.  Share and sample have a say in the cost only.  A sketch holds what its prefix is taken
+from: all its shingles of the share, and where these are fewer than p, those that follow.  Counts come from one exchange of the
+sketches' shingles by value, which what one text alone has does not leave.  So prefixes hold a repeated shingle only where a text
+has too few of its own, however many documents there are.  Where two sets first meet, at places i and j, they share at most
+min(n - i, m - j) shingles, which rules out most meetings.  A pair's bitmaps differ in no more bits than its sets differ in
+shingles, so bitmaps rule out nearly all other pairs; the rest are compared by their whole sets.
 
 Pairs of a bucket (documents that meet in a shingle) come in rounds: the first takes its smallest key against all, each later one
 the next ``CENTERS`` keys, which then leave the bucket, until its documents are connected or done.  So a round makes at most
@@ -19,25 +24,31 @@ Rows without an id stay only where their group has no id.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import arrow_column, as_bytes, give_back, own_columns, saved, session_of, stored
-from .components import connected_components
+from .components import connected_components, few_components
 from .simhash import SEED, fingerprint, heads, keep_rows, owners
 
 SHINGLE = 5
 #: Documents of the sample (about), and how many of them hold a shingle that comes last.
 SAMPLE, COMMON = 10_000, 10
+#: The share of the hash values' range whose shingles come first, by their counts: more than a prefix is of a set (0.2), since it
+#: has to hold enough shingles that no other text has.
+SHARE = 0.3
 #: Texts that are sketched before their words are let go of.
 SLICE = 50
 #: Keys of a bucket that are compared with all of it in a round.
 CENTERS = 64
+#: Edges up to which components are found in one task.
+FEW = 1_000_000
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -75,11 +86,21 @@ def _sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     give_back()
 
 
-_SKETCH = "struct<print:bigint,n:bigint,bits:binary,prefix:array<bigint>>"
+_SKETCH = "struct<print:bigint,n:bigint,bits:binary,first:array<bigint>,more:array<bigint>>"
+_LIMIT = int(SHARE * 2**64) - 2**63
+
+
+def candidates(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set in order: its shingles of the share, and those that follow if a prefix is longer. common (in order) comes last."""
+    at = np.searchsorted(common, s)
+    late = common[np.minimum(at, len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+    n, early = len(s), s[~late]
+    k = int(np.searchsorted(early, _LIMIT))
+    return early[:k], np.concatenate([early[k:], s[late]])[: max(0, n - (4 * n + 4) // 5 + 1 - k) if n else 0]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, prints: bool = True) -> DataFrame:
-    """id, hash (of the text), print, n, bits, prefix of every document, written once."""
+    """id, hash (of the text), print, n, bits, first, more (``candidates``) of every document, written once."""
     spark = session_of(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     some = rows.filter(F.pmod("hash", F.lit(max(1, rows.count() // sample))) == 0)
@@ -88,16 +109,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE,
     last = spark.sparkContext.broadcast(np.sort(np.array([r.x for r in often.select("x").collect()], np.int64)))
 
     def sketch_some(text: pa.Array) -> pa.Array:
-        out, firsts, common = [[], [], []], [], last.value
+        out, firsts, others = [[], [], []], [], []
         for t in as_bytes(text):
             s = shingles(t)
-            at = np.searchsorted(common, s)
-            late = common[np.minimum(at, len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-            n = len(s)
-            firsts.append(np.concatenate([s[~late], s[late]])[: n - (4 * n + 4) // 5 + 1 if n else 0])
-            for c, x in zip(out, (np.array(fingerprint(t) if prints else 0, np.uint64).view(np.int64), n, parity(s))):
+            for c, x in zip((firsts, others), candidates(s, last.value)):
                 c.append(x)
-        return pa.StructArray.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), _lists(firsts)], ["print", "n", "bits", "prefix"])
+            for c, x in zip(out, (np.array(fingerprint(t) if prints else 0, np.uint64).view(np.int64), len(s), parity(s))):
+                c.append(x)
+        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), _lists(firsts), _lists(others)]
+        return pa.StructArray.from_arrays(columns, ["print", "n", "bits", "first", "more"])
 
     def sketch(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
@@ -113,10 +133,12 @@ def _near(left_bits: pa.Array, right_bits: pa.Array, n: pa.Array) -> pa.Array:
 
 
 def _alike(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of keys those whose sets are alike. kept: key, n, bits; texts: key, text."""
+    """Of pairs (a, b) of keys, no pair twice, those whose sets are alike. kept: key, n, bits; texts: key, text."""
     side = lambda k: kept.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     both = pairs.join(side("a"), "a").filter("na > 0").join(side("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
     near = stored(both.filter(arrow_column(_near, "boolean", F.col("bitsa"), F.col("bitsb"), F.col("na") + F.col("nb"))).select("a", "b"), "near")
+    if near.isEmpty():
+        return near
     keys = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
     # of rows that share a text one is enough
     sets = stored(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", arrow_column(_sets, "array<bigint>", F.col("text")).alias("set")), "sets")
@@ -125,43 +147,90 @@ def _alike(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(shared.filter("5 * shared >= 4 * (n - shared)").select("a", "b"), "edges")
 
 
-def similar(kept: DataFrame, texts: DataFrame, centers: int = CENTERS) -> DataFrame:
-    """node, root: the components that pairs of similarity 0.8 or more make. kept: key (distinct), n, bits, prefix; texts: key, text."""
+def meetings(marked: DataFrame, kept: DataFrame) -> DataFrame:
+    """x, key, n, rest: the shingles where prefixes of kept documents meet, and of how many shingles x is the first, at most.
+
+    marked: hash, first, more; kept: key (distinct), n, own (the size of first). Counts are over all of marked.
+    """
+    bucket = Window.partitionBy("x")
+    rows = marked.select("hash", F.explode("first").alias("x"), F.lit(False).alias("after")).unionByName(marked.select("hash", F.explode("more").alias("x"), F.lit(True).alias("after")))
+    rows = rows.select("x", "after", F.col("hash").alias("key"), F.count(F.lit(1)).over(bucket).alias("c"), (F.min("hash").over(bucket) != F.max("hash").over(bucket)).alias("met"))
+    rows = stored(rows.filter("met").drop("met"), "repeated")
+    rows = rows.join(kept.select("key", "n", "own"), "key").dropDuplicates(["key", "x"])
+    # those of one text alone come first, so places are counted from the end of what a sketch holds
+    rows = rows.withColumn("at", F.col("own") - F.row_number().over(Window.partitionBy("key", "after").orderBy(F.desc("c"), F.desc("x"))))
+    rows = rows.withColumn("at", F.when(F.col("after"), F.col("own")).otherwise(F.col("at")))
+    rows = rows.filter("after or at < n - (4 * n + 4) div 5 + 1").select("x", "key", "n", (F.col("n") - F.col("at")).alias("rest"))
+    rows = rows.withColumn("able", _able(bucket)).filter("able")
+    return stored(rows.select("x", "key", "n", "rest", F.count(F.lit(1)).over(bucket).alias("c")).filter("c > 1").drop("c"), "met")
+
+
+def _able(bucket: WindowSpec) -> Column:
+    """Whether some row of the bucket may be alike, from its smallest set and the most that any can share."""
+    return 9 * F.least("rest", F.max("rest").over(bucket)) >= 4 * (F.col("n") + F.min("n").over(bucket))
+
+
+def _reach(n: str, rest: str, other_n: str, other_rest: str) -> Column:
+    """Whether sets that first meet there can be alike: they share 4 of 9 of their shingles then."""
+    return F.expr(f"9 * least({rest}, {other_rest}) >= 4 * ({n} + {other_n})")
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return few_components(edges) if edges.count() <= FEW else stored(connected_components(edges), "roots")
+
+
+def similar(kept: DataFrame, met: DataFrame, texts: DataFrame, centers: int = CENTERS) -> DataFrame:
+    """node, root: the components that pairs of similarity 0.8 or more make. kept: key (distinct), n, bits; met: see ``meetings``; texts: key, text."""
     bucket = Window.partitionBy("x")
-    met = kept.select("key", F.explode("prefix").alias("x"))
-    met = met.select("x", "key", F.count(F.lit(1)).over(bucket).alias("c"), F.min("key").over(bucket).alias("center")).filter("c > 1")
-    met = stored(met.select("x", "key", "center"), "met")
-    edges = _alike(met.filter("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), kept, texts)
-    met = met.filter("key <> center").select("x", "key")
-    roots = saved(connected_components(edges))
+    met = met.withColumn("center", F.min(F.struct("key", "n", "rest")).over(bucket)).filter(F.col("key") != F.col("center.key"))
+    pairs = met.filter(_reach("n", "rest", "center.n", "center.rest")).select(F.col("center.key").alias("a"), F.col("key").alias("b"))
+    edges = _alike(pairs.distinct(), kept, texts)
+    roots = _roots(edges)
+    met = met.drop("center")
     while True:
-        left = met.join(roots.withColumnRenamed("node", "key"), "key", "left").select("x", "key", F.coalesce("root", "key").alias("root"))
-        left = left.select("*", (F.min("root").over(bucket) != F.max("root").over(bucket)).alias("apart"), F.row_number().over(bucket.orderBy("key")).alias("place"))
-        left = stored(left.filter("apart").select("x", "key", "root", "place"), "left")
+        left = met.join(roots.withColumnRenamed("node", "key"), "key", "left").select("x", "key", "n", "rest", F.coalesce("root", "key").alias("root"))
+        left = left.select("*", (F.min("root").over(bucket) != F.max("root").over(bucket)).alias("apart"), _able(bucket).alias("able"))
+        left = left.filter("apart and able").select("x", "key", "n", "rest", "root", F.row_number().over(bucket.orderBy("key")).alias("place"))
+        left = stored(left, "left")
         if left.isEmpty():
             return roots
-        first = left.filter(F.col("place") <= centers).select("x", F.col("key").alias("a"), F.col("root").alias("r"))
-        pairs = left.join(first, "x").filter("a < key and r <> root").select("a", F.col("key").alias("b")).distinct()
-        edges = edges.unionByName(_alike(pairs, kept, texts))
-        roots = saved(connected_components(edges))
-        met = left.filter(F.col("place") > centers).select("x", "key")
+        first = left.filter(F.col("place") <= centers).select("x", F.col("key").alias("a"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("rest").alias("s"))
+        pairs = left.join(first, "x").filter("a < key and r <> root").filter(_reach("n", "rest", "m", "s")).select("a", F.col("key").alias("b"))
+        more = _alike(pairs.distinct(), kept, texts)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            roots = _roots(edges)
+        met = left.filter(F.col("place") > centers).select("x", "key", "n", "rest")
+
+
+@contextlib.contextmanager
+def _tidy(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go when it is written: nothing reads them later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def _kept_of_groups(best: DataFrame, marked: DataFrame, texts: DataFrame, centers: int) -> DataFrame:
     """id, hash: of best (id, hash, no hash twice) what stays when groups of similar sets keep their smallest id."""
-    kept = marked.join(best.select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
-    kept = stored(kept.select(F.col("hash").alias("key"), "n", "bits", "prefix"), "kept")
-    roots = similar(kept, texts, centers)
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    ranked = best.join(roots, F.col("hash") == F.col("node"), "left").select(F.coalesce("root", "hash").alias("root"), rank.alias("rank"))
-    return saved(ranked.groupBy("root").agg(F.min("rank").alias("r")).select("r.id", "r.hash"))
+    with _tidy(session_of(marked)):
+        kept = marked.select("hash", "n", "bits", F.size("first").alias("own")).join(best.select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
+        kept = stored(kept.withColumnRenamed("hash", "key"), "kept")
+        roots = similar(kept, meetings(marked, kept), texts, centers)
+        rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+        ranked = best.join(roots, F.col("hash") == F.col("node"), "left").select(F.coalesce("root", "hash").alias("root"), rank.alias("rank"))
+        return stored(ranked.groupBy("root").agg(F.min("rank").alias("r")).select("r.id", "r.hash"), "best")
 
 
 @own_columns
 def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE, centers: int = CENTERS) -> DataFrame:
     """docs, all columns, with one document of each group: first by SimHash links, then of those left by five-word shingles."""
     marked = sketches(docs, id_col, text_col, sample)
-    best = heads(marked, owners(marked))
+    best = heads(marked, owners(marked, components=_roots))
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     return keep_rows(docs, _kept_of_groups(best, marked, texts, centers), marked, id_col, text_col)
 

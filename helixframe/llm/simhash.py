@@ -185,10 +185,10 @@ def mark(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) ->
     return saved(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), arrow_column(prints_of, "bigint", F.col(text_col)).alias("print")))
 
 
-def owners(marked: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """print, first (the smallest id), root of every print."""
+def owners(marked: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, components=connected_components) -> DataFrame:
+    """print, first (the smallest id), root of every print. components: edges to (node, root)."""
     distinct = saved(marked.groupBy("print").agg(F.min("id").alias("first")))
-    roots = connected_components(links(distinct.select("print"), distance, bucket))
+    roots = components(links(distinct.select("print"), distance, bucket))
     return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
 
 

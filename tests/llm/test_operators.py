@@ -330,6 +330,40 @@ def test_bitmaps_never_rule_out_what_is_alike():
     assert differ(parity(a), parity(a)) == 0
 
 
+def test_near_dedup_makes_few_pairs_of_shared_passages(spark, monkeypatch):
+    """Shingles that a sample doesn't see often are repeated in many texts: their meetings are no pairs as long as texts have others of their own."""
+    from helixframe.llm import jaccard
+
+    rnd = random.Random(6)
+    stock = [[f"p{k}w{i}" for i in range(12)] for k in range(40)]
+    rows = []
+    for i in range(300):  # a third of each text is passages that some 20 others have
+        words = [f"t{rnd.randrange(10**7)}" for _ in range(100)]
+        for k in rnd.sample(range(40), 4):
+            at = rnd.randrange(len(words))
+            words[at:at] = stock[k]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1].rsplit(" ", 3)[0] + f" x{i} y z") for i in range(20)]  # near copies of the first twenty
+    counts, alike = [], jaccard._alike
+
+    def counted(pairs, *others):
+        counts.append(pairs.count())
+        return alike(pairs, *others)
+
+    monkeypatch.setattr(jaccard, "_alike", counted)
+    kept = jaccard.jaccard_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), sample=5)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    assert 20 <= sum(counts) <= 100
+
+
+def test_few_components_are_the_components(spark):
+    rnd = random.Random(5)
+    for many in (0, 40):
+        edges = [(rnd.randrange(-200, 200), rnd.randrange(-200, 200)) for _ in range(many)] + [(1000 + i, 1001 + i) for i in range(many)]
+        df = spark.createDataFrame([(a, b) for a, b in edges if a != b], "a bigint, b bigint")
+        assert got(components.few_components(df), "node", "root") == got(components.connected_components(df), "node", "root")
+
+
 def test_near_dedup_of_odd_rows(spark):
     from helixframe.llm import jaccard
 
