@@ -4,15 +4,17 @@ Documents are near copies if their fingerprints link (``simhash``), and so are t
 have a Jaccard similarity of 0.8 or more, all of them.  One pass over the texts makes a sketch of each: fingerprint, size of
 its set, a parity bitmap of it and its prefix.  All that follows moves sketches; texts move once, in the end.
 
-Shingles are XXH64 values in one order for all documents: those in the lowest ``SHARE`` of the values' range come first, by the
-number of documents that hold them, then the others by value; those that many of a sample of documents hold come last.  Two sets
-as similar as that share one of the first p = n - ceil(0.8 n) + 1 of their n shingles, whatever the order is, so documents are
-compared only where these prefixes meet.  Share and sample have a say in the cost only.  A sketch holds what its prefix is taken
-from: all its shingles of the share, and where these are fewer than p, those that follow.  Counts come from one exchange of the
-sketches' shingles by value, which what one text alone has does not leave.  So prefixes hold a repeated shingle only where a text
-has too few of its own, however many documents there are.  Where two sets first meet, at places i and j, they share at most
-min(n - i, m - j) shingles, which rules out most meetings.  A pair's bitmaps differ in no more bits than its sets differ in
-shingles, so bitmaps rule out nearly all other pairs; the rest are compared by their whole sets.
+Shingles are XXH64 values in one order for all documents.  Two sets as similar as that share one of the first
+p = n - ceil(0.8 n) + 1 of their n shingles, whatever the order is, so documents are compared only where these prefixes meet.
+The order: first the shingles in the lowest ``SHARE`` of the values' range that ``RARE`` documents hold at most, by how many do;
+then, for the documents that these don't give a prefix, all others, by how many of *these* documents hold them; last, by value,
+those that many of a sample of documents hold.  Share, limit and sample have a say in the cost only.  A sketch holds the shingles of
+the share; what else the documents without a prefix hold is taken from their texts, once it is known which they are.  Counts
+come from an exchange of shingles by value, which what one text alone has does not leave.  So a prefix holds a frequent shingle
+only if the document has too few others in all, however many documents there are.  Shingles that the same documents hold (a shared
+passage, a copy) are one, with their number as its weight: documents meet in it once.  Where two sets first meet, at places i and
+j, they share at most min(n - i, m - j) shingles, which rules out most meetings.  A pair's bitmaps differ in no more bits than
+its sets differ in shingles, so bitmaps rule out nearly all other pairs; the rest are compared by their whole sets.
 
 Pairs of a bucket (documents that meet in a shingle) come in rounds: the first takes its smallest key against all, each later one
 the next ``CENTERS`` keys, which then leave the bucket, until its documents are connected or done.  So a round makes at most
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -43,6 +46,8 @@ SAMPLE, COMMON = 10_000, 10
 #: The share of the hash values' range whose shingles come first, by their counts: more than a prefix is of a set (0.2), since it
 #: has to hold enough shingles that no other text has.
 SHARE = 0.3
+#: Documents that hold a shingle that comes first, at most.
+RARE = 16
 #: Texts that are sketched before their words are let go of.
 SLICE = 50
 #: Keys of a bucket that are compared with all of it in a round.
@@ -86,21 +91,24 @@ def _sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     give_back()
 
 
-_SKETCH = "struct<print:bigint,n:bigint,bits:binary,first:array<bigint>,more:array<bigint>>"
+_SKETCH = "struct<print:bigint,n:bigint,bits:binary,first:array<bigint>>"
+_OTHERS = "struct<others:array<bigint>,late:array<bigint>>"
+#: Shingles of a prefix.
+_PREFIX = "(n - (4 * n + 4) div 5 + 1)"
 _LIMIT = int(SHARE * 2**64) - 2**63
 
 
-def candidates(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a set in order: its shingles of the share, and those that follow if a prefix is longer. common (in order) comes last."""
+def split(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a set in order: its shingles of the share, its others, and those of common (in order), which are in neither."""
     at = np.searchsorted(common, s)
     late = common[np.minimum(at, len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-    n, early = len(s), s[~late]
+    early = s[~late]
     k = int(np.searchsorted(early, _LIMIT))
-    return early[:k], np.concatenate([early[k:], s[late]])[: max(0, n - (4 * n + 4) // 5 + 1 - k) if n else 0]
+    return early[:k], early[k:], s[late]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, prints: bool = True) -> DataFrame:
-    """id, hash (of the text), print, n, bits, first, more (``candidates``) of every document, written once."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, prints: bool = True) -> tuple[DataFrame, Broadcast]:
+    """id, hash (of the text), print, n, bits, first (shingles of the share) of every document, written once; the shingles that come last."""
     spark = session_of(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     some = rows.filter(F.pmod("hash", F.lit(max(1, rows.count() // sample))) == 0)
@@ -109,22 +117,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE,
     last = spark.sparkContext.broadcast(np.sort(np.array([r.x for r in often.select("x").collect()], np.int64)))
 
     def sketch_some(text: pa.Array) -> pa.Array:
-        out, firsts, others = [[], [], []], [], []
+        out, firsts = [[], [], []], []
         for t in as_bytes(text):
             s = shingles(t)
-            for c, x in zip((firsts, others), candidates(s, last.value)):
-                c.append(x)
+            firsts.append(split(s, last.value)[0])
             for c, x in zip(out, (np.array(fingerprint(t) if prints else 0, np.uint64).view(np.int64), len(s), parity(s))):
                 c.append(x)
-        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), _lists(firsts), _lists(others)]
-        return pa.StructArray.from_arrays(columns, ["print", "n", "bits", "first", "more"])
+        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), _lists(firsts)]
+        return pa.StructArray.from_arrays(columns, ["print", "n", "bits", "first"])
 
     def sketch(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
             yield pa.concat_arrays([sketch_some(text.slice(k, SLICE)) for k in range(0, max(1, len(text)), SLICE)])
         give_back()
 
-    return stored(rows.select("id", "hash", arrow_column(sketch, _SKETCH, F.col("text")).alias("s")).select("id", "hash", "s.*"), "sketches")
+    return stored(rows.select("id", "hash", arrow_column(sketch, _SKETCH, F.col("text")).alias("s")).select("id", "hash", "s.*"), "sketches"), last
 
 
 def _near(left_bits: pa.Array, right_bits: pa.Array, n: pa.Array) -> pa.Array:
@@ -147,21 +154,62 @@ def _alike(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(shared.filter("5 * shared >= 4 * (n - shared)").select("a", "b"), "edges")
 
 
-def meetings(marked: DataFrame, kept: DataFrame) -> DataFrame:
+def _classes(rows: DataFrame) -> DataFrame:
+    """key, c, x, w: of rows (x, key, w; no x of a key twice) those that the same c > 1 keys hold as one, the smallest, of all their weight."""
+    bucket = Window.partitionBy("x")
+    holders = [F.count(F.lit(1)).over(bucket).alias("c"), F.bit_xor("key").over(bucket).alias("s"), F.bit_xor(F.xxhash64("key")).over(bucket).alias("t")]
+    return rows.select("x", "key", "w", *holders).filter("c > 1").groupBy("key", "c", "s", "t").agg(F.min("x").alias("x"), F.sum("w").alias("w")).drop("s", "t")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """x, key, n, rest of rows (key, c, x, w, n, end) in prefixes: from how many shingles on. end: the place after the last of a key, counting
+    those that it alone has, which come first and are no rows."""
+    after = Window.partitionBy("key").orderBy(F.desc("c"), F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("at", F.col("end") - F.sum("w").over(after))
+    return rows.filter(f"at < {_PREFIX}").select("x", "key", "n", (F.col("n") - F.col("at")).alias("rest"))
+
+
+def _others(needy: DataFrame, texts: DataFrame, common: Broadcast) -> DataFrame:
+    """needy (key, n), others (shingles neither of the share nor common), late (as many common ones as a prefix has beyond the rest)."""
+
+    def others(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            rest, late = [], []
+            for t in as_bytes(text):
+                s = shingles(t)
+                first, other, last = split(s, common.value)
+                rest.append(other)
+                late.append(last[: max(0, len(s) - (4 * len(s) + 4) // 5 + 1 - len(first) - len(other))])
+            yield pa.StructArray.from_arrays([_lists(rest), _lists(late)], ["others", "late"])
+        give_back()
+
+    rows = texts.join(needy.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return stored(rows.select("key", arrow_column(others, _OTHERS, F.col("text")).alias("o")).select("key", "o.*").join(needy, "key"), "others")
+
+
+def meetings(marked: DataFrame, kept: DataFrame, texts: DataFrame, common: Broadcast) -> DataFrame:
     """x, key, n, rest: the shingles where prefixes of kept documents meet, and of how many shingles x is the first, at most.
 
-    marked: hash, first, more; kept: key (distinct), n, own (the size of first). Counts are over all of marked.
+    marked: hash, first; kept: key (distinct), n, own (the size of first); texts: key, text.
     """
     bucket = Window.partitionBy("x")
-    rows = marked.select("hash", F.explode("first").alias("x"), F.lit(False).alias("after")).unionByName(marked.select("hash", F.explode("more").alias("x"), F.lit(True).alias("after")))
-    rows = rows.select("x", "after", F.col("hash").alias("key"), F.count(F.lit(1)).over(bucket).alias("c"), (F.min("hash").over(bucket) != F.max("hash").over(bucket)).alias("met"))
+    rows = marked.select("hash", F.explode("first").alias("x"))
+    rows = rows.select("x", F.col("hash").alias("key"), (F.min("hash").over(bucket) != F.max("hash").over(bucket)).alias("met"))
     rows = stored(rows.filter("met").drop("met"), "repeated")
-    rows = rows.join(kept.select("key", "n", "own"), "key").dropDuplicates(["key", "x"])
-    # those of one text alone come first, so places are counted from the end of what a sketch holds
-    rows = rows.withColumn("at", F.col("own") - F.row_number().over(Window.partitionBy("key", "after").orderBy(F.desc("c"), F.desc("x"))))
-    rows = rows.withColumn("at", F.when(F.col("after"), F.col("own")).otherwise(F.col("at")))
-    rows = rows.filter("after or at < n - (4 * n + 4) div 5 + 1").select("x", "key", "n", (F.col("n") - F.col("at")).alias("rest"))
-    rows = rows.withColumn("able", _able(bucket)).filter("able")
+    held = _classes(rows.join(kept.select("key"), "key", "left_semi").distinct().withColumn("w", F.lit(1).cast("bigint")))
+    held = stored(held, "held")
+    often = held.filter(F.col("c") > RARE)
+    sizes = kept.filter("n > 0").join(often.groupBy("key").agg(F.sum("w").alias("often")), "key", "left")
+    sizes = stored(sizes.select("key", "n", "own", (F.col("own") - F.coalesce("often", F.lit(0))).alias("rare")), "sizes")
+    first = _placed(held.filter(F.col("c") <= RARE).join(sizes.select("key", "n", F.col("rare").alias("end")), "key"))
+    needy = _others(sizes.filter(f"rare < {_PREFIX}").select("key", "n", "own"), texts, common)
+    ends = needy.select("key", "n", (F.col("own") + F.size("others")).alias("end"))
+    rows = needy.select("key", F.explode("others").alias("x"), F.lit(1).cast("bigint").alias("w"))
+    rows = rows.unionByName(often.join(needy.select("key"), "key", "left_semi").select("key", "x", "w"))
+    second = _placed(_classes(rows).join(ends, "key"))
+    last = needy.select("key", "n", (F.col("own") + F.size("others")).alias("end"), F.posexplode("late").alias("k", "x"))
+    last = last.select("x", "key", "n", (F.col("n") - F.col("end") - F.col("k")).alias("rest"))
+    rows = first.unionByName(second).unionByName(last).withColumn("able", _able(bucket)).filter("able")
     return stored(rows.select("x", "key", "n", "rest", F.count(F.lit(1)).over(bucket).alias("c")).filter("c > 1").drop("c"), "met")
 
 
@@ -215,12 +263,12 @@ def _tidy(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def _kept_of_groups(best: DataFrame, marked: DataFrame, texts: DataFrame, centers: int) -> DataFrame:
+def _kept_of_groups(best: DataFrame, marked: DataFrame, texts: DataFrame, common: Broadcast, centers: int) -> DataFrame:
     """id, hash: of best (id, hash, no hash twice) what stays when groups of similar sets keep their smallest id."""
     with _tidy(session_of(marked)):
         kept = marked.select("hash", "n", "bits", F.size("first").alias("own")).join(best.select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
         kept = stored(kept.withColumnRenamed("hash", "key"), "kept")
-        roots = similar(kept, meetings(marked, kept), texts, centers)
+        roots = similar(kept, meetings(marked, kept, texts, common), texts, centers)
         rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
         ranked = best.join(roots, F.col("hash") == F.col("node"), "left").select(F.coalesce("root", "hash").alias("root"), rank.alias("rank"))
         return stored(ranked.groupBy("root").agg(F.min("rank").alias("r")).select("r.id", "r.hash"), "best")
@@ -229,17 +277,17 @@ def _kept_of_groups(best: DataFrame, marked: DataFrame, texts: DataFrame, center
 @own_columns
 def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE, centers: int = CENTERS) -> DataFrame:
     """docs, all columns, with one document of each group: first by SimHash links, then of those left by five-word shingles."""
-    marked = sketches(docs, id_col, text_col, sample)
+    marked, common = sketches(docs, id_col, text_col, sample)
     best = heads(marked, owners(marked, components=_roots))
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return keep_rows(docs, _kept_of_groups(best, marked, texts, centers), marked, id_col, text_col)
+    return keep_rows(docs, _kept_of_groups(best, marked, texts, common, centers), marked, id_col, text_col)
 
 
 @own_columns
 def jaccard_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE, centers: int = CENTERS) -> DataFrame:
     """docs, all columns, with one document of each group by five-word shingles alone; of equal texts one stays too."""
-    marked = sketches(docs, id_col, text_col, sample, prints=False)
+    marked, common = sketches(docs, id_col, text_col, sample, prints=False)
     rank = F.struct(F.col("id").isNull().alias("none"), "id")
     best = saved(marked.groupBy("hash").agg(F.min(rank).alias("r")).select("r.id", "hash"))
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return keep_rows(docs, _kept_of_groups(best, marked, texts, centers), marked, id_col, text_col)
+    return keep_rows(docs, _kept_of_groups(best, marked, texts, common, centers), marked, id_col, text_col)

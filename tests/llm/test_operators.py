@@ -356,6 +356,72 @@ def test_near_dedup_makes_few_pairs_of_shared_passages(spark, monkeypatch):
     assert 20 <= sum(counts) <= 100
 
 
+def near_groups(rows):
+    """The smallest id of each group that five-word shingles of similarity 0.8 or more make; rows: distinct texts with words."""
+    sets = [(i, {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}) for i, t in sorted(rows)]
+    group = {i: i for i, _ in sets}
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if group[i] != group[j] and 5 * len(x & y) >= 4 * len(x | y):
+                old, new = sorted((group[i], group[j]), reverse=True)
+                group = {a: new if g == old else g for a, g in group.items()}
+    return sorted(set(group.values()))
+
+
+def made_pairs(spark, monkeypatch, rows, **options):
+    """What jaccard_dedup keeps of rows, and how many pairs its rounds compare."""
+    from helixframe.llm import jaccard
+
+    counts, alike = [], jaccard._alike
+
+    def counted(pairs, *others):
+        counts.append(pairs.count())
+        return alike(pairs, *others)
+
+    monkeypatch.setattr(jaccard, "_alike", counted)
+    kept = jaccard.jaccard_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), **options)
+    return sorted(r.doc_id for r in kept.collect()), sum(counts)
+
+
+def test_near_dedup_makes_few_pairs_of_texts_of_shared_passages(spark, monkeypatch):
+    """Three quarters of each text is passages that a fifth of all texts has, and the sample sees none of it: what few shingles a text
+    has of its own are its prefix, so pairs are those of copies."""
+    rnd = random.Random(8)
+    stock = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(40)]
+    rows = []
+    for i in range(300):
+        parts = rnd.sample(stock, 8) + [f"t{i}w{k}" for k in range(30)]
+        rnd.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    rows += [(1000 + i, rows[i][1].rsplit(" ", 2)[0] + f" x{i} y z") for i in range(20)]  # near copies of the first twenty
+    kept, pairs = made_pairs(spark, monkeypatch, rows, sample=5)
+    assert kept == list(range(300))
+    assert 20 <= pairs <= 100
+
+
+@pytest.mark.parametrize("rare, sample", [(1, 10_000), (2, 5), (3, 60), (16, 5)])
+def test_near_dedup_of_frequent_and_rare_shingles(spark, monkeypatch, rare, sample):
+    """Whichever shingles come first, second and last, the groups are those of all pairs."""
+    from helixframe.llm import jaccard
+
+    rnd = random.Random(rare)
+    stock = [" ".join(f"p{k}w{i}" for i in range(rnd.choice((3, 6, 14)))) for k in range(12)]
+    rows = [(900 + k, stock[k]) for k in range(12)] + [(950, "one"), (951, "one two"), (952, "one two three four five six")]
+    for i in range(40):
+        parts = rnd.sample(stock, rnd.randrange(1, 9)) + [f"t{i}w{k}" for k in range(rnd.choice((0, 2, 12)))]
+        for copy in range(rnd.choice((1, 2, 3, 6))):
+            rows.append((20 * i + copy, " ".join([*parts[:copy], *([f"c{i}x{copy}"] if copy else []), *parts[copy:]])))
+            rnd.shuffle(parts) if rnd.random() < 0.2 else None
+    rows = list({t: (i, t) for i, t in reversed(rows)}.values())
+    rows = sorted(rows)
+    want = near_groups(rows)
+    assert len(want) < len(rows) - 10
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    again = [(i + 5000, t) for i, t in rows[::7]]  # copies of whole texts
+    kept = jaccard.jaccard_dedup(spark.createDataFrame(rows + again, "doc_id bigint, text string").repartition(3), sample=sample, centers=2)
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
 def test_few_components_are_the_components(spark):
     rnd = random.Random(5)
     for many in (0, 40):
