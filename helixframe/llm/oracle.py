@@ -97,9 +97,48 @@ n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM counts
 SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, CAST(round(1000 * sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1))))) AS BIGINT) AS base_milli
 FROM tokens LEFT JOIN counts USING (token), n GROUP BY r, doc_id, held_out"""
 
+#: The same water level, and documents in the order of their hashes instead of thresholds on these.
+_MIX = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(concat_ws(chr(31), CAST(doc_id AS VARCHAR), source, text)), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS others, row_number() OVER before AS k
+  FROM s WINDOW before AS (ORDER BY 3 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT rest, others FROM o WHERE CAST(w AS DOUBLE) * rest / others <= 3 * source_size ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, least(CAST(w AS DOUBLE) * level.rest / level.others, CAST(3 * source_size AS DOUBLE)) AS target FROM s, level),
+c AS (SELECT d.r, d.doc_id, d.size, source_size, target, least(floor(target / nullif(source_size, 0)), 3) AS full_copies,
+  sum(size) OVER (PARTITION BY d.source ORDER BY h, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS below FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies
+FROM (SELECT *, CAST(coalesce(full_copies, 0) + CASE WHEN size > 0 AND target - full_copies * source_size - below >= size / 2.0 THEN 1 WHEN size = 0 AND target - full_copies * source_size > below THEN 1 ELSE 0 END AS BIGINT) AS copies FROM c)"""
+
+def _crc_table() -> list[int]:
+    """What a CRC-32 register of one byte becomes after eight bits, by its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+def _spelling(every: int = 97) -> str:
+    """Near words by what is left of them without a code point: of one length at one place, or the word itself."""
+    raw = "flatten(list_transform(regexp_extract_all(id || ':' || w, '.'), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {raw}), lambda a, x: xor(CAST({_crc_table()}[(xor(a, x) & 255) + 1] AS BIGINT), a >> 8)), 4294967295)"
+    return rf"""WITH RECURSIVE d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+runs AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(t, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM d) GROUP BY id, w),
+h AS (SELECT w, n, {crc} AS h FROM runs),
+written AS (SELECT CASE WHEN h % {every} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM written WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM words, {_POSITIONS.format("length(word)")}),
+shorter AS (SELECT DISTINCT l.word, l.n, w.word AS other, w.n AS m FROM less l JOIN words w ON l.v = w.word),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b USING (i, v) WHERE a.word <> b.word UNION ALL SELECT word, other, m FROM shorter UNION ALL SELECT other, word, n FROM shorter),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS k FROM near),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word AND k = 1),
+led AS (SELECT word, coalesce(form, word) AS top, 0 AS steps FROM formed UNION ALL SELECT led.word, f.form, steps + 1 FROM led JOIN formed f ON led.top = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(top, steps) AS root FROM led GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """XXH64, piece ids and the lattice have no counterpart in SQL; tests hold those queries against plain versions."""
     return {
-        "op1_quality_rules": _quality(), "op2_chat_format": _chat(), "op3_html_extraction": _ARTICLES, "op5_warc": _WARC, "op6_decontamination": _DECONTAMINATION, "op8_line_dedup": _LINES, "op9_substring_dedup": _SUBSTRINGS, "lm_base": _LM_BASE,
+        "op1_quality_rules": _quality(), "op2_chat_format": _chat(), "op3_html_extraction": _ARTICLES, "op5_warc": _WARC, "op6_decontamination": _DECONTAMINATION, "op8_line_dedup": _LINES, "op9_substring_dedup": _SUBSTRINGS, "op11_mixing": _MIX, "op12_spelling": _spelling(), "lm_base": _LM_BASE,
     }

@@ -13,10 +13,12 @@ from .decontaminate import decontamination_report
 from .html_extract import extract_pages
 from .line_dedup import line_dedup_report
 from .lm_score import lm_scores
+from .mixing import mix_report
 from .oracle import oracle_sql as oracle_sql
 from .quality import SOFT, quality_report
 from .sentencepiece_codec import round_trip
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup_report
 from .warc import warc_round_trip
 
@@ -69,5 +71,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), drop_every=97)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")} | {"lm_base": lm_base}
