@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_and_read
 from .common import table
 from .decontaminate import decontamination_report
+from .hard_negatives import hard_negatives
 from .html_extract import extract_pages
 from .line_dedup import line_dedup_report
 from .lm_score import lm_scores
@@ -79,5 +80,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), drop_every=97)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")} | {"lm_base": lm_base}
