@@ -28,8 +28,8 @@ def rows(spark, name, *columns):
     return sorted(tuple(r) for r in queries.queries()[name](spark, SF_DIR).select(*columns).collect())
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
