@@ -208,7 +208,7 @@ def test_hard_negatives(spark, scale, options):
 def test_trees_pass_over_most_of_what_is_far(monkeypatch):
     """Well parted clusters: far pairs of leaves are never scored, and the best are the same."""
     rnd = np.random.default_rng(4)
-    x = (rnd.normal(size=(4096, 8)) + 40 * rnd.integers(0, 6, size=(4096, 1))).round().astype(np.int64)
+    x = (rnd.normal(size=(4096, 8)) + 60 * np.eye(8)[rnd.integers(0, 8, 4096)]).round().astype(np.int64)
     ids, label = np.arange(4096), rnd.integers(0, 3, 4096)
     block = hn._block(ids, ids, label, x)
     a = hn._block(ids[:256], ids[:256], label[:256], x[:256])
