@@ -19,7 +19,9 @@ import html as entities
 import re
 import sys
 import zlib
+from array import array
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 #: Fixed values of HTML: what takes no end tag, what never shows, and what starts or ends a block of text.
@@ -39,10 +41,13 @@ ARTICLE_APART = re.compile(r"(?:^|[^a-z])(?:comments?|reply|replies|ad|ads|adver
 _ABOUT = re.compile(r"(?:^|[^a-z])(?:has|with|no|without|hide|show)[-_][a-z_-]+")
 CONTENT_WORDS = re.compile(r"(?:^|[^a-z])(?:article|articlebody|article-body|post|post-body|post-content|entry|entry-content|content|main|main-content|story|story-body|body-text)(?:$|[^a-z])")
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.I | re.S,
-)
+#: Where a comment, a declaration or a tag begins. A tag's attributes are taken once, whether or not the tag is closed.
+_BEGIN = re.compile(r"<(?:(?P<other>!--|!\[CDATA\[|[!?])|(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*))", re.I)
+_REST = re.compile(r"(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?P<close>>?)")
+_RAW = re.compile(rf"<(?P<raw>{RAW})\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
+_SIGNS = re.compile(r"[\"'>]")
+_LONG_NUMBER = re.compile(r"&#[0-9]{1000,};?")
 #: A tag that the page's end cuts off is no text.
 _CUT_OFF = re.compile(r"<[a-z/!?][^<>]*\Z", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -103,6 +108,78 @@ def _name(node: Node) -> str:
     return node.sign.split("|", 1)[0]
 
 
+class _Ends:
+    """Where tags end: the first > outside quotes. Asked for a page once a tag on it isn't closed, since a search from every such tag
+    would read the rest of the page again and again."""
+
+    def __init__(self, html: str, begin: int):
+        self.at, signs = array("q"), bytearray()
+        for m in _SIGNS.finditer(html, begin):
+            self.at.append(m.start())
+            signs.append(ord(m[0]))
+        self.ends = array("q", bytes(8 * len(signs)))
+        outside = double = single = -1  # the end of a tag that is outside quotes, or inside either kind, at the sign
+        for k in range(len(signs) - 1, -1, -1):
+            if signs[k] == 62:
+                outside = self.at[k]
+            elif signs[k] == 34:
+                outside, double = double, outside
+            else:
+                outside, single = single, outside
+            self.ends[k] = outside
+
+    def of(self, position: int) -> int:
+        """-1 if there is none."""
+        k = bisect_left(self.at, position)
+        return self.ends[k] if k < len(self.at) else -1
+
+
+def tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """begin, end, name (None for what is no tag), whether it is an end tag, and the attributes or the text of a CDATA section.
+
+    An element of RAW is one token, up to its end tag or the end of the page. Every page takes time in proportion to its length.
+    """
+    at, ends, last_section = 0, None, None
+    while m := _BEGIN.search(html, at):
+        begin, at = m.start(), m.end()
+        if m["other"]:
+            if m["other"] == "![CDATA[" or m["other"].upper() == "![CDATA[":
+                last_section = html.rfind("]]>") if last_section is None else last_section
+                if last_section >= at:
+                    end = html.index("]]>", at)
+                    yield begin, end + 3, None, False, html[at:end]
+                    at = end + 3
+                    continue
+            stop = "-->" if m["other"] == "!--" else ">"
+            end = html.find(stop, at)
+            at = len(html) if end < 0 else end + len(stop)
+            yield begin, at, None, False, ""
+            continue
+        if ends is None:
+            rest = _REST.match(html, at)
+            end = rest.end() - 1 if rest["close"] else -1
+            if end < 0:
+                ends = _Ends(html, at)
+        else:
+            end = ends.of(at)
+        if end < 0:
+            at = begin + 1  # no tag
+            continue
+        attributes, at = html[at:end], end + 1
+        raw = None if m["end"] else _RAW.match(html, begin)
+        if raw:
+            closing = _RAW_END[raw["raw"].lower()].search(html, at)
+            at = closing.end() if closing else len(html)
+            yield begin, at, None, False, ""
+        else:
+            yield begin, at, m["tag"].lower(), bool(m["end"]), attributes
+
+
+def unescape(text: str) -> str:
+    """Character references as characters; numbers of a thousand digits are beyond every character, as all too large ones."""
+    return entities.unescape(_LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
 def parse(html: str) -> Node:
     """The boxes of a page and the texts in them. Inline tags are part of texts; unclosed and stray tags are borne with."""
     root = Node("#page")
@@ -110,35 +187,32 @@ def parse(html: str) -> Node:
     open_: dict[str, int] = {}  # how many boxes of a name are open
 
     def close_text() -> None:
-        text = " ".join(entities.unescape("".join(words)).split())
+        text = " ".join(unescape("".join(words)).split())
         words.clear()
         if text:
             stack[-1].children.append(Node(leaf[0], True, mark=zlib.crc32(text.encode()), chars=len(text), texts=[text]))
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        words.append(html[at : m.start()])
-        at = m.end()
-        name = m["tag"]
+    for begin, end, name, ends, attributes in tokens(html):
+        words.append(html[at:begin])
+        at = end
         if name is None:
-            if m[0][:9].upper() == "<![CDATA[":
-                words.append(m[0][9:-3])
+            words.append(attributes)
             continue
-        name = name.lower()
         if name in SLOTS or name in ("br", "hr"):
             close_text()
             if name in SLOTS:
-                leaf[0] = "#text" if m["end"] else name
+                leaf[0] = "#text" if ends else name
         elif name in BOXES:
             close_text()
             leaf[0] = "#text"
-            if not m["end"]:
+            if not ends:
                 if name in ("html", "head", "body") and open_.get(name):
                     continue
                 if name == "body":
                     while len(stack) > 1 and _name(stack[-1]) != "html":
                         open_[_name(stack.pop())] -= 1
-                marks = [f"{a.lower()}={' '.join(sorted(re.sub('[0-9]+', '0', v or w or x).lower().split()))}" for a, v, w, x in _ATTRIBUTE.findall(m["attributes"] or "")]
+                marks = [f"{a.lower()}={' '.join(sorted(re.sub('[0-9]+', '0', v or w or x).lower().split()))}" for a, v, w, x in _ATTRIBUTE.findall(attributes)]
                 box = Node("|".join([name, *sorted(marks)]))
                 stack[-1].children.append(box)
                 stack.append(box)
