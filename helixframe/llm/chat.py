@@ -45,6 +45,12 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Added to what is read: a pattern that cuts a text into pieces for byte-level BPE (public, as in the vocabulary's notes).
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+#: What SPLIT takes for white space. Longer runs than LONG_RUN are encoded by themselves: the tokenizer's matcher steps back over
+#: a run to its last character, and keeps a place for each step.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 1000
+_LONG_WHITE = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
+
 
 def escape(text: str) -> str:
     return _TO_ESCAPE.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
@@ -78,8 +84,15 @@ class Codec:
         return self.first_mark + CONTROLS.index(control)
 
     def encode(self, text: str) -> list[int]:
-        """One segment, whole whatever its length."""
-        return _encoding(self.vocabulary)[0].encode_ordinary(text)
+        """One segment, whole whatever its length. SPLIT cuts a run of white space before its last character, which goes with what
+        follows; where the text ends with it, the run is one piece. So a run but that character is encoded as the piece that it is."""
+        encoding, ids, at = _encoding(self.vocabulary)[0], [], 0
+        for m in _LONG_WHITE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids += encoding.encode_ordinary(text[at : m.start()])
+            ids += encoding.encode_ordinary(text[m.start() : end])  # the text's end comes behind it now: one piece
+            at = end
+        return ids + encoding.encode_ordinary(text[at:])
 
     def decode(self, ids: list[int]) -> bytes:
         return _encoding(self.vocabulary)[0].decode_bytes(ids)
