@@ -23,6 +23,7 @@ from __future__ import annotations
 import copy
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,6 +154,10 @@ class Matcher:
         """The ids of each word, as little-endian 32-bit numbers."""
         out, batch, size = [], [], 0
         for w in words:
+            if len(w) > INDEXED_CHARS and self.pieces.kind == BPE:
+                out += [*(self._encode(batch) if batch else []), self._encode_long(w)]
+                batch, size = [], 0
+                continue
             batch.append(w)
             size += len(w) + 1
             if size > INDEXED_CHARS:
@@ -160,7 +165,8 @@ class Matcher:
                 batch, size = [], 0
         return out + (self._encode(batch) if batch else [])
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _segments(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """start, piece (-1: unknown) of what the words, put one after another, are cut into, in order; their characters; where each word ends."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("\0".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         first = np.cumsum(length + 1) - length - 1
@@ -169,21 +175,55 @@ class Matcher:
         relax = self._merge if self.pieces.kind == BPE else self._forward
         start, found = relax(first, length, code, key, piece)
         order = np.argsort(start, kind="stable")
-        start, found = start[order], found[order]
+        return start[order], found[order], code, first + length
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        start, found, code, ends = self._segments(words)
+        ids, count = self._ids(found, lambda k: chr(code[start[k]]))
+        data = ids.tobytes()
+        ends = (4 * np.append(0, np.cumsum(count))[np.searchsorted(start, ends)]).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _ids(self, found: np.ndarray, character) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in order, and how many each has: unknown characters are spelled in bytes where there are pieces for these."""
         ids = np.where(found >= 0, self.ids[found], self.pieces.unknown).astype("<i4")
-        count = np.ones(len(start), np.int64)
+        count = np.ones(len(found), np.int64)
         unknown = np.flatnonzero(found < 0)
         if len(unknown) and self.pieces.bytes_:
-            encoded = [chr(code[start[k]]).encode() for k in unknown]
+            encoded = [character(k).encode() for k in unknown]
             count[unknown] = [len(b) for b in encoded]
             ids = np.repeat(ids, count)
             at = np.cumsum(count) - count
             for k, b in zip(unknown, encoded):
                 ids[at[k] : at[k] + len(b)] = [self.pieces.bytes_[x] for x in b]
-        ends = np.append(0, np.cumsum(count))[np.searchsorted(start, first + length)]
-        data = ids.tobytes()
-        ends = (4 * ends).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
+        return ids, count
+
+    def _encode_long(self, word: str) -> bytes:
+        """The same for a word of any length, a window of INDEXED_CHARS at a time.
+
+        Merging by rank gives a sequence of pieces if and only if it gives every two neighbours of it for what these two spell: no
+        merge over a boundary comes first anywhere if none does between its neighbours. So what a window gives but its last few pieces is kept,
+        and the next window begins there if the pieces on either side are neighbours like that; if not, it begins earlier.
+        """
+        starts, founds = array("q"), array("i")
+        at, reach, back = 0, INDEXED_CHARS, 1
+        while True:
+            start, found, *_ = self._segments([word[at:reach]])
+            if starts:
+                end = at + (int(start[1]) if len(start) > 1 else min(reach, len(word)) - at)
+                if self._segments([word[starts[-1] : end]])[0].tolist() != [0, at - starts[-1]]:
+                    back = min(back, len(starts))
+                    at = starts[-back]
+                    del starts[-back:], founds[-back:]
+                    back *= 2
+                    continue
+            keep = len(start) if reach >= len(word) else max(1, int(np.searchsorted(start, reach - at - 8 * self.depth)))
+            starts.frombytes((start[:keep] + at).astype(np.int64).tobytes())
+            founds.frombytes(found[:keep].astype(np.int32).tobytes())
+            if reach >= len(word):
+                return self._ids(np.frombuffer(founds, np.int32), lambda k: word[starts[k]])[0].tobytes()
+            at += int(start[keep])
+            reach, back = at + INDEXED_CHARS, 1
 
     def _merge(self, first, length, code, key, piece):
         """(start, piece) of the symbols that are left when no edge spans two neighbours."""
