@@ -139,16 +139,23 @@ def _near(left_bits: pa.Array, right_bits: pa.Array, n: pa.Array) -> pa.Array:
     return pa.array([9 * differ(a, b) <= k for a, b, k in zip(left_bits.to_pylist(), right_bits.to_pylist(), n.to_pylist())], pa.bool_())
 
 
+def _one_each(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (id, key, ...) of wanted (id, key; no key twice), one for each. By both: all copies of a text have its key, and would meet
+    in one task only to be let go of."""
+    mine = wanted.select(F.col("id").alias("__id"), F.col("key").alias("__key"))
+    return rows.join(mine, rows["id"].eqNullSafe(mine["__id"]) & (rows["key"] == mine["__key"]), "left_semi").dropDuplicates(["key"])
+
+
 def _alike(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of keys, no pair twice, those whose sets are alike. kept: key, n, bits; texts: key, text."""
+    """Of pairs (a, b) of keys, no pair twice, those whose sets are alike. kept: id, key, n, bits; texts: id, key, text."""
     side = lambda k: kept.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     both = pairs.join(side("a"), "a").filter("na > 0").join(side("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
     near = stored(both.filter(arrow_column(_near, "boolean", F.col("bitsa"), F.col("bitsb"), F.col("na") + F.col("nb"))).select("a", "b"), "near")
     if near.isEmpty():
         return near
     keys = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    # of rows that share a text one is enough
-    sets = stored(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", arrow_column(_sets, "array<bigint>", F.col("text")).alias("set")), "sets")
+    wanted = kept.select("id", "key").join(keys, "key", "left_semi")
+    sets = stored(_one_each(texts, wanted).select("key", arrow_column(_sets, "array<bigint>", F.col("text")).alias("set")), "sets")
     both = near.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
     shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
     return stored(shared.filter("5 * shared >= 4 * (n - shared)").select("a", "b"), "edges")
@@ -170,7 +177,7 @@ def _placed(rows: DataFrame) -> DataFrame:
 
 
 def _others(needy: DataFrame, texts: DataFrame, common: Broadcast) -> DataFrame:
-    """needy (key, n), others (shingles neither of the share nor common), late (as many common ones as a prefix has beyond the rest)."""
+    """needy (id, key, n), others (shingles neither of the share nor common), late (as many common ones as a prefix has beyond the rest)."""
 
     def others(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in batches:
@@ -183,14 +190,14 @@ def _others(needy: DataFrame, texts: DataFrame, common: Broadcast) -> DataFrame:
             yield pa.StructArray.from_arrays([_lists(rest), _lists(late)], ["others", "late"])
         give_back()
 
-    rows = texts.join(needy.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    return stored(rows.select("key", arrow_column(others, _OTHERS, F.col("text")).alias("o")).select("key", "o.*").join(needy, "key"), "others")
+    rows = _one_each(texts, needy)
+    return stored(rows.select("key", arrow_column(others, _OTHERS, F.col("text")).alias("o")).select("key", "o.*").join(needy.drop("id"), "key"), "others")
 
 
 def meetings(marked: DataFrame, kept: DataFrame, texts: DataFrame, common: Broadcast) -> DataFrame:
     """x, key, n, rest: the shingles where prefixes of kept documents meet, and of how many shingles x is the first, at most.
 
-    marked: hash, first; kept: key (distinct), n, own (the size of first); texts: key, text.
+    marked: hash, first; kept: id, key (distinct), n, own (the size of first); texts: id, key, text.
     """
     bucket = Window.partitionBy("x")
     rows = marked.select("hash", F.explode("first").alias("x"))
@@ -200,9 +207,9 @@ def meetings(marked: DataFrame, kept: DataFrame, texts: DataFrame, common: Broad
     held = stored(held, "held")
     often = held.filter(F.col("c") > RARE)
     sizes = kept.filter("n > 0").join(often.groupBy("key").agg(F.sum("w").alias("often")), "key", "left")
-    sizes = stored(sizes.select("key", "n", "own", (F.col("own") - F.coalesce("often", F.lit(0))).alias("rare")), "sizes")
+    sizes = stored(sizes.select("id", "key", "n", "own", (F.col("own") - F.coalesce("often", F.lit(0))).alias("rare")), "sizes")
     first = _placed(held.filter(F.col("c") <= RARE).join(sizes.select("key", "n", F.col("rare").alias("end")), "key"))
-    needy = _others(sizes.filter(f"rare < {_PREFIX}").select("key", "n", "own"), texts, common)
+    needy = _others(sizes.filter(f"rare < {_PREFIX}").select("id", "key", "n", "own"), texts, common)
     ends = needy.select("key", "n", (F.col("own") + F.size("others")).alias("end"))
     rows = needy.select("key", F.explode("others").alias("x"), F.lit(1).cast("bigint").alias("w"))
     rows = rows.unionByName(often.join(needy.select("key"), "key", "left_semi").select("key", "x", "w"))
@@ -228,7 +235,7 @@ def _roots(edges: DataFrame) -> DataFrame:
 
 
 def similar(kept: DataFrame, met: DataFrame, texts: DataFrame, centers: int = CENTERS) -> DataFrame:
-    """node, root: the components that pairs of similarity 0.8 or more make. kept: key (distinct), n, bits; met: see ``meetings``; texts: key, text."""
+    """node, root: the components that pairs of similarity 0.8 or more make. kept: id, key (distinct), n, bits; met: see ``meetings``; texts: id, key, text."""
     bucket = Window.partitionBy("x")
     met = met.withColumn("center", F.min(F.struct("key", "n", "rest")).over(bucket)).filter(F.col("key") != F.col("center.key"))
     pairs = met.filter(_reach("n", "rest", "center.n", "center.rest")).select(F.col("center.key").alias("a"), F.col("key").alias("b"))
@@ -266,8 +273,7 @@ def _tidy(spark: SparkSession):
 def _kept_of_groups(best: DataFrame, marked: DataFrame, texts: DataFrame, common: Broadcast, centers: int) -> DataFrame:
     """id, hash: of best (id, hash, no hash twice) what stays when groups of similar sets keep their smallest id."""
     with _tidy(session_of(marked)):
-        kept = marked.select("hash", "n", "bits", F.size("first").alias("own")).join(best.select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
-        kept = stored(kept.withColumnRenamed("hash", "key"), "kept")
+        kept = stored(_one_each(marked.select("id", F.col("hash").alias("key"), "n", "bits", F.size("first").alias("own")), best.withColumnRenamed("hash", "key")), "kept")
         roots = similar(kept, meetings(marked, kept, texts, common), texts, centers)
         rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
         ranked = best.join(roots, F.col("hash") == F.col("node"), "left").select(F.coalesce("root", "hash").alias("root"), rank.alias("rank"))
@@ -279,7 +285,7 @@ def near_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int =
     """docs, all columns, with one document of each group: first by SimHash links, then of those left by five-word shingles."""
     marked, common = sketches(docs, id_col, text_col, sample)
     best = heads(marked, owners(marked, components=_roots))
-    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     return keep_rows(docs, _kept_of_groups(best, marked, texts, common, centers), marked, id_col, text_col)
 
 
@@ -289,5 +295,5 @@ def jaccard_dedup(docs: DataFrame, id_col="doc_id", text_col="text", sample: int
     marked, common = sketches(docs, id_col, text_col, sample, prints=False)
     rank = F.struct(F.col("id").isNull().alias("none"), "id")
     best = saved(marked.groupBy("hash").agg(F.min(rank).alias("r")).select("r.id", "hash"))
-    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     return keep_rows(docs, _kept_of_groups(best, marked, texts, common, centers), marked, id_col, text_col)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, own_columns, saved, session_of, with_text
+from .common import arrow_column, as_bytes, own_columns, saved, session_of, stored, with_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: A drop list of up to so many keys is sent to the executors (32 bytes a key); a longer one is joined.
@@ -99,19 +99,21 @@ def _annotated(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_
             return _rebuilt(((t, test(i)) for t, i in zip(as_bytes(text), doc.to_pylist())), min_chars)
 
         return docs.withColumn("__lines", arrow_column(rebuild, _RESULT, F.col(text_col), F.col(id_col)))
-    keys = docs.select(F.col(id_col).alias("__id"), arrow_column(_keys_of(min_chars), "array<binary>", F.col(text_col)).alias("__keys"))
+    # by row, not by id: rows that repeat an id or have none would pile up their keys in one list
+    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    keys = docs.select("__row", F.col(id_col).alias("__id"), arrow_column(_keys_of(min_chars), "array<binary>", F.col(text_col)).alias("__keys"))
     lost = (
-        keys.select("__id", F.explode("__keys").alias("key"))
+        keys.select("__row", "__id", F.explode("__keys").alias("key"))
         .join(frequent, "key")
         .filter(F.col("__id").isNull() | (F.col("__id") < F.col("keeper")))
-        .groupBy("__id")
+        .groupBy("__row")
         .agg(F.collect_set("key").alias("__lost"))
     )
 
     def rebuild_joined(text: pa.Array, lost_keys: pa.Array) -> pa.Array:
         return _rebuilt(((t, set(k).__contains__ if k else None) for t, k in zip(as_bytes(text), lost_keys.to_pylist())), min_chars)
 
-    joined = docs.join(lost.withColumnRenamed("__id", "__lost_id"), F.col(id_col).eqNullSafe(F.col("__lost_id")), "left").drop("__lost_id")
+    joined = docs.join(lost, "__row", "left").drop("__row")
     return joined.withColumn("__lines", arrow_column(rebuild_joined, _RESULT, F.col(text_col), F.col("__lost"))).drop("__lost")
 
 

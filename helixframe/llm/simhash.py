@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, as_bytes, free_names, own_columns, saved, session_of
+from .common import arrow_column, as_bytes, free_names, own_columns, saved, session_of, stored
 from .components import connected_components
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
@@ -188,7 +188,8 @@ def mark(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) ->
 def owners(marked: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, components=connected_components) -> DataFrame:
     """print, first (the smallest id), root of every print. components: edges to (node, root)."""
     distinct = saved(marked.groupBy("print").agg(F.min("id").alias("first")))
-    roots = components(links(distinct.select("print"), distance, bucket))
+    # the links stand before components are asked for: how these are found must not say in how many tasks links are made
+    roots = components(stored(links(distinct.select("print"), distance, bucket), "links"))
     return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
 
 
