@@ -275,3 +275,40 @@ def command_line(spark, sf_dir):
         rows.append((call, code, out.getvalue().count("\n"), None if call == "view" else out.getvalue()))
     done = spark.createDataFrame(rows, "call string, code int, lines bigint, output string")
     return done.select("call", "code", "lines", F.md5(F.col("output").cast("binary")).alias("output_md5"))
+
+
+#: At every place of the sequences a pattern of 1 to 30 symbols, and the same with another first symbol, which mostly stands nowhere.
+_MIXED = f"""cut AS (SELECT substr(seq, CAST(i AS INTEGER) + 1, CAST(1 + i * 7 % 30 AS INTEGER)) AS p FROM seqs, LATERAL (SELECT unnest(range(0, length(seq))) AS i)),
+x AS (SELECT DISTINCT pattern, translate({{rc}}, 'N', 'Z') AS r FROM (SELECT p AS pattern FROM cut UNION SELECT translate(substr(p, 1, 1), 'ACGT', 'GTAC') || substr(p, 2) FROM cut))""".format(rc="reverse(translate(pattern, 'ACGT', 'TGCA'))")
+
+
+def _mixed(seqs: DataFrame) -> DataFrame:
+    off = seqs.filter("seq <> ''").select("seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("i"))
+    cut = off.select(F.substring("seq", F.col("i") + 1, 1 + F.col("i") * 7 % 30).alias("p"))
+    other = F.concat(F.translate(F.substring("p", 1, 1), "ACGT", "GTAC"), F.expr("substring(p, 2)"))
+    return cut.select(F.explode(F.array("p", other)).alias("pattern")).distinct()
+
+
+def _opened(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of the benchmark, built from a file, and opened again by its name."""
+    base = f"{_folder(spark)}/searched"
+    Index.build(spark, _fasta(spark, sf_dir), base, rate=8)
+    return Index.open(spark, f"{base}.bwt")
+
+
+@_query(
+    f"""WITH {_TEXT}, {_MIXED}, suffixes AS (SELECT substr(t, pos + 1) AS suffix FROM sa)
+SELECT pattern, count(*) FILTER (suffix < pattern) AS fp, count(*) FILTER (suffix < r) AS rp, count(*) FILTER (starts_with(suffix, pattern)) AS sz, CAST(length(pattern) AS INTEGER) AS dp FROM x, suffixes GROUP BY pattern"""
+)
+def index_interval(spark, sf_dir):
+    index = _opened(spark, sf_dir)
+    return index.intervals(_mixed(index.table("seqs")))
+
+
+@_query(
+    f"""WITH {_TEXT}, {_MIXED}, found AS (SELECT pattern, pos, pos >= h AS rev, CASE WHEN pos >= h THEN 2 * h - 2 - pos ELSE pos END AS place FROM x JOIN sa ON starts_with(substr(t, pos + 1), pattern), half)
+SELECT pattern, pos, name || ':' || (place - beg + 1) || ':' || CASE WHEN rev THEN '-' ELSE '+' END AS label FROM found JOIN seqs ON place >= beg AND place < beg + len"""
+)
+def index_locate(spark, sf_dir):
+    index = _opened(spark, sf_dir)
+    return index.locate(_mixed(index.table("seqs")))

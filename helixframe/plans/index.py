@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
+from ..operators import backward
 from ..operators.neighbors import annotate, check_parameters
 from ..operators.suffix import bwt, c_array, occ_marks, sa_of_text
 from ..operators.text import check_names, text_statistics, with_coordinates
@@ -45,12 +46,13 @@ class Index:
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(self._path("manifest"))
 
     @classmethod
-    def build(cls, spark: SparkSession, fasta: str, base: str, alphabet: Alphabet = DNA, suffixes: bool = True) -> Index:
-        """Reads a FASTA file and writes sequences, alphabet and, unless told otherwise, suffix array, BWT and counts."""
-        return cls.build_from(read_fasta(spark, fasta), base, alphabet, suffixes)
+    def build(cls, spark: SparkSession, fasta: str, base: str, alphabet: Alphabet = DNA, suffixes: bool = True, rate: int = backward.RATE) -> Index:
+        """Reads a FASTA file and writes sequences, alphabet and, unless told otherwise, suffix array, BWT, counts and what searches read:
+        blocks of the BWT with their counts, and one in `rate` positions of the suffix array."""
+        return cls.build_from(read_fasta(spark, fasta), base, alphabet, suffixes, rate)
 
     @classmethod
-    def build_from(cls, seqs: DataFrame, base: str, alphabet: Alphabet = DNA, suffixes: bool = True) -> Index:
+    def build_from(cls, seqs: DataFrame, base: str, alphabet: Alphabet = DNA, suffixes: bool = True, rate: int = backward.RATE) -> Index:
         spark = seqs.sparkSession
         check_names(seqs)
         index = cls(spark, base, alphabet)
@@ -64,6 +66,8 @@ class Index:
             transform.repartitionByRange("rank").sortWithinPartitions("rank").write.parquet(index._path("bwt"))
             c_array(positions, alphabet).write.parquet(index._path("c"))
             occ_marks(index.table("bwt"), alphabet).write.parquet(index._path("occ_mark"))
+            backward.occ_blocks(index.table("bwt"), index.table("occ_mark"), alphabet).write.parquet(index._path("occ_block"))
+            backward.sampled(index.table("sa"), rate).repartitionByRange("rank").sortWithinPartitions("rank").write.parquet(index._path(f"sa_sample/rate={rate}"))
         index._write_manifest()
         return index
 
@@ -95,6 +99,25 @@ class Index:
             raise ValueError(f"no annotation for k={k} and a distance of {tau}")
         return self.table(f"ann/k={k}/tau={tau}")
 
+    def occurrences(self) -> backward.Occurrences:
+        """What searches step through."""
+        total = text_statistics(self.table("seqs")).first()["text_length"]
+        return backward.Occurrences(self.table("occ_block"), self.table("c"), total, self.alphabet)
+
+    def intervals(self, patterns: DataFrame, pattern_col: str = "pattern") -> DataFrame:
+        """pattern, fp, rp, sz, dp of patterns of any lengths, by backward search."""
+        return self.occurrences().pattern_intervals(patterns, pattern_col)
+
+    def count(self, patterns: DataFrame, pattern_col: str = "pattern") -> DataFrame:
+        """pattern, n: occurrences on both strands of patterns of any lengths."""
+        return self.intervals(patterns, pattern_col).select("pattern", F.col("sz").alias("n"))
+
+    def locate(self, patterns: DataFrame, pattern_col: str = "pattern") -> DataFrame:
+        """pattern, pos, label of every occurrence of patterns of any lengths, by backward search and the sampled suffix array."""
+        samples = self.table("sa_sample")  # the rate is in the folder's name
+        steps = self.occurrences()
+        return backward.locate(steps.pattern_intervals(patterns, pattern_col), steps, samples.select("rank", "pos"), self.table("seqs"), samples.select("rate").first()[0])
+
     def view(self) -> DataFrame:
         """part, item, value: what the index holds; each part is looked for by itself."""
         rows = [("alphabet", g[0], f"{g} complement {self.alphabet.character(self.alphabet.complement(i))}") for i, g in enumerate(self.alphabet.groups)]
