@@ -141,9 +141,9 @@ def _near(left_bits: pa.Array, right_bits: pa.Array, n: pa.Array) -> pa.Array:
 
 def _one_each(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows (id, key, ...) of wanted (id, key; no key twice), one for each. By both: all copies of a text have its key, and would meet
-    in one task only to be let go of."""
-    mine = wanted.select(F.col("id").alias("__id"), F.col("key").alias("__key"))
-    return rows.join(mine, rows["id"].eqNullSafe(mine["__id"]) & (rows["key"] == mine["__key"]), "left_semi").dropDuplicates(["key"])
+    in one task only to be let go of. The two as one hash, which null ids have too, so that one exchange serves join and choice."""
+    both = F.xxhash64("id", "key").alias("__both")
+    return rows.select("*", both).join(wanted.select("key", both), ["key", "__both"], "left_semi").dropDuplicates(["key", "__both"]).drop("__both")
 
 
 def _alike(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def _alike(pairs: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
     if near.isEmpty():
         return near
     keys = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    wanted = kept.select("id", "key").join(keys, "key", "left_semi")
+    wanted = stored(kept.select("id", "key").join(keys, "key", "left_semi"), "wanted")  # mostly few: known once they are written
     sets = stored(_one_each(texts, wanted).select("key", arrow_column(_sets, "array<bigint>", F.col("text")).alias("set")), "sets")
     both = near.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
     shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
@@ -209,7 +209,7 @@ def meetings(marked: DataFrame, kept: DataFrame, texts: DataFrame, common: Broad
     sizes = kept.filter("n > 0").join(often.groupBy("key").agg(F.sum("w").alias("often")), "key", "left")
     sizes = stored(sizes.select("id", "key", "n", "own", (F.col("own") - F.coalesce("often", F.lit(0))).alias("rare")), "sizes")
     first = _placed(held.filter(F.col("c") <= RARE).join(sizes.select("key", "n", F.col("rare").alias("end")), "key"))
-    needy = _others(sizes.filter(f"rare < {_PREFIX}").select("id", "key", "n", "own"), texts, common)
+    needy = _others(stored(sizes.filter(f"rare < {_PREFIX}").select("id", "key", "n", "own"), "needy"), texts, common)
     ends = needy.select("key", "n", (F.col("own") + F.size("others")).alias("end"))
     rows = needy.select("key", F.explode("others").alias("x"), F.lit(1).cast("bigint").alias("w"))
     rows = rows.unionByName(often.join(needy.select("key"), "key", "left_semi").select("key", "x", "w"))
