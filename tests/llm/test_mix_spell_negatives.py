@@ -208,7 +208,7 @@ def test_hard_negatives(spark, scale, options):
 def test_trees_pass_over_what_is_far(monkeypatch):
     """Well parted clusters: far pairs of leaves are never scored, and the best are the same."""
     rnd = np.random.default_rng(4)
-    x = (rnd.normal(size=(4096, 8)) + 60 * np.eye(8)[np.arange(4096) // 8 % 4]).round().astype(np.int64)
+    x = (rnd.normal(size=(4096, 8)) + 60 * np.eye(8)[np.arange(4096) // 8 % 2]).round().astype(np.int64)
     ids, label = np.arange(4096), rnd.integers(0, 3, 4096)
     block = hn._block(ids, ids, label, x)
     a = hn._block(ids[:256], ids[:256], label[:256], x[:256], hn.grow(x[:256], 16))
@@ -222,7 +222,7 @@ def test_trees_pass_over_what_is_far(monkeypatch):
     first, done = sum(scored), best.cut()
     scored.clear()
     hn.score_block(anchors, hn.Best(best.floor, 5), block)  # with what is known after the first pass
-    assert first == 256 * 4096 and sum(scored) < first / 2
+    assert first == 256 * 4096 and sum(scored) < 0.6 * first
     for slot in range(256):
         fits = (a["label"][slot] == label) & (ids != a["row"][slot])
         want = sorted(zip(-(x @ a["q"][slot])[fits], ids[fits]))[:5]
