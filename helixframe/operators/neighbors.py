@@ -5,8 +5,10 @@ Two symbols mismatch if they differ or the first is the unknown one (N), so N co
 Pigeonhole: of tau + s fragments of a k-mer, s at least are free of tau mismatches, and so equal in both and without N.
 Pairs come from an equi-join on s fragments at a time, and only from the first s that they share, so no pair is
 made twice.  With s = 1 there are tau + 1 short keys for each k-mer; a larger s gives more and longer
-keys, and is taken where short ones would bring too many k-mers together.  K-mers are packed two bits a symbol once
-each, and pairs are verified with a few bit operations.
+keys, and is taken where short ones would bring too many k-mers together.  A key that brings too many together all the
+same (a run of one letter) is no key of its own: what is left of its k-mers is cut into fragments again, and they meet by
+the first key and one of these, as deep as it takes.  K-mers are packed two bits a symbol once each, and pairs are
+verified with a few bit operations.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ ODD_BITS = 0x5555555555555555
 MOST_TAU, LEAST_K, MOST_K = 3, 2, 254
 #: K-mers that share a key, on average, and the most fragments in a key.
 BUCKET, MOST_SHARED = 16, 3
+#: Pairs that one key makes at most, before what is left of its k-mers is cut again.
+KEY_PAIRS = 1 << 18
+#: Hot keys that are sent to all tasks at most; more are joined.
+SENT_KEYS = 100_000
 
 
 def check_parameters(k: int, tau: int, any_tau: bool = False) -> None:
@@ -101,19 +107,131 @@ def _placed(rows: DataFrame, kmer_col: str, k: int, tau: int, shared: int, side:
     return rows.select(F.col(kmer_col).alias(side), bits.alias(f"{side}_bits"), unknown.alias(f"{side}_unknown"), F.explode(found).alias("f")).select(side, f"{side}_bits", f"{side}_unknown", "f.choice", "f.text")
 
 
+def _hot(one: DataFrame, two: DataFrame | None, keys: list[str]) -> tuple[DataFrame, int]:
+    """The keys by which more than KEY_PAIRS pairs would meet, and how many there are. Without two, one meets itself."""
+    counts = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if two is None:
+        counts = counts.withColumn("m", F.col("n"))
+    else:
+        counts = counts.join(two.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), keys)
+    hot = saved(counts.filter(F.col("n").cast("double") * F.col("m") > KEY_PAIRS).select(*keys))
+    size = hot.count()
+    return (F.broadcast(hot) if size <= SENT_KEYS else hot), size
+
+
+def _bounds(length: Column, i: int, count: int) -> tuple[Column, Column]:
+    """Where the i-th of count fragments of a text of that length begins (from 0), and its length."""
+    begin, end = (F.floor(length * F.lit(x) / count).cast("int") for x in (i, i + 1))
+    return begin, end - begin
+
+
+def _left_over(kmer: str, k: int, tau: int, shared: int) -> Column:
+    """A k-mer without the fragments of the row's choice."""
+    parts = _fragments(k, tau + shared)
+    out = F.lit(None).cast("string")
+    for choice in combinations(range(tau + shared), shared):
+        kept = [F.substring(kmer, first + 1, n) for i, (first, n) in enumerate(parts) if i not in choice]
+        out = F.when(F.col("choice") == sum(1 << i for i in choice), F.concat(*kept) if kept else F.lit("")).otherwise(out)
+    return out
+
+
+def _cut_again(rows: DataFrame, tau: int, shared: int, side: str, alphabet: Alphabet, depth: int) -> DataFrame:
+    """Rows of hot keys, once for each choice of clean fragments of what is left of their k-mers.
+
+    text grows by the choice and its fragments, next{depth} is the choice, {side}_was{depth} what was left before it.
+    """
+    rest, count = F.col(f"{side}_left"), tau + shared
+    span = [_bounds(F.length(rest), i, count) for i in range(count)]
+    part = [F.substring(rest, begin + 1, n) for begin, n in span]
+    found = F.array(
+        *[
+            F.struct(
+                F.lit(sum(1 << i for i in choice)).alias("next"),
+                F.concat(*[part[i] for i in choice]).alias("own"),
+                F.concat(F.lit(""), *[part[i] for i in range(count) if i not in choice]).alias("left"),
+            )
+            for choice in combinations(range(count), shared)
+        ]
+    )
+    if alphabet.unknown is not None:
+        found = F.filter(found, lambda f: F.instr(f["own"], alphabet.unknown) == 0)
+    fixed = [c for c in rows.columns if c not in ("text", f"{side}_left")]
+    cut = rows.select(*fixed, "text", rest.alias(f"{side}_was{depth}"), F.explode(found).alias("f"))
+    text = F.concat("text", F.lit("|"), F.col("f.next").cast("string"), F.lit(":"), "f.own")
+    return cut.select(*fixed, f"{side}_was{depth}", text.alias("text"), F.col("f.next").alias(f"next{depth}"), F.col("f.left").alias(f"{side}_left"))
+
+
+def _up_to(choice: Column, count: int) -> Column:
+    """The bits of all fragments up to the last of a choice."""
+    return reduce(lambda p, i: F.when(choice >= 1 << i, (2 << i) - 1).otherwise(p), range(count), F.lit(0))
+
+
+def _first_shared(tau: int, shared: int, alphabet: Alphabet, depth: int) -> Column:
+    """Whether the fragments that a pair was brought together by are the first that it shares at this depth."""
+    was, count, equal = (F.col(f"a_was{depth}"), F.col(f"b_was{depth}")), tau + shared, F.lit(0)
+    for i in range(count):
+        begin, n = _bounds(F.length(was[0]), i, count)
+        x, y = (F.substring(w, begin + 1, n) for w in was)
+        clean = x == y if alphabet.unknown is None else (x == y) & (F.instr(x, alphabet.unknown) == 0)
+        equal = equal + F.when(clean, 1 << i).otherwise(0)
+    choice = F.col(f"next{depth}")
+    return equal.bitwiseAND(_up_to(choice, count)) == choice
+
+
+def _lengths_left(lengths: set[int], tau: int, shared: int) -> set[int]:
+    """How long what is left can be, whatever the choice."""
+    return {n - sum(_fragments(n, tau + shared)[i][1] for i in choice) for n in lengths for choice in combinations(range(tau + shared), shared)}
+
+
+def _met(one: DataFrame, two: DataFrame | None, k: int, tau: int, shared: int, alphabet: Alphabet, below: bool) -> DataFrame:
+    """choice, a, b and their packed words: pairs that share fragments, by keys of KEY_PAIRS pairs at most. Without two, one meets itself.
+
+    A pair under a hot key has all its mismatches, tau at most, in what the key leaves of its k-mers, so that is cut as
+    k-mers are. At each depth a pair counts for the first fragments that it shares there, so it is met once under each first
+    choice. Where tau symbols or fewer are left nothing can be cut, and few k-mers differ.
+    """
+    keys, out = ["choice", "text"], ["choice", "a", "b", "a_bits", "a_unknown", "b_bits", "b_unknown"]
+    parts, firsts, depth, lengths = [], [], 0, {k}
+
+    def meet(left: DataFrame, right: DataFrame | None) -> None:
+        if right is None:
+            right = one.toDF(*["b" + c[1:] if c == "a" or c.startswith("a_") else c for c in one.columns])
+        pairs = left.join(right.select(*keys, *[c for c in right.columns if c == "b" or c.startswith("b_")]), keys)
+        for first in [F.col("a") < F.col("b")] * below + firsts:
+            pairs = pairs.filter(first)
+        parts.append(pairs.select(*out))
+
+    while True:
+        hot, size = _hot(one, two, keys)
+        meet(one.join(hot, keys, "left_anti") if size else one, two)
+        lengths = _lengths_left(lengths, tau, shared)
+        if not size:
+            return reduce(DataFrame.unionByName, parts)
+        one, two = one.join(hot, keys, "left_semi"), None if two is None else two.join(hot, keys, "left_semi")
+        if not depth:
+            one, two = (None if x is None else x.withColumn(f"{side}_left", _left_over(side, k, tau, shared)) for x, side in ((one, "a"), (two, "b")))
+        if min(lengths) <= tau:
+            meet(one.filter(F.length("a_left") <= tau), two)
+            lengths = {n for n in lengths if n > tau}
+            one, two = (None if x is None else x.filter(F.length(f"{side}_left") > tau) for x, side in ((one, "a"), (two, "b")))
+        if not lengths:
+            return reduce(DataFrame.unionByName, parts)
+        depth, shared = depth + 1, min(shared, min(lengths) - tau)
+        one, two = (None if x is None else saved(_cut_again(x, tau, shared, side, alphabet, depth)) for x, side in ((one, "a"), (two, "b")))
+        firsts.append(_first_shared(tau, shared, alphabet, depth))
+
+
 def hamming_join(left: DataFrame, right: DataFrame, k: int, tau: int, left_col: str = "kmer", right_col: str = "kmer", alphabet: Alphabet = DNA, below: bool = False, shared: int = 1) -> DataFrame:
     """a, b, dist, mism (words): pairs of distinct k-mers of left and right within tau mismatches.
 
     Equal ones count too, unless `below`, which takes pairs with a < b only (for a join with itself). `shared` is
-    the number of fragments to join on; the result doesn't depend on it.
+    the number of fragments to join on; the result doesn't depend on it, nor on KEY_PAIRS.
     """
     if not 1 <= shared <= k - tau:
         raise ValueError("there are not so many fragments")
-    one, two = (_placed(x, c, k, tau, shared, side, alphabet) for x, c, side in ((left, left_col, "a"), (right, right_col, "b")))
-    pairs = one.join(two, ["choice", "text"])
-    if below:
-        pairs = pairs.filter("a < b")
-    pairs = pairs.select("choice", "a", "b", _differences(k).alias("mism"))
+    one = _placed(left, left_col, k, tau, shared, "a", alphabet)
+    two = None if left is right and left_col == right_col else _placed(right, right_col, k, tau, shared, "b", alphabet)
+    pairs = _met(one, two, k, tau, shared, alphabet, below).select("choice", "a", "b", _differences(k).alias("mism"))
     dist = reduce(lambda p, q: p + q, [F.bit_count(F.col("mism")[i]) for i in range(len(_segments(k)))])
     near = pairs.select("choice", "a", "b", dist.cast("int").alias("dist"), "mism").filter(F.col("dist") <= tau)
     equal = F.lit(0)  # the fragments without a mismatch, as bits
@@ -125,8 +243,7 @@ def hamming_join(left: DataFrame, right: DataFrame, k: int, tau: int, left_col:
                 clean = clean & (F.col("mism")[w].bitwiseAND(F.lit(mask)) == 0)
         equal = equal + F.when(clean, 1 << i).otherwise(0)
     # a pair counts where its choice is all that it shares up to the choice's last fragment
-    up_to = reduce(lambda p, i: F.when(F.col("choice") >= 1 << i, (2 << i) - 1).otherwise(p), range(tau + shared), F.lit(0))
-    return near.filter(equal.bitwiseAND(up_to) == F.col("choice")).select("a", "b", "dist", "mism")
+    return near.filter(equal.bitwiseAND(_up_to(F.col("choice"), tau + shared)) == F.col("choice")).select("a", "b", "dist", "mism")
 
 
 def text_kmers(seqs: DataFrame, k: int, tau: int | None = None, alphabet: Alphabet = DNA) -> DataFrame:
@@ -281,7 +398,7 @@ def annotation_query(labels: DataFrame, seqs: DataFrame, annotation: DataFrame,
     pattern = r"^(.+?):([0-9]+)(?::(.+))?$"
     rows = labels.select(*labels.columns, F.regexp_extract(label_col, pattern, 1).alias("__name"), F.expr(f"try_cast(regexp_extract(`{label_col}`, '{pattern}', 2) as bigint)").alias("__offset"), F.regexp_extract(label_col, pattern, 3).alias("__strand"))
     known = rows.join(seqs.select("name"), F.col("__name") == F.col("name"), "left_semi")
-    loci = kmers(seqs.select("name", "seq"), k, ["name"])
+    loci = kmers(seqs.select("name", "seq", *[c for c in ("len",) if c in seqs.columns]), k, ["name"])
     at = known.join(loci, (F.col("__name") == F.col("name")) & (F.col("__offset") - 1 == F.col("off")), "left").drop("name", "off")
     done = at.join(annotation.select("kmer", "dist", "neigh_cnt", "align_pos"), "kmer", "left")
     forward = (F.col("__strand") == "") | F.startswith("__strand", F.lit("+"))
