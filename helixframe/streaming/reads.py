@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.shared import running_total, saved
 from ..sources.readers import CHUNK_BYTES, FASTA, FASTQ, RAW, _fasta_parts
 
 
@@ -52,31 +52,48 @@ def chunked(reads: DataFrame, form: str, max_bytes: int = CHUNK_BYTES, stream: l
     """reads with chunk (0, 1, ...): a chunk takes records in order until their bytes reach the budget, so it ends with the
     record that does. `stream` are the columns that tell inputs apart (default: `file`, if there is one), each with chunks of its own.
 
-    Where a chunk begins depends on all before it, so an input's record sizes (a number each, no texts) pass through one
-    task as a stream that holds nothing but a sum.
+    Where a chunk begins depends on all before it, but from each record it is known where the next chunk would begin if one
+    began there: at the first record that has the budget's bytes more before it. Those pointers are counts over range
+    partitions; chunks are what is reached from an input's first record, found by pointers of 1, 2, 4, ... chunks. No task
+    sees more than its part of the records, and there is a round for each doubling of the chunks of the largest input.
     """
     if max_bytes < 1:
         raise ValueError("the budget is a byte at least")
     keys = [c for c in ("file",) if c in reads.columns] if stream is None else stream
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, chunk, held = None, 0, 0
-        for batch in batches:
-            out = []
-            own = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys))))) or [()] * len(batch)
-            for key, size in zip(own, batch.column("size").to_pylist()):
-                if key != now:
-                    now, chunk, held = key, 0, 0
-                elif held >= max_bytes:
-                    chunk, held = chunk + 1, 0
-                held += size
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.array(out, pa.int64())], [*keys, "ord", "chunk"])
-
-    sizes = reads.select(*keys, F.col("ord").cast("bigint").alias("ord"), record_bytes(form).cast("bigint").alias("size"))
-    placed = (sizes.repartition(*keys) if keys else sizes.coalesce(1)).sortWithinPartitions(*keys, "ord")
-    schema = ", ".join([f"`{c}` {reads.schema[c].dataType.simpleString()}" for c in keys] + ["ord bigint", "chunk bigint"])
-    return reads.join(placed.mapInArrow(number, schema), [*keys, "ord"])
+    sizes = reads.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.col("ord").cast("bigint").alias("ord"), record_bytes(form).cast("bigint").alias("size"))
+    own = [f"__k{i}" for i in range(len(keys))] or ["__k0"]
+    if not keys:
+        sizes = sizes.withColumn("__k0", F.lit(0))
+    numbers = _chunk_numbers(sizes, own, max_bytes)
+    same = [F.col(f"__of.{k}").eqNullSafe(F.col(f"__in.{c}")) for k, c in zip(own, keys)]
+    found = reads.alias("__in").join(numbers.alias("__of"), [F.col("__in.ord").cast("bigint") == F.col("__of.ord"), *same])
+    return found.select("__in.*", "__of.chunk")
+
+
+def _chunk_numbers(sizes: DataFrame, keys: list[str], max_bytes: int) -> DataFrame:
+    """keys, ord, chunk of rows (keys, ord, size)."""
+    placed = running_total(sizes, [*keys, "ord"], "size", "at")
+    # a record and the place where the chunk that begins with it is full; a record's number is how many records stand before
+    marks = placed.select(*keys, "ord", F.explode(F.array(F.struct(F.col("at").alias("at"), F.lit(1).alias("is")), F.struct((F.col("at") + max_bytes).alias("at"), F.lit(0).alias("is")))).alias("m")).select(*keys, "ord", "m.*")
+    counted = running_total(marks, [*keys, "at", "is", "ord"], F.col("is"), "n")
+    by = counted.groupBy(*keys, "ord").agg(F.max(F.when(F.col("is") == 1, F.col("n"))).alias("id"), F.max(F.when(F.col("is") == 0, F.col("n"))).alias("to"))
+    rows = saved(by)
+    firsts = rows.groupBy(*keys).agg(F.min("id").alias("first"))
+    begins, jumps = saved(firsts.select(F.col("first").alias("id"))), rows.select("id", "to")
+    size = begins.count()
+    while True:
+        reached = begins.join(jumps, "id").select(F.col("to").alias("id")).join(rows.select("id"), "id", "left_semi")
+        begins = saved(begins.unionByName(reached).distinct())
+        size, before = begins.count(), size
+        if size == before:
+            break
+        jumps = saved(jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("then")), "to").select("id", F.col("then").alias("to")))
+    marked = rows.join(begins.withColumn("begins", F.lit(1)), "id", "left")
+    total = saved(running_total(marked.select(*keys, "ord", "id", "begins"), ["id"], F.coalesce("begins", F.lit(0)), "n"))
+    origin = total.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").select(*keys, F.col("n").alias("n0"))
+    each = total.select(*keys, "ord", (F.col("n") + F.coalesce("begins", F.lit(0))).alias("n"))
+    origin = origin.toDF(*[f"__o{c}" for c in keys], "n0")
+    return each.join(origin, [F.col(c).eqNullSafe(F.col(f"__o{c}")) for c in keys]).select(*keys, "ord", (F.col("n") - F.col("n0") - 1).alias("chunk"))
 
 
 def process_stream(reads: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
