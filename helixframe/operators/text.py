@@ -111,3 +111,48 @@ def text_slice(points: DataFrame, seqs: DataFrame, pos_col: str, length: int) ->
 def symbol_at(points: DataFrame, seqs: DataFrame, pos_col: str = "pos") -> DataFrame:
     """points (forward positions) with the symbol there."""
     return text_slice(points, seqs, pos_col, 1).withColumnRenamed("slice", "symbol")
+
+
+def two_strand_slice(points: DataFrame, seqs: DataFrame, pos_col: str, length: int, alphabet: Alphabet = DNA) -> DataFrame:
+    """points with the `length` symbols of the two-strand text from there, over separators, sequences and strands.
+
+    A slice ends where the text does. A position that is null, negative or behind the text raises an error. A slice is
+    mirrored first where it reaches into the other strand, so that only pieces of sequences are met, by number; it is put
+    together from as many as `length` reaches.
+    """
+    if length < 1:
+        raise ValueError("a slice is a symbol at least")
+    half = forward_length(seqs)
+    pos = F.col(pos_col).cast("bigint")
+    inside = F.coalesce((pos >= 0) & (pos < 2 * half), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit(f"the text has positions 0 to {2 * half - 1}, not "), F.coalesce(pos.cast("string"), F.lit("null"))))
+    asked = points.select(F.when(inside, pos).otherwise(wrong.cast("bigint")).alias("__p")).distinct()
+    last = F.least(F.col("__p") + length, F.lit(2 * half)) - 1
+    # of each strand the forward positions from lo to hi; the text's last separator is the mirror of none
+    spans = F.filter(
+        F.array(
+            F.struct(F.lit(False).alias("turned"), F.col("__p").alias("lo"), F.least(last, F.lit(half - 1)).alias("hi")),
+            F.struct(F.lit(True).alias("turned"), mirror(F.least(last, F.lit(2 * half - 2)), half).alias("lo"), mirror(F.greatest(F.col("__p"), F.lit(half)), half).alias("hi")),
+        ),
+        lambda x: x["lo"] <= x["hi"],
+    )
+    each = asked.select("__p", F.explode(spans).alias("s")).select("__p", "s.*")
+    binned = each.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN))))
+    places = seqs.select("seq_id", "beg", "len").withColumn("__bin", F.explode(F.sequence(F.floor(F.col("beg") / BIN), F.floor((F.col("beg") + F.col("len") - 1) / BIN))))
+    over = binned.join(places, "__bin").filter((F.col("lo") < F.col("beg") + F.col("len")) & (F.col("hi") >= F.col("beg"))).drop("__bin").distinct()
+    off = over.withColumn("__from", F.greatest(F.col("lo"), F.col("beg")) - F.col("beg")).withColumn("__to", F.least(F.col("hi"), F.col("beg") + F.col("len") - 1) - F.col("beg"))
+    numbered = off.withColumn("__no", F.explode(F.sequence(F.floor(F.col("__from") / PIECE), F.floor(F.col("__to") / PIECE))))
+    parts = seqs.select("seq_id", F.explode(pieces(F.concat("seq", F.lit(SEPARATOR)), PIECE, 0)).alias("__q")).select("seq_id", F.floor(F.col("__q.at") / PIECE).alias("__no"), F.col("__q.part").alias("__part"))
+    begin = F.greatest(F.col("__from") - F.col("__no") * PIECE, F.lit(0))
+    cut = F.substring("__part", (begin + 1).cast("int"), (F.col("__to") - F.col("__no") * PIECE - begin + 1).cast("int"))
+    at = F.col("beg") + F.col("__no") * PIECE + begin
+    cuts = numbered.join(parts, ["seq_id", "__no"]).select("__p", F.when(F.col("turned"), mirror(at, half)).otherwise(at).alias("at"), F.when(F.col("turned"), alphabet.reverse_complement(cut)).otherwise(cut).alias("cut"))
+    whole = cuts.groupBy("__p").agg(F.array_sort(F.collect_list(F.struct("at", "cut"))).alias("__cuts"))
+    body = F.array_join(F.transform(F.coalesce("__cuts", F.array().cast("array<struct<at:bigint,cut:string>>")), lambda x: x["cut"]), "")
+    done = asked.join(whole, "__p", "left").select("__p", F.concat(body, F.when(last == 2 * half - 1, SEPARATOR).otherwise("")).alias("slice"))
+    return points.join(done, pos == F.col("__p")).select(*points.columns, "slice")
+
+
+def two_strand_symbol(points: DataFrame, seqs: DataFrame, pos_col: str = "pos", alphabet: Alphabet = DNA) -> DataFrame:
+    """points with the symbol of the two-strand text there; a position outside raises an error."""
+    return two_strand_slice(points, seqs, pos_col, 1, alphabet).withColumnRenamed("slice", "symbol")

@@ -169,6 +169,19 @@ def text_slice(spark, sf_dir):
     return text.text_slice(every, seqs, "pos", 12)
 
 
+@_query(f"WITH {_TEXT} SELECT CAST(i AS BIGINT) AS pos, substr(t, i + 1, 100) AS slice FROM body, LATERAL (SELECT unnest(range(0, length(t))) AS i)")
+def two_strand_slices(spark, sf_dir):
+    """From every position of the text, over sequences and from one strand to the other."""
+    seqs = _placed(spark, sf_dir)
+    return text.two_strand_slice(spark.range(2 * text.forward_length(seqs)).withColumnRenamed("id", "pos"), seqs, "pos", 100)
+
+
+@_query(f"WITH {_TEXT} SELECT CAST(i AS BIGINT) AS pos, substr(t, i + 1, 1) AS symbol FROM body, LATERAL (SELECT unnest(range(0, length(t))) AS i)")
+def two_strand_symbols(spark, sf_dir):
+    seqs = _placed(spark, sf_dir)
+    return text.two_strand_symbol(spark.range(2 * text.forward_length(seqs)).withColumnRenamed("id", "pos"), seqs)
+
+
 @_query(f"WITH {_STRANDS} SELECT kmer, count(*) AS n FROM {_kmers(K_COUNT)} GROUP BY kmer")
 def kmer_count(spark, sf_dir):
     return km.count_kmers(text.both_strands(_sequences(spark, sf_dir)), K_COUNT)
