@@ -101,6 +101,19 @@ def sym_characters(spark, sf_dir):
     return spark.range(DNA.size + 1).select(F.col("id").cast("int").alias("code")).select("code", symbol.alias("symbol"), DNA.complemented(symbol).alias("complement"))
 
 
+@_query(
+    f"""WITH e AS (SELECT item_id, regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGTN]', 'N', 'g') AS seq FROM benchmark),
+c AS (SELECT item_id, substr(seq, i + 1, 1) AS symbol FROM e, LATERAL (SELECT unnest(range(0, length(seq))) AS i))
+SELECT item_id, CAST(strpos('ACGTN', symbol) - 1 AS INTEGER) AS code, symbol, translate(symbol, 'ACGT', 'TGCA') AS complement, count(*) AS n, 5 AS n_symbols FROM c GROUP BY item_id, symbol"""
+)
+def sym_characters_of_codes(spark, sf_dir):
+    """Of every code in the texts the character and its complement."""
+    codes = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(DNA.codes(DNA.encode("text"))).alias("code"))
+    symbol = DNA.character_of("code")
+    counts = codes.groupBy("item_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("item_id", F.col("code").cast("int").alias("code"), symbol.alias("symbol"), DNA.complemented(symbol).alias("complement"), "n", F.lit(DNA.size).alias("n_symbols"))
+
+
 @_query(f"SELECT item_id, {_RC.format(_LETTERS)} AS rc FROM benchmark")
 def reverse_complement(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", DNA.reverse_complement(DNA.only_known("text")).alias("rc"))

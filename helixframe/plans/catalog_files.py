@@ -13,7 +13,7 @@ from ..functions.alphabet import DNA, Alphabet
 from ..functions.shared import checkpoint_dir, spread
 from ..operators import text
 from ..sources import readers
-from ..streaming.reads import chunked
+from ..streaming.reads import chunk_counts, chunked
 from . import cli
 from .catalog import _LETTERS, _SEQS, _TEXT, _annotation_sql, _csv, _placed, _query, _sequences, _table
 from .index import Index, index_base
@@ -96,16 +96,28 @@ def sniff_formats(spark, sf_dir):
 CHUNK = 1500
 
 
-@_query(
-    f"""WITH RECURSIVE {_READS}, sized AS (SELECT ord, strlen(tag) + 2 + 2 * length(seq) AS size FROM reads),
+def _chunks_sql(budget: int, then: str) -> str:
+    return f"""WITH RECURSIVE {_READS}, sized AS (SELECT ord, strlen(tag) + 2 + 2 * length(seq) AS size FROM reads),
 t(ord, held, chunk) AS (SELECT ord, size, CAST(0 AS BIGINT) FROM sized WHERE ord = 0
-  UNION ALL SELECT s.ord, CASE WHEN t.held >= {CHUNK} THEN s.size ELSE t.held + s.size END, CASE WHEN t.held >= {CHUNK} THEN t.chunk + 1 ELSE t.chunk END FROM t JOIN sized s ON s.ord = t.ord + 1)
-SELECT ord, chunk FROM t"""
-)
+  UNION ALL SELECT s.ord, CASE WHEN t.held >= {budget} THEN s.size ELSE t.held + s.size END, CASE WHEN t.held >= {budget} THEN t.chunk + 1 ELSE t.chunk END FROM t JOIN sized s ON s.ord = t.ord + 1)
+{then}"""
+
+
+@_query(_chunks_sql(CHUNK, "SELECT ord, chunk FROM t"))
 def chunk_reads(spark, sf_dir):
     return chunked(readers.read_fastq(spark, _fastq(spark, sf_dir)), readers.FASTQ, CHUNK).select("ord", "chunk")
 
 
+@_query(_chunks_sql(CHUNK, "SELECT chunk, count(*) AS n FROM t GROUP BY chunk"))
+def chunk_sizes(spark, sf_dir):
+    return chunk_counts(chunked(readers.read_fastq(spark, _fastq(spark, sf_dir)), readers.FASTQ, CHUNK))
+
+
+@_query(_chunks_sql(readers.CHUNK_BYTES, "SELECT chunk, count(*) AS n FROM t GROUP BY chunk"))
+def chunk_sizes_by_default(spark, sf_dir):
+    return chunk_counts(chunked(readers.read_fastq(spark, _fastq(spark, sf_dir)), readers.FASTQ))
+
+
 @_query(f"WITH {_READS} SELECT seq FROM reads")
 def printed_reads(spark, sf_dir):
     path = _folder(spark)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.mapping import map_reads
 from ..operators.neighbors import MOST_TAU
-from ..sources.readers import read_queries
+from ..sources.readers import read_queries, sniff
+from ..streaming.reads import chunk_counts, chunked
 from .index import Index, index_base
 
 VERSION = "0.1"
@@ -48,6 +51,14 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _chunk_by_chunk(chunks: DataFrame) -> Iterator[str]:
+    """The sequences of reads in order; before each chunk's its count goes to the standard error."""
+    rows = chunks.orderBy("ord").select("seq").toLocalIterator()
+    for chunk in chunk_counts(chunks).orderBy("chunk").toLocalIterator():
+        print(f"read: {chunk.n} sequences.", file=sys.stderr)
+        yield from (r.seq for r in islice(rows, chunk.n))
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(arguments)
     if args.command == "index" and args.action == "add" and (args.kmer <= args.distance or args.threads < 1):
@@ -61,7 +72,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
                 rows = map_reads(reads, index.table("seqs"), args.kmer, args.distance, alphabet=index.alphabet).orderBy("read").toLocalIterator()
                 lines = ("\t".join(map(str, r)) for r in rows)
             else:
-                lines = (r.seq for r in reads.orderBy("ord").select("seq").toLocalIterator())
+                lines = _chunk_by_chunk(chunked(reads, sniff(spark, args.reads)))
             for line in lines:
                 print(line)
         elif args.action == "build":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -96,6 +96,34 @@ def _chunk_numbers(sizes: DataFrame, keys: list[str], max_bytes: int) -> DataFra
     return each.join(origin, [F.col(c).eqNullSafe(F.col(f"__o{c}")) for c in keys]).select(*keys, "ord", (F.col("n") - F.col("n0") - 1).alias("chunk"))
 
 
+def chunk_counts(chunks: DataFrame, stream: list[str] | None = None) -> DataFrame:
+    """chunk and n, its reads, of reads with chunks; by `stream`, the columns that tell inputs apart, as in chunked."""
+    keys = [c for c in ("file",) if c in chunks.columns] if stream is None else stream
+    return chunks.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
 def process_stream(reads: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Calls work(batch, number) for each chunk of a stream of reads until the files there are have been read."""
     return reads.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def report_chunks(reads: DataFrame, path: str, checkpoint: str, mapped: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Writes each chunk of a stream of reads below path: seq, a folder of lines for each chunk, and counts (chunk, n).
+
+    With `mapped`, which makes rows of a chunk's reads (such as places, by map_reads with the index's sequences, which are read
+    anew for each chunk and so may be as large as they are), those are written instead, as Parquet. Reads are counted while
+    they are written. A chunk that is tried again replaces what it wrote.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        counted = lambda rows: rows.observe(seen, F.count(F.lit(1)).alias("n"))  # noqa: E731  last before the write: a sort reads what is below it twice
+        if mapped is None:
+            counted(batch.orderBy("file", "ord").select("seq")).write.mode("overwrite").text(f"{path}/seq/chunk={number}")
+        else:
+            kept = f"{path}/reads/chunk={number}"
+            counted(batch).write.mode("overwrite").parquet(kept)
+            mapped(batch.sparkSession.read.parquet(kept)).write.mode("overwrite").parquet(f"{path}/mapped/chunk={number}")
+        batch.sparkSession.createDataFrame([(seen.get["n"],)], "n bigint").write.mode("overwrite").parquet(f"{path}/counts/chunk={number}")
+
+    return process_stream(reads, work, checkpoint)

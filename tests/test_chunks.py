@@ -42,3 +42,28 @@ def test_one_input_and_none(spark):
     assert chunked(spark.createDataFrame([], "file string, ord bigint, seq string"), readers.RAW, 5).count() == 0
     with pytest.raises(ValueError):
         chunked(spark.createDataFrame(rows, "ord bigint, seq string"), readers.RAW, 0)
+
+
+def test_chunks_of_a_stream_are_written_and_counted(spark, tmp_path):
+    from helixframe.operators import mapping, text
+    from helixframe.streaming.reads import report_chunks, stream_reads
+
+    rnd = random.Random(7)
+    seq = "".join(rnd.choice("ACGT") for _ in range(400))
+    files = [[seq[i : i + 30] for i in range(0, 90, 30)], [seq[100:130]], [seq[200:240], "T" * 30]]
+    (tmp_path / "in").mkdir()
+    for i, lines in enumerate(files):
+        (tmp_path / "in" / f"{i}.txt").write_text("\n".join(lines) + "\n")
+    seqs = text.with_coordinates(spark.createDataFrame([(0, "s", seq)], "seq_id bigint, name string, seq string")).cache()
+    for name, mapped in (("plain", None), ("placed", lambda reads: mapping.map_reads(reads, seqs, 10, 1, read_id="seq"))):
+        query = report_chunks(stream_reads(spark, str(tmp_path / "in"), readers.RAW, 1), str(tmp_path / name), str(tmp_path / f"{name}-state"), mapped)
+        query.awaitTermination()
+        assert query.exception() is None
+        counts = {r.chunk: r.n for r in spark.read.parquet(str(tmp_path / name / "counts")).collect()}
+        assert sorted(counts.values()) == sorted(map(len, files))  # a file is over a budget of one byte
+    by = {}
+    for c in counts:
+        by[c] = [r.value for r in spark.read.text(str(tmp_path / "plain" / "seq" / f"chunk={c}")).collect()]
+    assert sorted(by.values()) == sorted(files) and all(len(by[c]) == n for c, n in counts.items())
+    places = {r.read: (r.offset, r.dist) for r in spark.read.parquet(str(tmp_path / "placed" / "mapped")).collect()}
+    assert places == {s: (seq.index(s) + 1, 0) for lines in files for s in lines if s in seq}
