@@ -264,9 +264,9 @@ def search(queries: DataFrame, seqs: DataFrame, k: int, tau: int, alphabet: Alph
 
     With boundary only hits that do not sort after the query, so that each pair of k-mers is seen once.
 
-    With free_unknown an unknown symbol in the query matches anything at no cost, though its place is marked.
-    Queries and k-mers are compared piece by piece through fragments, and fragments with unknown symbols are left
-    out; queries with so many that no fragment is clean are compared without unknown places, mask by mask.
+    With free_unknown an unknown symbol in the query matches anything at no cost, though its place is marked. A query without
+    a known symbol more than tau would match everything and raises; null queries have no hits.
+    Queries and k-mers are compared piece by piece through fragments; queries with unknown symbols choose their own.
     """
     check_parameters(k, tau)
     if boundary:
@@ -275,28 +275,104 @@ def search(queries: DataFrame, seqs: DataFrame, k: int, tau: int, alphabet: Alph
     found = saved(text_kmers(seqs, k, None, alphabet))
     wanted = queries.select(F.col("query")).distinct()
     rows = found.count()
+
+    def plain(some: DataFrame) -> DataFrame:
+        return hamming_join(some, found, k, tau, "query", "kmer", alphabet, shared=shared_fragments(k, tau, rows)).select(F.col("a").alias("query"), F.col("b").alias("hit"), "dist", "mism")
+
     if not free_unknown or alphabet.unknown is None:
-        return hamming_join(wanted, found, k, tau, "query", "kmer", alphabet, shared=shared_fragments(k, tau, rows)).select(F.col("a").alias("query"), F.col("b").alias("hit"), "dist", "mism")
-    at = F.filter(F.sequence(F.lit(1), F.lit(k)), lambda i: F.substring(F.col("query"), i, F.lit(1)) == alphabet.unknown)
-    masks = [tuple(r[0]) for r in wanted.select(at.alias("at")).distinct().collect()]  # the places of N in queries, a few kinds
-    parts = []
-    for mask in masks:
-        mine = wanted.filter(at == F.array(*[F.lit(i) for i in mask]).cast("array<int>"))
-        keep = [i for i in range(1, k + 1) if i not in mask]
-        short = lambda c: F.concat(*[F.substring(c, a, b - a + 1) for a, b in _stretches(keep)])
-        if len(keep) <= tau:
-            raise ValueError("a query of unknown symbols matches everything")
-        left = mine.select("query", short("query").alias("__s"))
-        right = found.select("kmer", short("kmer").alias("__s"))
-        pairs = hamming_join(left.select("__s").distinct(), right.select("__s").distinct(), len(keep), tau, "__s", "__s", alphabet, shared=shared_fragments(len(keep), tau, rows))
-        full = left.join(pairs, F.col("__s") == F.col("a")).select("query", "b", "dist").join(right, F.col("b") == F.col("__s")).select("query", F.col("kmer").alias("hit"), "dist")
-        q, qn = packed(F.col("query"), k, alphabet)
-        h, hn = packed(F.col("hit"), k, alphabet)
-        full = full.select("query", "hit", "dist", q.alias("a_bits"), qn.alias("a_unknown"), h.alias("b_bits"), hn.alias("b_unknown"))
-        parts.append(full.select("query", "hit", "dist", _differences(k).alias("mism")))
-    if not parts:
-        return hamming_join(wanted, found, k, tau, "query", "kmer", alphabet, shared=shared_fragments(k, tau, rows)).select(F.col("a").alias("query"), F.col("b").alias("hit"), "dist", "mism")
-    return reduce(DataFrame.unionByName, parts)
+        return plain(wanted)
+    wanted = saved(wanted)
+    free = unknown_count("query", alphabet)
+    n, wild, most = wanted.agg(F.count("query"), F.count(F.when(free > 0, 1)), F.coalesce(F.max(free), F.lit(0))).first()
+    if most >= k - tau:
+        raise ValueError("a query of unknown symbols matches everything")
+    if not wild:
+        return plain(wanted)
+    hits = _wildcard_hits(wanted.filter(free > 0), found, k, tau, alphabet)
+    return hits if wild == n else hits.unionByName(plain(wanted.filter(free == 0)))
+
+
+def _blocks(k: int, level: int) -> Column:
+    """The blocks of 2^level places, the last one cut off at k: level, begin (from 0), size."""
+    size = 1 << level
+    each = F.sequence(F.lit(0), F.lit((k - 1) // size))
+    return F.transform(each, lambda i: F.struct(F.lit(level).alias("level"), (i * size).alias("begin"), F.least(F.lit(size), F.lit(k) - i * size).alias("size")))
+
+
+def _place(text: Column, block: Column) -> Column:
+    return F.substring(text, block["begin"] + 1, block["size"])
+
+
+def _chosen_blocks(text: Column, k: int, tau: int, unknown: str) -> Column:
+    """tau + 1 blocks (begin, size) without unknown symbols, none over another, so that the smallest is as large as it can be.
+
+    Of blocks of up to 2^l places those are taken that no clean block of up to 2^l places holds; l is the one that serves best.
+    """
+    clean = lambda begin, size: F.instr(F.substring(text, begin + 1, size), unknown) == 0
+
+    def choice(top: int) -> Column:
+        def taken(b: Column) -> Column:
+            size = F.pow(F.lit(2), b["level"] + 1).cast("int")  # of the block that holds it
+            begin = (F.floor(b["begin"] / size) * size).cast("int")
+            return clean(b["begin"], b["size"]) & ((b["level"] == top) | ~clean(begin, size))
+
+        some = F.filter(F.concat(*[_blocks(k, level) for level in range(top + 1)]), taken)
+        sized = F.array_sort(F.transform(some, lambda b: F.struct((-b["size"]).alias("less"), b["begin"].alias("begin"), b["size"].alias("size"))))
+        picks = F.transform(F.slice(sized, 1, tau + 1), lambda b: F.struct(b["begin"].alias("begin"), b["size"].alias("size")))
+        least = F.when(F.size(picks) == tau + 1, F.element_at(picks, -1)["size"]).otherwise(0)
+        return F.struct(least.alias("least"), F.lit(top).alias("top"), picks.alias("picks"))
+
+    return F.array_max(F.array(*map(choice, range((k - 1).bit_length() + 1))))["picks"]
+
+
+def _wildcard_hits(wanted: DataFrame, found: DataFrame, k: int, tau: int, alphabet: Alphabet) -> DataFrame:
+    """query, hit, dist, mism of queries with unknown symbols, which cost nothing; all have more than tau known ones.
+
+    Each query picks tau + 1 blocks of a fixed grid that hold no unknown symbol; one of them is free of mismatches. K-mers
+    have a row for each block that some query picked, fewer than 2 k + log k kinds whatever the queries, and a pair counts
+    at the first block that it shares. What a key of more than KEY_PAIRS pairs leaves of its queries picks blocks again, as deep as
+    it takes, so all kinds of places go through the same joins.
+    """
+    unknown = alphabet.unknown
+    one = wanted.select("query", F.col("query").alias("left"), F.lit("").alias("key"), F.expr("cast(array() as array<struct<begin:int,size:int>>)").alias("before"))
+    two = found.select(F.col("kmer").alias("hit"), F.lit("").alias("key"))
+    parts, depth = [], 0
+
+    def meet(queries: DataFrame, hits: DataFrame) -> None:
+        pairs = queries.join(hits, "key").filter(~F.exists("before", lambda b: _place(F.col("query"), b) == _place(F.col("hit"), b)))
+        a, a_unknown = packed(F.col("query"), k, alphabet)
+        b, b_unknown = packed(F.col("hit"), k, alphabet)
+        compared = pairs.select("query", "hit", a.alias("a_bits"), a_unknown.alias("a_unknown"), b.alias("b_bits"), b_unknown.alias("b_unknown"))
+        compared = compared.select("query", "hit", _differences(k).alias("mism"))
+        marked = reduce(lambda p, q: p + q, [F.bit_count(F.col("mism")[i]) for i in range(len(_segments(k)))])
+        dist = (marked - unknown_count("query", alphabet)).cast("int")
+        parts.append(compared.select("query", "hit", dist.alias("dist"), "mism").filter(F.col("dist") <= tau))
+
+    while True:
+        picked = one.select("query", "left", "key", "before", _chosen_blocks(F.col("left"), k, tau, unknown).alias("picks"))
+        picked = picked.select("query", "left", F.col("key").alias("was"), "before", "picks", F.posexplode("picks").alias("nth", "b"))
+        own = lambda text: F.concat_ws(":", "was", F.col("b.begin").cast("string"), F.col("b.size").cast("string"), _place(F.col(text), F.col("b")))
+        covered = F.concat(F.substring("left", F.lit(1), F.col("b.begin")), F.repeat(F.lit(unknown), F.col("b.size")), F.substring("left", F.col("b.begin") + F.col("b.size") + 1, F.lit(k)))
+        one = saved(picked.select("query", covered.alias("left"), own("left").alias("key"), F.concat("before", F.slice("picks", F.lit(1), F.col("nth"))).alias("before"), "was", "b"))
+        kinds = one.select("was", "b").distinct()
+        kinds = F.broadcast(kinds) if not depth or kinds.count() <= SENT_KEYS else kinds  # at first a kind for each block of the grid
+        grid = F.array_distinct(F.transform(F.concat(*[_blocks(k, level) for level in range((k - 1).bit_length() + 1)]), lambda b: F.struct(b["begin"].alias("begin"), b["size"].alias("size"))))
+        each = two.select("hit", F.col("key").alias("was"), F.explode(grid).alias("b")).join(kinds, ["was", "b"], "left_semi")
+        two = each.select("hit", own("hit").alias("key"))
+        keys = one.select("key").distinct()
+        two = two.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, "key", "left_semi")  # k-mers that no query meets aren't moved
+        two = saved(two) if depth else two
+        one = one.drop("was", "b")
+        hot, size = _hot(one, two, ["key"])
+        meet(one.join(hot, "key", "left_anti") if size else one, two)
+        if size:
+            one, two = one.join(hot, "key", "left_semi"), two.join(hot, "key", "left_semi")
+            few = F.lit(k) - unknown_count("left", alphabet) <= tau  # nothing can be picked, and few places are left to differ
+            meet(one.filter(few), two)
+            one = one.filter(~few)
+        if not size or one.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        depth += 1
 
 
 def within(hits: DataFrame, k: int, begin: int, end: int, tau: int, score_ref: int = 0, score_diff: int = 0) -> DataFrame:
@@ -309,16 +385,6 @@ def within(hits: DataFrame, k: int, begin: int, end: int, tau: int, score_ref: i
     return hits.filter((F.col("dist") <= tau) & (F.col("dist") - score_ref >= score_diff) & ~outside)
 
 
-def _stretches(places: list[int]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for p in places:
-        if out and out[-1][1] == p - 1:
-            out[-1] = (out[-1][0], p)
-        else:
-            out.append((p, p))
-    return out
-
-
 def annotate(seqs: DataFrame, k: int, tau: int, alphabet: Alphabet = DNA) -> DataFrame:
     """kmer, dist, neigh_cnt, align_pos for every distinct k-mer of both strands with at most tau unknown symbols.
 

@@ -382,6 +382,25 @@ def approximate_search_bounded(spark, sf_dir):
     return neighbors.search(_patterns(seqs, 12).withColumnRenamed("pattern", "query"), seqs, 12, 2, boundary=True).select("query", "hit", "dist")
 
 
+def _blanked(kmer: str, first: str, second: str) -> str:
+    """A 12-mer with N at two places (from 0), which may be one; the same text for both engines."""
+    one = f"concat(substr({kmer}, 1, CAST({first} AS INT)), 'N', substr({kmer}, CAST({first} AS INT) + 2))"
+    return f"concat(substr({one}, 1, CAST({second} AS INT)), 'N', substr({one}, CAST({second} AS INT) + 2))"
+
+
+_BLANKED = _blanked("kmer", "off % 12", "(5 * off + 3) % 12")
+
+
+@_query(f"""WITH {_STRANDS}, k AS (SELECT DISTINCT kmer FROM {_kmers(12)}), q AS (SELECT DISTINCT {_BLANKED} AS query FROM {_kmers(12, 'seqs')}),
+n AS (SELECT query, length(query) - length(replace(query, 'N', '')) AS free FROM q)
+SELECT query, kmer AS hit, CAST(hamming(query, kmer) - free AS INTEGER) AS dist FROM n JOIN k ON hamming(query, kmer) <= free + 1""")
+def approximate_search_unknown(spark, sf_dir):
+    """Every 12-mer with unknown symbols at two places of its own, which match anything."""
+    seqs = _placed(spark, sf_dir)
+    queries = km.kmers(seqs, 12).select(F.expr(_BLANKED).alias("query"))
+    return neighbors.search(queries, seqs, 12, 1).select("query", "hit", "dist")
+
+
 def _annotation_sql(k: int, tau: int) -> str:
     return f"""{_pairs_sql(k, tau)},
 both_ways AS (SELECT a, b, dist FROM pairs UNION ALL SELECT b, a, dist FROM pairs),
