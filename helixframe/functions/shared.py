@@ -29,19 +29,26 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def running_total(df: DataFrame, order: list[str | Column], value: str | Column, out: str) -> DataFrame:
-    """df with the sum of value over all rows before each in the given order (which should have no ties).
+    """df with the sum of value over all rows before each in the given order (which should have no ties)."""
+    return running_totals(df, order, {out: value})
+
+
+def running_totals(df: DataFrame, order: list[str | Column], values: dict[str, str | Column]) -> DataFrame:
+    """df with a column for each of `values`: its sum over all rows before each in the given order (which should have no ties).
 
     Rows are range-partitioned and written once; a running sum inside each partition is lifted by the totals of the
     partitions before it, of which there are as many as shuffle partitions.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    placed = saved(df.withColumn("__value", value.cast("bigint")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    totals = placed.groupBy("__part").agg(F.sum("__value").alias("__total"))
+    n = range(len(values))
+    given = [(F.col(v) if isinstance(v, str) else v).cast("bigint").alias(f"__value{i}") for i, v in enumerate(values.values())]
+    placed = saved(df.select("*", *given).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    totals = placed.groupBy("__part").agg(*[F.sum(f"__value{i}").alias(f"__total{i}") for i in n])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per shuffle partition
-    lifts = totals.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__lift"))
+    lifts = totals.select("__part", *[F.coalesce(F.sum(f"__total{i}").over(before), F.lit(0)).alias(f"__lift{i}") for i in n])
     inner = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("__inner", F.coalesce(F.sum("__value").over(inner), F.lit(0)))
-    return summed.join(F.broadcast(lifts), "__part").withColumn(out, F.col("__inner") + F.col("__lift")).drop("__part", "__value", "__inner", "__lift")
+    summed = placed.select("*", *[F.coalesce(F.sum(f"__value{i}").over(inner), F.lit(0)).alias(f"__inner{i}") for i in n])
+    lifted = summed.join(F.broadcast(lifts), "__part").withColumns({out: F.col(f"__inner{i}") + F.col(f"__lift{i}") for i, out in enumerate(values)})
+    return lifted.drop("__part", *[f"__{c}{i}" for i in n for c in ("value", "inner", "lift")])
 
 
 def row_numbers(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
-from ..functions.shared import checkpoint_dir, spread
-from ..operators import text
+from ..functions.shared import checkpoint_dir, saved, spread
+from ..operators import suffix, text
+from ..sources import fasta_pieces as fp
 from ..sources import readers
 from ..streaming.reads import chunk_counts, chunked
 from . import cli
@@ -65,6 +66,26 @@ def fasta_read(spark, sf_dir):
     return seqs.select("seq_id", "name", F.length("seq").alias("seq_len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
+#: Symbols of a piece, fewer than a line's, so that pieces and lines cross.
+PIECE = 37
+
+
+@_query(f"""WITH {_SEQS}, numbered AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, name, seq FROM seqs),
+cut AS (SELECT seq_id, unnest(range(0, length(seq), {PIECE})) AS place FROM numbered)
+SELECT seq_id, name, place AS at_place, substr(seq, CAST(place AS INTEGER) + 1, {PIECE}) AS part FROM numbered LEFT JOIN cut USING (seq_id)""")
+def fasta_pieces(spark, sf_dir):
+    """The benchmark's FASTA file as pieces; a sequence of no symbols has one row without a piece."""
+    names, pieces = fp.read_fasta_pieces(spark, _fasta(spark, sf_dir), size=PIECE)
+    return names.join(pieces, "seq_id", "left").select("seq_id", "name", F.col("at").alias("at_place"), "part")
+
+
+@_query(f"WITH {_TEXT} SELECT rank, pos FROM sa")
+def suffix_array_of_pieces(spark, sf_dir):
+    """The suffix array of a FASTA file of which no sequence was ever one value."""
+    names, pieces = fp.read_fasta_pieces(spark, _fasta(spark, sf_dir))
+    return suffix.suffix_array(saved(suffix.text_positions(fp.text_of_pieces(names, pieces))))
+
+
 @_query(_digest_sql("tag", "CAST(NULL AS VARCHAR)"))
 def query_fasta_read(spark, sf_dir):
     path = _written(_reads(spark, sf_dir), "doc_id", F.concat(F.lit(">"), "tag", F.lit("\n"), "seq"), _folder(spark))
