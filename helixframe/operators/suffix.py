@@ -18,6 +18,8 @@ from .text import with_coordinates
 FIRST, CHUNK = 32, 4096
 #: Positions from one mark to the next: 14 words of 64 bits.
 MARK = 14 * 64
+#: Positions that are sent to the ranks they ask for at most; more are joined.
+SENT = 100_000
 
 
 def text_rows(seqs: DataFrame, alphabet: Alphabet = DNA, two_strands: bool = True) -> DataFrame:
@@ -55,9 +57,11 @@ def suffix_array(positions: DataFrame) -> DataFrame:
     ranked = saved(positions.select("pos", "ahead").join(keys, "ahead").select("pos", "rank", (F.col("n") == 1).alias("done")))
     settled, open_ = [ranked.filter("done").select("pos", "rank")], ranked.filter("not done").select("pos", "rank")
     reach = FIRST
-    while not open_.isEmpty():
-        # settled positions stay in the files that they were written to
+    while size := open_.count():
+        # settled positions stay in the files that they were written to; late rounds ask for few of them
         every = reduce(DataFrame.unionByName, settled, open_)
+        if size <= SENT:
+            every = every.join(F.broadcast(open_.select((F.col("pos") + reach).alias("pos"))), "pos", "left_semi")
         after = every.select((F.col("pos") - reach).alias("pos"), F.col("rank").alias("after"))
         told = saved(open_.join(after, "pos", "left").withColumn("after", F.coalesce("after", F.lit(-1))))
         # a long repeat is one rank: its parts are counted and summed up over range partitions, not in one window
