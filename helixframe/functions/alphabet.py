@@ -91,10 +91,14 @@ class Alphabet:
         kept = [g for g in self.groups if g[0] != self.unknown]
         letters = "".join(c for g in kept for c in g)
         variants = [(c, g[0]) for g in kept for c in g[1:]]
-        gone = "".join(chr(i) for i in range(1, 256) if chr(i) not in letters)
-        before, after = ("".join(x) for x in zip(*variants)) if variants else ("", "")
-        text = F.translate(text, before + gone, after)  # what has no counterpart goes
-        return F.regexp_replace(text, "(?s)[^" + "".join(re.escape(g[0]) for g in kept) + "]+", "")
+        text = F.regexp_replace(text, "(?s)[^" + re.escape(letters) + "]+", "")  # a run at once, before what looks up each character
+        return F.translate(text, *("".join(x) for x in zip(*variants))) if variants else text
+
+    def has_known(self, text: Column | str) -> Column:
+        """Whether only_known leaves anything; it stops at the first such character, so filters need not make the text."""
+        text = F.col(text) if isinstance(text, str) else text
+        letters = "".join(c for g in self.groups if g[0] != self.unknown for c in g)
+        return F.rlike(text, F.lit(f"[{re.escape(letters)}]"))
 
     def codes(self, text: Column | str) -> Column:
         """The codes of an encoded text, an array."""

@@ -41,9 +41,9 @@ def _fasta(spark: SparkSession, sf_dir: str) -> str:
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tag, seq, qual: the documents that have letters, as reads."""
-    rows = spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    rows = spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).filter(DNA.has_known("text"))
     seq = DNA.only_known("text")
-    rows = rows.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit("-"))).alias("tag"), seq.alias("seq")).filter("seq <> ''")
+    rows = rows.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit("-"))).alias("tag"), seq.alias("seq"))
     return rows.withColumn("qual", F.translate("seq", "ACGT", "@+>#"))
 
 

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.shared import running_total, saved
 from ..sources.readers import CHUNK_BYTES, FASTA, FASTQ, RAW, _fasta_parts
 
+#: Records of which one task follows the pointers at once.
+SEGMENT = 1 << 17
+
 
 def stream_reads(spark: SparkSession, folder: str, form: str, max_bytes: int = CHUNK_BYTES) -> DataFrame:
     """file, ord (in its file), tag, seq, qscore and _corrupt of files that arrive in a folder.
@@ -54,8 +60,10 @@ def chunked(reads: DataFrame, form: str, max_bytes: int = CHUNK_BYTES, stream: l
 
     Where a chunk begins depends on all before it, but from each record it is known where the next chunk would begin if one
     began there: at the first record that has the budget's bytes more before it. Those pointers are counts over range
-    partitions; chunks are what is reached from an input's first record, found by pointers of 1, 2, 4, ... chunks. No task
-    sees more than its part of the records, and there is a round for each doubling of the chunks of the largest input.
+    partitions. Records are then cut by number into segments of SEGMENT, and in each the pointers are followed until they leave it.
+    What they lead to is few records, or the chunks are few; those that are reached from the first record are found by
+    pointers of 1, 2, 4, ... segments. Each segment is entered at one record at most, from which its chunks follow. No task
+    holds more than a segment at once, every step but the rounds runs once, and there is a round for each doubling of the segments.
     """
     if max_bytes < 1:
         raise ValueError("the budget is a byte at least")
@@ -70,30 +78,68 @@ def chunked(reads: DataFrame, form: str, max_bytes: int = CHUNK_BYTES, stream: l
     return found.select("__in.*", "__of.chunk")
 
 
-def _chunk_numbers(sizes: DataFrame, keys: list[str], max_bytes: int) -> DataFrame:
+def _exits(table: pa.Table) -> pa.Table:
+    """id, to of a segment: id and exit, the first pointer beyond the segment that its pointers lead to."""
+    table = table.sort_by("id")
+    ids, to = table["id"].to_numpy(), table["to"].to_numpy()
+    then = np.searchsorted(ids, to)
+    last = np.where(then < len(ids), then, np.arange(len(ids)))
+    while not np.array_equal(further := last[last], last):
+        last = further
+    return pa.table({"id": ids, "exit": to[last]})
+
+
+def _numbered(table: pa.Table, marks: pa.Table) -> pa.Table:
+    """A segment's records with n, how many chunks have begun in it, and from, the n of the last first record of an input in it.
+
+    marks (id, first): first records, and the record where the segment is entered, if it is.
+    """
+    table = table.sort_by("id")
+    ids, then = table["id"].to_numpy(), np.searchsorted(table["id"].to_numpy(), table["to"].to_numpy()).tolist()
+    first = marks["first"].to_numpy().astype(bool)
+    entries, firsts = (np.searchsorted(ids, marks["id"].to_numpy()[x]) for x in (~first, first))
+    begins = np.zeros(len(ids), np.int64)
+    for at in entries.tolist():
+        while at < len(ids):
+            begins[at] = 1
+            at = then[at]
+    n, since = np.cumsum(begins), np.zeros(len(ids), np.int64)  # n is 1 at least at a first record
+    since[firsts] = n[firsts]
+    since = np.maximum.accumulate(since)
+    return table.drop_columns(["id", "to"]).append_column("n", pa.array(n)).append_column("from", pa.array(since, mask=since == 0))
+
+
+def _chunk_numbers(sizes: DataFrame, keys: list[str], max_bytes: int, segment: int = SEGMENT) -> DataFrame:
     """keys, ord, chunk of rows (keys, ord, size)."""
     placed = running_total(sizes, [*keys, "ord"], "size", "at")
     # a record and the place where the chunk that begins with it is full; a record's number is how many records stand before
     marks = placed.select(*keys, "ord", F.explode(F.array(F.struct(F.col("at").alias("at"), F.lit(1).alias("is")), F.struct((F.col("at") + max_bytes).alias("at"), F.lit(0).alias("is")))).alias("m")).select(*keys, "ord", "m.*")
     counted = running_total(marks, [*keys, "at", "is", "ord"], F.col("is"), "n")
     by = counted.groupBy(*keys, "ord").agg(F.max(F.when(F.col("is") == 1, F.col("n"))).alias("id"), F.max(F.when(F.col("is") == 0, F.col("n"))).alias("to"))
-    rows = saved(by)
-    firsts = rows.groupBy(*keys).agg(F.min("id").alias("first"))
-    begins, jumps = saved(firsts.select(F.col("first").alias("id"))), rows.select("id", "to")
-    size = begins.count()
+    part = F.floor(F.col("id") / segment).alias("part")
+    rows = saved(by.select(part, *keys, "ord", "id", "to"))
+    firsts = rows.groupBy(*keys).agg(F.min("id").alias("id")).select("id")
+    # the last chunk of an input leads to the first record of the next, so that all are reached from the very first
+    begin = saved(rows.agg(F.min("id").alias("id")).filter("id is not null"))
+    exits = saved(rows.groupBy("part").applyInArrow(lambda key, t: _exits(t.select(["id", "to"])), "id bigint, exit bigint"))
+    nodes = exits.select(F.col("exit").alias("id")).unionByName(begin).distinct()
+    jumps = steps = saved(exits.join(nodes, "id").select("id", F.col("exit").alias("to")))
+    reached, size = begin, begin.count()
     while True:
-        reached = begins.join(jumps, "id").select(F.col("to").alias("id")).join(rows.select("id"), "id", "left_semi")
-        begins = saved(begins.unionByName(reached).distinct())
-        size, before = begins.count(), size
+        more = reached.join(jumps, "id").select(F.col("to").alias("id")).join(steps.select("id"), "id", "left_semi")
+        reached = saved(reached.unionByName(more).distinct())
+        size, before = reached.count(), size
         if size == before:
             break
         jumps = saved(jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("then")), "to").select("id", F.col("then").alias("to")))
-    marked = rows.join(begins.withColumn("begins", F.lit(1)), "id", "left")
-    total = saved(running_total(marked.select(*keys, "ord", "id", "begins"), ["id"], F.coalesce("begins", F.lit(0)), "n"))
-    origin = total.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").select(*keys, F.col("n").alias("n0"))
-    each = total.select(*keys, "ord", (F.col("n") + F.coalesce("begins", F.lit(0))).alias("n"))
-    origin = origin.toDF(*[f"__o{c}" for c in keys], "n0")
-    return each.join(origin, [F.col(c).eqNullSafe(F.col(f"__o{c}")) for c in keys]).select(*keys, "ord", (F.col("n") - F.col("n0") - 1).alias("chunk"))
+    told = reached.withColumn("first", F.lit(False)).unionByName(firsts.withColumn("first", F.lit(True))).select(part, "id", "first")
+    kinds = T.StructType([f for f in rows.schema if f.name not in ("id", "to")] + [T.StructField("n", T.LongType()), T.StructField("from", T.LongType())])
+    each = saved(rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_numbered, kinds))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
+    lifts = each.groupBy("part").agg(F.max("n").alias("n"), F.max("from").alias("from")).select("part", "from", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    lifts = lifts.select("part", "base", F.last(F.col("base") + F.col("from"), ignorenulls=True).over(before).alias("origin"))
+    chunk = F.col("base") + F.col("n") - F.coalesce(F.col("base") + F.col("from"), F.col("origin"))
+    return each.join(F.broadcast(lifts), "part").select(*keys, "ord", chunk.alias("chunk"))
 
 
 def chunk_counts(chunks: DataFrame, stream: list[str] | None = None) -> DataFrame:

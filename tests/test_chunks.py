@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.sources import readers
 from helixframe.streaming.reads import chunked
@@ -67,3 +68,49 @@ def test_chunks_of_a_stream_are_written_and_counted(spark, tmp_path):
     assert sorted(by.values()) == sorted(files) and all(len(by[c]) == n for c, n in counts.items())
     places = {r.read: (r.offset, r.dist) for r in spark.read.parquet(str(tmp_path / "placed" / "mapped")).collect()}
     assert places == {s: (seq.index(s) + 1, 0) for lines in files for s in lines if s in seq}
+
+
+def test_segments_are_entered_where_chunks_begin(spark):
+    """Inputs and chunks that end in a segment, fill many, or lie within one."""
+    from helixframe.streaming import reads as of
+
+    rnd = random.Random(11)
+    inputs = {"a": 150, "b": 3, None: 70, "d": 90}
+    for budget, segment in ((1, 64), (12, 16), (200, 8)):
+        rows, want = [], {}
+        for file, many in inputs.items():
+            lengths = [rnd.choice([0, rnd.randrange(9)]) for _ in range(many)]
+            rows += [(file, o, size) for o, size in enumerate(lengths)]
+            want |= {(file, o): c for o, c in enumerate(plain(lengths, budget))}
+        rnd.shuffle(rows)
+        got = of._chunk_numbers(spark.createDataFrame(rows, "file string, ord bigint, size bigint"), ["file"], budget, segment)
+        assert {(r.file, r.ord): r.chunk for r in got.collect()} == want
+
+
+def test_many_chunks_take_no_more_rounds(spark, monkeypatch):
+    """Rounds double segments, of which there is one here, and not chunks."""
+    from helixframe.streaming import reads as of
+
+    written, save = [], of.saved
+    monkeypatch.setattr(of, "saved", lambda df: (written.append(1), save(df))[1])
+    rows = spark.range(3000).select(F.col("id").alias("ord"), F.repeat(F.lit("A"), (F.col("id") % 4).cast("int")).alias("seq"))
+    got = [r.chunk for r in chunked(rows, readers.RAW, 2).orderBy("ord").collect()]
+    assert got == plain([i % 4 for i in range(3000)], 2) and len(written) <= 10
+
+
+def test_known_characters_are_taken_in_runs(spark):
+    """What only_known leaves, and has_known says whether it leaves anything; a filter on it doesn't make the text."""
+    from helixframe.functions.alphabet import DNA, Alphabet
+    from helixframe.plans import catalog_files
+
+    odd = Alphabet(("]x", "^\\", "-&", "[Y", "."), (), 4, ".")
+    texts = [None, "", "xyz", "acgtnACGTN", "the \U0001f9ec cat\n\x00g", "a-]^[.\\&&xY", "\u00e9\u20ac", "nN..n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for alphabet in (DNA, odd):
+        known = {c: g[0] for g in alphabet.groups if g[0] != alphabet.unknown for c in g}
+        got = rows.select("text", alphabet.only_known("text"), alphabet.has_known("text")).collect()
+        want = [None if t is None else "".join(known.get(c, "") for c in t) for t in texts]
+        assert [r[1] for r in got] == want
+        assert [r[2] for r in got] == [None if w is None else w != "" for w in want]
+    plan = catalog_files._reads(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp_replace" in line for line in plan.splitlines() if "Filter" in line)
