@@ -114,3 +114,13 @@ def test_known_characters_are_taken_in_runs(spark):
         assert [r[2] for r in got] == [None if w is None else w != "" for w in want]
     plan = catalog_files._reads(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not any("regexp_replace" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_a_segment_passed_over_whole_and_odd_columns(spark):
+    """Chunks of many segments, of inputs told apart by two columns with names of the operator's own, keep their numbers."""
+    rnd = random.Random(13)
+    sizes = {("x", 1): [1] * 40, ("x", 2): [0] * 9, ("y", 1): [rnd.randrange(3) for _ in range(33)]}
+    rows = [(p, n, o, "A" * s) for (p, n), of in sizes.items() for o, s in enumerate(of)]
+    got = chunked(spark.createDataFrame(rows, "part string, n int, ord bigint, seq string"), readers.RAW, 17, ["part", "n"])
+    want = {(*k, o): c for k, of in sizes.items() for o, c in enumerate(plain(of, 17))}
+    assert {(r.part, r.n, r.ord): r.chunk for r in got.collect()} == want
