@@ -92,6 +92,8 @@ class Alphabet:
         letters = "".join(c for g in kept for c in g)
         variants = [(c, g[0]) for g in kept for c in g[1:]]
         text = F.regexp_replace(text, "(?s)[^" + re.escape(letters) + "]+", "")  # a run at once, before what looks up each character
+        if variants and all(c.isascii() and c.upper() == g[0] for g in kept for c in g):
+            return F.upper(text)  # of ASCII it looks at bytes; translate() makes an object of each character
         return F.translate(text, *("".join(x) for x in zip(*variants))) if variants else text
 
     def has_known(self, text: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
-from ..functions.shared import checkpoint_dir, saved, spread
+from ..functions.shared import checkpoint_dir, row_numbers, saved, spread, stored
 from ..operators import suffix, text
 from ..sources import fasta_pieces as fp
 from ..sources import readers
@@ -28,8 +28,12 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _written(rows: DataFrame, key: str, value: Column | str, path: str) -> str:
-    """value as lines of text, in the order of key over all files of the folder."""
-    rows.select(F.col(key).alias("__key"), (F.col(value) if isinstance(value, str) else value).alias("value")).repartitionByRange("__key").sortWithinPartitions("__key").select("value").write.text(path)
+    """value, made of rows, as lines of text, in the order of key over all files of the folder.
+
+    A sort by ranges takes its sample of whole rows, so they are stored first: what they are made of is taken once, and value after the sort.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    stored(rows).repartitionByRange(key).sortWithinPartitions(key).select(value.alias("value")).write.text(path)
     return path
 
 
@@ -40,11 +44,10 @@ def _fasta(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, tag, seq, qual: the documents that have letters, as reads."""
+    """doc_id, tag, seq: the documents that have letters, as reads."""
     rows = spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).filter(DNA.has_known("text"))
     seq = DNA.only_known("text")
-    rows = rows.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit("-"))).alias("tag"), seq.alias("seq"))
-    return rows.withColumn("qual", F.translate("seq", "ACGT", "@+>#"))
+    return rows.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit("-"))).alias("tag"), seq.alias("seq"))
 
 
 _READS = f"""reads AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, 'doc' || doc_id || ' ' || coalesce(lang, '-') AS tag, seq, translate(seq, 'ACGT', '@+>#') AS qual
@@ -93,7 +96,8 @@ def query_fasta_read(spark, sf_dir):
 
 
 def _fastq(spark: SparkSession, sf_dir: str) -> str:
-    return _written(_reads(spark, sf_dir), "doc_id", F.concat(F.lit("@"), "tag", F.lit("\n"), "seq", F.lit("\n+\n"), "qual"), _folder(spark))
+    qual = F.translate("seq", "ACGT", "@+>#")
+    return _written(_reads(spark, sf_dir), "doc_id", F.concat(F.lit("@"), "tag", F.lit("\n"), "seq", F.lit("\n+\n"), qual), _folder(spark))
 
 
 @_query(_digest_sql("tag", "md5(qual)"))
@@ -124,19 +128,24 @@ t(ord, held, chunk) AS (SELECT ord, size, CAST(0 AS BIGINT) FROM sized WHERE ord
 {then}"""
 
 
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads of the FASTQ file, framed once: chunks take their sizes and then the reads themselves."""
+    return stored(readers.read_fastq(spark, _fastq(spark, sf_dir)))
+
+
 @_query(_chunks_sql(CHUNK, "SELECT ord, chunk FROM t"))
 def chunk_reads(spark, sf_dir):
-    return chunked(readers.read_fastq(spark, _fastq(spark, sf_dir)), readers.FASTQ, CHUNK).select("ord", "chunk")
+    return chunked(_framed(spark, sf_dir), readers.FASTQ, CHUNK).select("ord", "chunk")
 
 
 @_query(_chunks_sql(CHUNK, "SELECT chunk, count(*) AS n FROM t GROUP BY chunk"))
 def chunk_sizes(spark, sf_dir):
-    return chunk_counts(chunked(readers.read_fastq(spark, _fastq(spark, sf_dir)), readers.FASTQ, CHUNK))
+    return chunk_counts(chunked(_framed(spark, sf_dir), readers.FASTQ, CHUNK))
 
 
 @_query(_chunks_sql(readers.CHUNK_BYTES, "SELECT chunk, count(*) AS n FROM t GROUP BY chunk"))
 def chunk_sizes_by_default(spark, sf_dir):
-    return chunk_counts(chunked(readers.read_fastq(spark, _fastq(spark, sf_dir)), readers.FASTQ))
+    return chunk_counts(chunked(_framed(spark, sf_dir), readers.FASTQ))
 
 
 @_query(f"WITH {_READS} SELECT seq FROM reads")
@@ -154,7 +163,7 @@ UNION ALL SELECT count(*), 'last', 'incomplete record ' || count(*) FROM r"""
 def read_problems(spark, sf_dir):
     """A FASTQ file with bad records, read in permissive mode."""
     seqs = _sequences(spark, sf_dir).filter("length(seq) > 1")
-    rows = readers.row_numbers(seqs.select("seq_id", "seq"), ["seq_id"], "ord")
+    rows = row_numbers(seqs.select("seq_id", "seq"), ["seq_id"], "ord")
     head = F.concat(F.when(F.col("ord") % 4 == 2, "!").otherwise("@"), F.lit("r"), F.col("ord").cast("string"))
     quality = F.when(F.col("ord") % 4 == 1, F.expr("substring(seq, 2)")).otherwise(F.col("seq"))
     good = rows.select("ord", F.concat(head, F.lit("\n"), "seq", F.lit("\n+\n"), quality).alias("value"))

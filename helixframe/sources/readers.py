@@ -10,21 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import row_numbers
-
 FASTA, FASTQ, RAW = "fasta", "fastq", "raw"
 #: What one micro-batch or scan takes at most by default.
 CHUNK_BYTES = 256 * 1024 * 1024
 READ = "ord bigint, tag string, seq string, qscore string"
 
 
-def _lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """value, and file, block and id, whose order is the order of lines."""
+def _lines(spark: SparkSession, path: str, separator: str | None = None, wanted: Column | None = None) -> DataFrame:
+    """value, and file, block and id, whose order is the order of lines; only the wanted lines have an id."""
     reader = spark.read.option("lineSep", separator) if separator else spark.read
     lines = reader.text(path)
+    lines = lines if wanted is None else lines.filter(wanted)
     return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
 
 
+def _numbered(lines: DataFrame, out: str) -> DataFrame:
+    """What _lines gives with 0, 1, ... in the order of lines.
+
+    A block is read by one task in order, so its ids leave none out: only blocks are counted and summed, and no line is moved.
+    """
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a file
+    lifts = blocks.select("file", "block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__lift"))
+    return lines.join(F.broadcast(lifts), ["file", "block"]).withColumn(out, F.col("__lift") + F.col("id")).drop("__lift")
+
+
 def _checked(df: DataFrame, problem: Column, mode: str) -> DataFrame:
     if mode == "permissive":
         return df.withColumn("_corrupt", problem)
@@ -49,14 +59,14 @@ def _fasta_parts(value: Column) -> tuple[Column, Column]:
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    return _lines(spark, path, "\n>").filter(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
+    return _lines(spark, path, "\n>", F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
 
 
 def read_fasta(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     """seq_id (0, 1, ...), name, seq. A name is the header's first word; it must not be empty or occur twice."""
     header, seq = _fasta_parts(F.col("value"))
     name = F.split_part(F.ltrim(header), F.lit(" "), F.lit(1))
-    rows = row_numbers(_records(spark, path), ["file", "block", "id"], "seq_id")
+    rows = _numbered(_records(spark, path), "seq_id")
     start = F.when((F.col("seq_id") == 0) & ~F.startswith("value", F.lit(">")), "the file doesn't begin with >")
     rows = rows.select("seq_id", name.alias("name"), seq.alias("seq"), start.alias("__start"))
     twice = F.count(F.lit(1)).over(Window.partitionBy("name")) > 1
@@ -79,7 +89,7 @@ def _read_checks(df: DataFrame, more: Column, mode: str) -> DataFrame:
 def read_query_fasta(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     """Reads of a FASTA file: the tag is the whole header."""
     header, seq = _fasta_parts(F.col("value"))
-    rows = row_numbers(_records(spark, path), ["file", "block", "id"], "ord")
+    rows = _numbered(_records(spark, path), "ord")
     start = F.when((F.col("ord") == 0) & ~F.startswith("value", F.lit(">")), "the file doesn't begin with >")
     rows = rows.select("ord", header.alias("tag"), seq.alias("seq"), F.lit(None).cast("string").alias("qscore"), start.alias("__start"))
     return _read_checks(rows, F.col("__start"), mode)
@@ -87,7 +97,7 @@ def read_query_fasta(spark: SparkSession, path: str, mode: str = "strict") -> Da
 
 def read_fastq(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     """Reads of a FASTQ file, framed by four lines (a quality line may begin with @)."""
-    lines = row_numbers(_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r", "")), ["file", "block", "id"], "n")
+    lines = _numbered(_lines(spark, path), "n").withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))
     # blank lines at the end are no record
     part = F.col("n") % 4
     at = lambda k: F.max(F.when(part == k, F.col("value")))
@@ -103,7 +113,7 @@ def read_fastq(spark: SparkSession, path: str, mode: str = "strict") -> DataFram
 
 def read_raw(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     """A read per line; the tag is the number of the line, from 1."""
-    lines = row_numbers(_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r", "")), ["file", "block", "id"], "ord")
+    lines = _numbered(_lines(spark, path), "ord").withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))
     rows = raw_reads(lines, "ord", "value").filter(F.col("seq") != "")
     return _read_checks(rows, F.lit(None).cast("string"), mode)
 
