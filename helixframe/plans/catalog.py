@@ -477,7 +477,8 @@ def unannotated_kmers(spark, sf_dir):
 
 @_query("SELECT doc_id AS ord, CAST(doc_id + 1 AS VARCHAR) AS tag, CAST(length(text) AS INTEGER) AS seq_len, md5(text) AS seq_md5 FROM documents")
 def read_parse(spark, sf_dir):
-    reads = new_reads(raw_reads(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    """Every document as a read; one without text is kept, with the length and digest of what it has (null: null)."""
+    reads = new_reads(raw_reads(_table(spark, sf_dir, "documents"), "doc_id", "text"), "permissive")
     return reads.select("ord", "tag", F.length("seq").alias("seq_len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
